@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veilframe.llm.chat import OP2_SQL, op2_chat_prefix_targets
+from veilframe.llm.hmm import op1_hmm_language_model
 from veilframe.llm.mixing import op6_mix_sources
 from veilframe.llm.packing import op8_pack_sequences
 from veilframe.llm.quality import op9_quality_rff
@@ -15,6 +16,6 @@ from veilframe.llm.toxicity import op10_toxicity_noisy_channel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_chat_prefix_targets, op4_section_token_counts, op6_mix_sources, op8_pack_sequences, op9_quality_rff, op10_toxicity_noisy_channel)
+    for f in (op1_hmm_language_model, op2_chat_prefix_targets, op4_section_token_counts, op6_mix_sources, op8_pack_sequences, op9_quality_rff, op10_toxicity_noisy_channel)
 }
 ORACLE_SQL: dict[str, str] = {"op2_chat_prefix_targets": OP2_SQL}
