@@ -8,8 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.functions.match import SPAN, java, matches
-from veilframe.functions.registry import DEFAULTS, Detector, Pattern
+from veilframe.functions.match import SPAN, java, summed
+from veilframe.functions.registry import DEFAULTS, Detector
 
 
 def luhn(v: Column) -> Column:
@@ -40,22 +40,37 @@ def _valid(v: Column, test: str) -> Column | None:
     return out
 
 
-def pattern_spans(text: Column, d: Detector, p: Pattern) -> Column:
-    found = matches(text, p.regex, p.group)
-    if p.valid != "true":
-        found = F.filter(found, lambda s: _valid(s["text"], p.valid))
-    made = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), F.lit(d.type).alias("type"), F.lit(p.confidence).alias("confidence"), F.lit(d.priority(p)).cast("int").alias("priority"), F.lit(f"{d.name}:{p.name}").alias("pattern")))
-    return made
-
-
 def spans(text: Column, detectors: Iterable[Detector] = DEFAULTS) -> Column:
-    """array of spans of all detectors; texts shorter than 3 and null texts have none. Each detector is tried only where its gate occurs."""
-    none = F.array().cast(f"array<{SPAN}>")
-    parts = []
+    """array of spans of all detectors; texts shorter than 3 and null texts have none. A pattern is tried only where its
+    detector's gate occurs. All patterns' matches go through one lambda, which keeps the plan small."""
+    found, tests = [], []
     for d in detectors:
-        own = F.concat(*[pattern_spans(text, d, p) for p in d.patterns]).cast(f"array<{SPAN}>")
-        parts.append(F.when(F.regexp_like(text, F.lit(java(d.gate))), own).otherwise(none) if d.gate else own)
-    return F.when(F.length(text) >= 3, F.concat(*parts)).otherwise(none) if parts else none
+        for p in d.patterns:
+            name, r = f"{d.name}:{p.name}", F.lit(java(p.regex))
+            tried = F.regexp_like(text, r) if not d.gate else F.regexp_like(text, F.lit(java(d.gate))) & F.regexp_like(text, r)
+            m = F.regexp_extract_all(text, r, F.lit(0))
+            row = F.struct(m.alias("m"), (m if p.group == 0 else F.regexp_extract_all(text, r, F.lit(p.group))).alias("v"), F.split(text, java(p.regex), -1).alias("g"), F.lit(d.type).alias("type"), F.lit(p.confidence).alias("confidence"), F.lit(d.priority(p)).cast("int").alias("priority"), F.lit(name).alias("pattern"))
+            found.append(F.when(tried, row))
+            if p.valid != "true":
+                tests.append((name, p.valid))
+
+    def placed(x: Column) -> Column:
+        def one(v: Column, i: Column) -> Column:
+            at = summed(F.slice(x["g"], F.lit(1), i + 1)) + summed(F.slice(x["m"], F.lit(1), i)) + F.instr(F.get(x["m"], i), v) - 1
+            return F.struct(at.alias("start"), (at + F.length(v)).alias("end"), v.alias("text"), x["type"].alias("type"), x["confidence"].alias("confidence"), x["priority"].alias("priority"), x["pattern"].alias("pattern"))
+
+        return F.transform(x["v"], one)
+
+    def valid(s: Column) -> Column:
+        ok = F.lit(True)
+        for name, test in tests:
+            ok = F.when(s["pattern"] == name, _valid(s["text"], test)).otherwise(ok)
+        return (F.length(s["text"]) > 0) & ok
+
+    if not found:
+        return F.array().cast(f"array<{SPAN}>")
+    tried = F.filter(F.array(*found), lambda x: x.isNotNull())
+    return F.when(F.length(text) >= 3, F.filter(F.flatten(F.transform(tried, placed)), valid)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def detect(docs: DataFrame, detectors: Iterable[Detector] = DEFAULTS, text: str = "text") -> DataFrame:

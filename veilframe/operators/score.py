@@ -83,9 +83,12 @@ def window_tokens(spans: DataFrame, docs: DataFrame, n: int = 5, reach: int = 20
 def context_modifiers(windowed: DataFrame, rules=CONTEXT_RULES) -> DataFrame:
     """Multiplies the confidence where a rule's word stands in the window; boosts stop at 0.98, penalties at 0.02."""
     c = F.col("confidence")
-    for type_, found, factor in rules:
-        hit = (F.col("type") == type_) & F.arrays_overlap("window", F.array(*map(F.lit, found)))
-        c = F.when(hit & (F.lit(factor < 1) | (c < 0.98)) & (F.lit(factor > 1) | (c > 0.02)), clamp(c * factor)).otherwise(c)
+    rule = F.lit(1.0)
+    for type_, found, factor in rules:  # one rule a type, so the first that applies is the only one
+        rule = F.when((F.col("type") == type_) & F.arrays_overlap("window", F.array(*map(F.lit, found))), F.lit(factor)).otherwise(rule)
+    c = F.when((rule > 1) & (c >= 0.98) | (rule < 1) & (c <= 0.02), c).otherwise(clamp(c * rule))
+    windowed = windowed.withColumn("confidence", c)
+    c = F.col("confidence")
     short = (F.col("type") == "NAME") & (F.length("text") < 4)
     return windowed.withColumn("confidence", F.when(short & (c > 0.02), clamp(c * 0.7)).otherwise(c))
 
@@ -94,7 +97,10 @@ def field_contexts(docs: DataFrame, labels=FIELD_LABELS) -> DataFrame:
     """(doc_id, label_start, value_start, value_end, expected, sure): the rest of the line after each label, or the next line where nothing follows."""
     from veilframe.functions.match import matches
 
-    found = F.concat(*[F.transform(matches(F.col("text"), p), lambda m, e=expected, s=sure: F.struct(m["start"].alias("label_start"), m["end"].alias("label_end"), F.lit(e).alias("expected"), F.lit(s).alias("sure"))) for p, expected, sure in labels])
+    def labelled(p: str, expected: str, sure: float) -> Column:
+        return F.transform(matches(F.col("text"), p), lambda m: F.struct(m["start"].alias("label_start"), m["end"].alias("label_end"), F.lit(expected).alias("expected"), F.lit(sure).alias("sure")))
+
+    found = F.concat(*[labelled(*x) for x in labels])
     rows = docs.select("doc_id", "text", F.explode(found).alias("f")).select("doc_id", "text", "f.*")
     tail = F.substr(F.col("text"), F.col("label_end") + 1, F.lit(400))
     lead = F.length(F.regexp_extract(tail, r"^([ \t]*\n?[ \t]*)", 1))

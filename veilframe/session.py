@@ -1,13 +1,14 @@
-"""Making this package importable on the executors."""
+"""What a session needs: this package on the executors, and written intermediate tables."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -24,3 +25,15 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f"{root.name}/{f.relative_to(root)}")
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder in ``spark.checkpoint.dir`` and read back, for what several branches of a plan read."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = f"file://{tempfile.mkdtemp(prefix='veilframe-')}"
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
