@@ -256,7 +256,7 @@ def expected_counts(rows: list[np.ndarray], first: np.ndarray, m: Model, total:
         gamma = alpha[t, :n] * beta[:n]
         if t:
             ahead = m.emit[obs[t, :n]] * beta[:n] / scale[t, :n, None]
-            moves += alpha[t - 1, :n].T @ ahead
+            moves += m.move * (alpha[t - 1, :n].T @ ahead)
             beta[:n] = ahead @ m.move.T
         else:
             starts += gamma[head].sum(0)
