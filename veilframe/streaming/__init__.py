@@ -29,10 +29,11 @@ def cut(buffer: str, limit: int = LIMIT, overlap: int = OVERLAP, force: bool = F
     return buffer[:best], buffer[best:]
 
 
-def segments(chunks: DataFrame, timeout: str = "1 minute") -> DataFrame:
+def segments(chunks: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
     """(stream_id, seq, text, final) to whole segments (stream_id, position, text), with the rest of each stream as state.
 
-    A chunk with ``final`` flushes its stream; so does a processing-time timeout, whose text is emitted, not lost.
+    A chunk with ``final`` flushes its stream; so do ``timeout_ms`` without a chunk, whose text is emitted, not lost. With 0 there
+    is no timeout: a query with one runs empty batches for ever and so never ends by itself.
     """
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:  # noqa: ANN001
@@ -53,18 +54,19 @@ def segments(chunks: DataFrame, timeout: str = "1 minute") -> DataFrame:
             state.remove()
         else:
             state.update((buffer, position))
-            state.setTimeoutDuration(60_000)
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(rows, columns=["stream_id", "position", "text"])
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, position long, text string", "buffer string, position long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, position long, text string", "buffer string, position long", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
-def redact_stream(chunks: DataFrame, detectors=DEFAULTS) -> DataFrame:
+def redact_stream(chunks: DataFrame, detectors=DEFAULTS, timeout_ms: int = 60_000) -> DataFrame:
     """Redacted segments of a stream of chunks: the batch expressions over ``segments``."""
-    found = detect(segments(chunks), detectors)
+    found = detect(segments(chunks, timeout_ms), detectors)
     return redact(resolve(found)).select("stream_id", "position", "redacted", "n_redactions")
 
 
 def drift_stream(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts by window and type, emitted when the watermark has passed."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
