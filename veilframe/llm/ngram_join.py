@@ -5,12 +5,13 @@ each fragment the n-grams that it has there, packed; a fragment counts, for ever
 how many; the counts of a pair are summed over the fragments. No fragment sees a whole document and no document is compared
 with all others.
 
-N-grams that very many documents share would make all pairs of those. They are found first (``HOT`` documents at least, a
-list of at most ``HOT_LIST`` of them by their number of documents), and kept with the document instead of in fragments.
+N-grams that ``HOT`` documents or more share make no pairs; they are kept with each of their documents, as its hot list. A
+fragment knows which of its n-grams these are. The most frequent, at most ``HOT_LIST`` by a count of what each task saw
+more than once, are known before and skip the fragments, so that none fills a task; which ones does not change the result.
 So a pair has two parts: the sum over the fragments, and the overlap of two hot lists, which is taken only where it could
 decide. A pair without any fragment in common can be linked only if 75 % of either set are hot; such documents go another
-way (``hot_links``), which links them into the same components without making all their pairs. N-grams beyond the hot list
-are counted in fragments whatever their number, so no bound changes the result.
+way (``hot_links``), which links them into the same components without making all their pairs. The pairs made are at most ``HOT / 2`` for
+each n-gram of a document, in proportion to the input.
 
 Exact copies (equal word sequences, by a 64-bit hash) are one node. Hashes of n-grams travel as the fragment and 48 bits:
 for two sets of 10,000 the chance that an overlap is off is below 1e-6, whatever the size of the corpus.
@@ -35,7 +36,7 @@ from veilframe.llm.components import connected_components
 from veilframe.llm.tables import partitions, table, written
 from veilframe.llm.text import RunHasher, words
 
-HOT, HOT_LIST, LOCAL, CHUNK, BLOCK = 24, 65_536, 3, 1_000_000, 2048
+HOT, HOT_LIST, LOCAL, CHUNK, BLOCK = 24, 65_536, 2, 1_000_000, 2048
 
 
 def node_of(found: list[bytes]) -> int:
@@ -89,21 +90,31 @@ def hot_grams(surveyed: DataFrame, hot: int = HOT, most: int = HOT_LIST) -> np.n
     return np.array([n for _, n in rows], np.int64).view(np.uint64)
 
 
-_HEAD = np.dtype([("node", "<i8"), ("n", "<u4"), ("hot", "<u2"), ("k", "<u2")])
+_HEAD = np.dtype([("node", "<i8"), ("n", "<u4"), ("k", "<u2")])
 
 
-def fragmented(docs: DataFrame, hot, n_fragments: int) -> DataFrame:
-    """(fragment, blob) of the documents' n-grams by range of the order; fragment -1 holds a document's node, n and hot list."""
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions a number that hash partitioning puts there, so that each fragment gets a task of its own."""
+    found: dict[int, int] = {}
+    for r in spark.range(32 * n).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect():
+        found[r.p] = r.id
+    return [found.get(p, 32 * n + p) for p in range(n)]
+
+
+def fragmented(docs: DataFrame, hot, keys: list[int]) -> DataFrame:
+    """(fragment, blob) of the documents' n-grams by range of the order, and (fragment, node, n, codes) of their hot lists, dealt over the fragments."""
+
+    n_fragments = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = RunHasher()
         by_hash = np.sort(hot.value)
         rank = np.argsort(hot.value, kind="stable").astype(np.uint32)
         seen: set[int] = set()
-        heads: list[tuple[int, int, int]] = []
+        heads: list[tuple[int, int]] = []
         grams: list[np.ndarray] = []
         size = 0
-        names = ["fragment", "node", "n", "blob"]
+        names = ["fragment", "node", "n", "codes", "blob"]
 
         def out() -> pa.RecordBatch:
             flat = np.concatenate(grams)
@@ -117,20 +128,20 @@ def fragmented(docs: DataFrame, hot, n_fragments: int) -> DataFrame:
             if (run_len > 65_535).any():  # a very long text: several heads for one run
                 run_start = np.concatenate([np.arange(s, s + n, 65_535) for s, n in zip(run_start, run_len)])
                 run_len = np.diff(np.append(run_start, len(flat)))
-            table_ = np.array(heads, dtype=[("node", "<i8"), ("n", "<u4"), ("hot", "<u4")])
+            table_ = np.array(heads, dtype=[("node", "<i8"), ("n", "<u4")])
             head = np.zeros(len(run_start), _HEAD)
-            head["node"], head["n"], head["hot"], head["k"] = table_["node"][doc[run_start]], table_["n"][doc[run_start]], np.minimum(table_["hot"][doc[run_start]], 65_535), run_len
+            head["node"], head["n"], head["k"] = table_["node"][doc[run_start]], table_["n"][doc[run_start]], run_len
             ids, blobs = [], []
             cut = np.append(np.searchsorted(fragment, np.arange(n_fragments)), len(fragment))
             head_cut = np.searchsorted(run_start, cut)
             for f in range(n_fragments):
                 if cut[f + 1] > cut[f]:
                     h = head[head_cut[f] : head_cut[f + 1]]
-                    ids.append(f)
+                    ids.append(keys[f])
                     blobs.append(len(h).to_bytes(4, "little") + h.tobytes() + low[cut[f] : cut[f + 1]].tobytes())
             heads.clear()
             grams.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64()), pa.array(blobs, pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.list_(pa.int64())), pa.array(blobs, pa.binary())], names)
 
         for b in batches:
             hot_rows = []
@@ -147,19 +158,20 @@ def fragmented(docs: DataFrame, hot, n_fragments: int) -> DataFrame:
                     at = np.minimum(np.searchsorted(by_hash, g), len(by_hash) - 1)
                     is_hot = by_hash[at] == g
                     if is_hot.any():
-                        hot_rows.append((-1, node, len(g), np.sort(rank[at[is_hot]]).astype("<u4").tobytes()))
-                heads.append((node, len(g), int(is_hot.sum())))
+                        hot_rows.append((keys[node % n_fragments], node, len(g), rank[at[is_hot]].astype(np.int64)))
+                heads.append((node, len(g)))
                 grams.append(g[~is_hot])
                 size += len(g)
                 if size >= CHUNK:
                     yield out()
                     size = 0
             if hot_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*hot_rows), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names)
+                columns = [pa.array(c, k) for c, k in zip(zip(*hot_rows), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(hot_rows), pa.binary())], names)
         if grams:
             yield out()
 
-    return docs.select("t").mapInArrow(run, "fragment int, node long, n long, blob binary")
+    return docs.select("t").mapInArrow(run, "fragment long, node long, n long, codes array<long>, blob binary")
 
 
 def linked(overlap, a, b):
@@ -167,76 +179,103 @@ def linked(overlap, a, b):
     return 175 * overlap >= 75 * (a + b)
 
 
-def partial_counts(fragment: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs (a, b, na, nb, hot_a, hot_b, shared) of one fragment, those of possible sizes alone; in parts of bounded size."""
-    heads, lows = [], []
-    for blob in fragment:
-        m = int.from_bytes(blob[:4], "little")
-        heads.append(np.frombuffer(blob, _HEAD, m, 4))
-        lows.append(np.frombuffer(blob, np.uint8, offset=4 + m * _HEAD.itemsize).reshape(-1, 6))
+def partial_counts(number: int, fragment: list[bytes]) -> Iterator[tuple[str, tuple]]:
+    """What one fragment knows. ("pairs", (a, b, na, nb, shared)) of pairs of possible sizes, from n-grams of fewer than ``HOT``
+    documents, so at most ``HOT / 2`` pairs for each n-gram of a document; ("late", (node, n, codes)) of the documents of others."""
+    heads = [np.frombuffer(blob, _HEAD, int.from_bytes(blob[:4], "little"), 4) for blob in fragment]
     head = np.concatenate(heads)
-    gram = np.zeros((sum(map(len, lows)), 8), np.uint8)
-    gram[:, :6] = np.concatenate(lows)
-    gram = gram.view("<u8").ravel()
     nodes, first, doc = np.unique(head["node"], return_index=True, return_inverse=True)
-    n, hot = head["n"][first].astype(np.int64), head["hot"][first].astype(np.int64)
-    doc = np.repeat(doc, head["k"])
-    order = np.lexsort((doc, gram))
+    n = head["n"][first].astype(np.int64)
+    sent = np.repeat(np.arange(len(heads), dtype=np.int32), [len(h) for h in heads])
+    kept = np.repeat(sent == sent[first][doc], head["k"])  # of copies that several tasks sent, the first
+    gram = np.zeros((int(head["k"].sum()), 8), np.uint8)
+    at = 0
+    for blob, h in zip(fragment, heads):
+        low = np.frombuffer(blob, np.uint8, offset=4 + h.nbytes).reshape(-1, 6)
+        gram[at : at + len(low), :6] = low
+        at += len(low)
+    gram = gram.view("<u8").ravel()[kept]
+    doc = np.repeat(doc.astype(np.int32), head["k"])[kept]
+    del head, heads, kept, sent
+    order = np.argsort(gram)
     gram, doc = gram[order], doc[order]
-    fresh = np.concatenate([[True], (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])])  # copies sent by several tasks
-    gram, doc = gram[fresh], doc[fresh]
-    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    del order
+    same = gram[1:] == gram[:-1]
+    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    gram, doc = gram[shared], doc[shared].astype(np.int64)  # the n-grams of one document alone count for its size only
+    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
     length = np.diff(np.append(start, len(gram)))
+    late = np.repeat(length >= HOT, length)
+    if late.any():
+        code, who = gram[late].astype(np.int64) + ((number + 1) << 48), doc[late]
+        order = np.argsort(who, kind="stable")
+        code, who = code[order], who[order]
+        at = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+        yield "late", (nodes[who[at]], n[who[at]], pa.ListArray.from_arrays(pa.array(np.append(at, len(who)).astype(np.int32)), pa.array(code)))
     m = len(nodes)
     held: list[np.ndarray] = []
     size = 0
 
-    def out() -> tuple[np.ndarray, ...]:
+    def out() -> tuple[str, tuple]:
         code, shared = np.unique(np.concatenate(held), return_counts=True)
         i, j = code // m, code % m
-        return nodes[i], nodes[j], n[i], n[j], np.where(hot[i] == 65_535, n[i], hot[i]), np.where(hot[j] == 65_535, n[j], hot[j]), shared
+        return "pairs", (nodes[i], nodes[j], n[i], n[j], shared)
 
-    for k in np.unique(length[length > 1]):
+    for k in range(2, HOT):
         at = start[length == k]
-        i, j = np.triu_indices(int(k), 1) if k <= 2048 else (None, None)
-        step = max(1, 2_000_000 // (int(k) * (int(k) - 1) // 2)) if k <= 2048 else 1
+        i, j = np.triu_indices(k, 1)
+        step = 500_000 // len(i)
         for lo in range(0, len(at), step):
             members = doc[at[lo : lo + step, None] + np.arange(k)]
-            parts = [(members[:, i].ravel(), members[:, j].ravel())] if k <= 2048 else ((np.repeat(members[0, r : r + 1], int(k) - r - 1), members[0, r + 1 :]) for r in range(int(k)))
-            for x, y in parts:
-                ok = 100 * np.minimum(n[x], n[y]) >= 75 * np.maximum(n[x], n[y])
-                held.append(x[ok] * m + y[ok])
-                size += int(ok.sum())
-                if size > 4_000_000:
-                    yield out()
-                    held, size = [], 0
+            members.sort(1)
+            x, y = members[:, i].ravel(), members[:, j].ravel()
+            ok = 100 * np.minimum(n[x], n[y]) >= 75 * np.maximum(n[x], n[y])
+            held.append(x[ok] * m + y[ok])
+            size += int(ok.sum())
+            if size > 1_000_000:
+                yield out()
+                held, size = [], 0
     if held:
         yield out()
 
 
-def counted(pieces: DataFrame, n_fragments: int) -> DataFrame:
-    """(a, b, na, nb, ha, hb, shared): the partial counts of all fragments summed for each pair."""
-    names = ["a", "b", "na", "nb", "ha", "hb", "shared"]
+def counted(pieces: DataFrame, keys: list[int]) -> DataFrame:
+    """kind 0: (a, b, na, nb, shared), the partial count of a pair in one fragment. kind 1: (a, na, codes), hot n-grams of a document."""
+    names = ["kind", "a", "b", "na", "nb", "shared", "codes"]
+    number = {key: f for f, key in enumerate(keys)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for b in batches:
-            for f, blob in zip(b.column("fragment").to_pylist(), b.column("blob").to_pylist()):
+            at = pa.array(np.flatnonzero(b.column("codes").is_valid().to_numpy(zero_copy_only=False)))
+            if len(at):
+                yield hot_lists(*(b.column(c).take(at) for c in ("node", "n", "codes")))
+            blobs = b.column("blob")
+            for i, key in enumerate(b.column("fragment").to_pylist()):
+                f, blob = number[key], blobs[i].as_py()
                 if f != now and held:
-                    yield from batch(held)
+                    yield from batch(now, held)
                     held = []
                 now = f
-                held.append(blob)
+                if blob is not None:
+                    held.append(blob)
         if held:
-            yield from batch(held)
+            yield from batch(now, held)
+
+    def hot_lists(node: pa.Array, n: pa.Array, codes: pa.Array) -> pa.RecordBatch:
+        m, none = len(node), pa.nulls(len(node), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), node, none, n, none, none, codes], names)
 
-    def batch(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        for part in partial_counts(held):
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in part], names)
+    def batch(number: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        for kind, part in partial_counts(number, held):
+            if kind == "late":
+                yield hot_lists(pa.array(part[0]), pa.array(part[1]), part[2])
+            else:
+                m = len(part[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), *(pa.array(c.astype(np.int64)) for c in part), pa.nulls(m, pa.list_(pa.int64()))], names)
 
-    rows = pieces.where("fragment >= 0").select("fragment", "blob").repartition(n_fragments, "fragment").sortWithinPartitions("fragment")
-    parts = rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
-    return parts.groupBy("a", "b").agg(*(F.first(c).alias(c) for c in names[2:6]), F.sum("shared").alias("shared"))
+    rows = pieces.repartition(len(keys), "fragment").sortWithinPartitions("fragment")
+    return written(rows.mapInArrow(run, "kind int, a long, b long, na long, nb long, shared long, codes array<long>"), "ngram-partial")
 
 
 def overlaps_with(flat: np.ndarray, offsets: np.ndarray, own: np.ndarray, mark: np.ndarray) -> np.ndarray:
@@ -247,10 +286,17 @@ def overlaps_with(flat: np.ndarray, offsets: np.ndarray, own: np.ndarray, mark:
     return got
 
 
-def block_components(nodes: np.ndarray, n: np.ndarray, lists: list[np.ndarray], width: int) -> np.ndarray:
+def renumbered(lists: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """The same lists over 0, 1, ... and how many numbers those take."""
+    seen, flat = np.unique(np.concatenate(lists), return_inverse=True)
+    return np.split(flat, np.cumsum([len(x) for x in lists])[:-1]), len(seen)
+
+
+def block_components(nodes: np.ndarray, n: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
     """The least linked node of each node, exactly: each component grows by comparing its members with what is still outside."""
     label = np.zeros(len(nodes), np.int64)
     outside = np.argsort(nodes, kind="stable")
+    lists, width = renumbered(lists)
     mark = np.zeros(width, np.int32)
     while len(outside):
         root, outside = outside[0], outside[1:]
@@ -270,67 +316,33 @@ def block_components(nodes: np.ndarray, n: np.ndarray, lists: list[np.ndarray],
     return label
 
 
-def hot_classes(hot_docs: DataFrame, n_hot: int) -> np.ndarray:
-    """A class for each hot n-gram such that two linked documents without a fragment in common are of one class.
+def hot_classes(docs: DataFrame) -> DataFrame:
+    """(node, n, codes, class) such that two linked documents without a fragment in common are of one class.
 
     By the prefix rule such documents share one of their first n - ceil(0.75 n) + 1 n-grams in any one order; in the order
-    that puts the hot ones last, rarest first, these are hot ones, and each document joins its own into one class. Each task
-    keeps a forest over the hot list, which has a fixed size, and so does the driver.
+    that puts the hot ones last, by code, these are hot ones. So classes are the components of the hot n-grams that stand in
+    the prefix of one document, found like all components, by joins.
     """
-
-    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root = np.arange(n_hot)
-        edges = []
-        for b in batches:
-            for n, raw in zip(b.column("n").to_pylist(), b.column("blob").to_pylist()):
-                own = prefix(n, np.frombuffer(raw, "<u4"))
-                for x, y in zip(own[:-1], own[1:]):
-                    if (r := _root(root, x)) != (s := _root(root, y)):
-                        root[max(r, s)] = min(r, s)
-                        edges.append((int(x), int(y)))
-        yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["x", "y"])
-
-    root = np.arange(n_hot)
-    for r in hot_docs.select("n", "blob").mapInArrow(forest, "x long, y long").distinct().collect():
-        a, b = _root(root, r.x), _root(root, r.y)
-        root[max(a, b)] = min(a, b)
-    return np.array([_root(root, i) for i in range(n_hot)], np.int64)
+    first = F.col("n") - F.ceil(0.75 * F.col("n")) + 1 - (F.col("n") - F.size("codes"))
+    own = docs.withColumn("head", F.slice("codes", 1, F.greatest(F.lit(1), first).cast("int")))
+    steps = own.select(F.explode(F.arrays_zip(F.slice("head", F.lit(1), F.size("head") - 1).alias("x"), F.slice("head", F.lit(2), F.size("head") - 1).alias("y"))).alias("e"), ).where("e.x is not null and e.y is not null").select(F.col("e.x").alias("a"), F.col("e.y").alias("b"))
+    component = connected_components(steps.distinct()).select(F.col("node").alias("_c"), "component")
+    return own.join(component, F.col("head")[0] == F.col("_c"), "left").select("node", "n", "codes", F.coalesce("component", F.col("head")[0]).alias("class"))
 
 
-def _root(root: np.ndarray, i: int) -> int:
-    while root[i] != i:
-        root[i] = root[root[i]]
-        i = root[i]
-    return int(i)
-
-
-def prefix(n: int, own: np.ndarray) -> np.ndarray:
-    """The hot n-grams among the first n - ceil(0.75 n) + 1 of a set of n, with ``own`` its hot ones, last in the order."""
-    first = n - (3 * n + 3) // 4 + 1
-    return own[: max(0, first - (n - len(own)))]
-
-
-def hot_links(hot_docs: DataFrame, n_hot: int, block: int = BLOCK) -> DataFrame:
+def hot_links(hot_docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that connect the documents of mostly hot n-grams exactly as all their links would.
 
     Blocks of a class are solved exactly, then blocks of the representatives of what was found, which joins a large group of
     near copies in two rounds. Whatever is not in the largest component of its class by then is compared, block by block,
     with all of its class. So every link is either inside a known component or found.
     """
-    spark = hot_docs.sparkSession
-    classes = spark.sparkContext.broadcast(hot_classes(hot_docs, n_hot))
-
-    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [classes.value[prefix(n, np.frombuffer(raw, "<u4"))[0]] for n, raw in zip(b.column("n").to_pylist(), b.column("blob").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int64())], [*b.schema.names, "class"])
-
-    docs = written(hot_docs.select("node", "n", "blob").mapInArrow(classify, "node long, n long, blob binary, class long"), "ngram-hot-class")
+    docs = written(hot_classes(hot_docs), "ngram-hot-class")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        lists = [np.frombuffer(x, "<u4") for x in pdf["blob"]]
+        lists = [np.asarray(x, np.int64) for x in pdf["codes"]]
         nodes = pdf["node"].to_numpy(np.int64)
-        return pd.DataFrame({"a": nodes, "b": block_components(nodes, pdf["n"].to_numpy(np.int64), lists, n_hot), "class": pdf["class"]})
+        return pd.DataFrame({"a": nodes, "b": block_components(nodes, pdf["n"].to_numpy(np.int64), lists), "class": pdf["class"]})
 
     now, edges, blocks = docs, [], 2
     for _ in range(3):
@@ -352,48 +364,40 @@ def hot_links(hot_docs: DataFrame, n_hot: int, block: int = BLOCK) -> DataFrame:
     size = labelled.groupBy("class", "component").agg(F.count(F.lit(1)).alias("size"))
     main = size.groupBy("class").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
     rest = labelled.join(F.broadcast(main), "class").where("component <> main").drop("main")
-    gather = F.collect_list(F.struct("node", "n", "blob", "component")).alias("docs")
+    gather = F.collect_list(F.struct("node", "n", "codes", "component")).alias("docs")
     counts = labelled.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / block).alias("k"))
     all_blocks = labelled.join(F.broadcast(counts), "class").groupBy("class", F.pmod(F.xxhash64("node"), F.col("k")).alias("part")).agg(gather)
     few = rest.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / block).alias("k"))
-    rest_blocks = rest.join(F.broadcast(few), "class").groupBy("class", F.pmod(F.xxhash64("node"), F.col("k")).alias("rest_part")).agg(F.collect_list(F.struct("node", "n", "blob", "component")).alias("rest"))
+    rest_blocks = rest.join(F.broadcast(few), "class").groupBy("class", F.pmod(F.xxhash64("node"), F.col("k")).alias("rest_part")).agg(F.collect_list(F.struct("node", "n", "codes", "component")).alias("rest"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = np.zeros(n_hot, np.int32)
         for b in batches:
             for left, right in zip(b.column("rest"), b.column("docs")):
-                docs_ = right.as_py()
-                lists = [np.frombuffer(d["blob"], "<u4") for d in docs_]
-                flat, offsets = np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-                n, node, comp = (np.array([d[c] for d in docs_], np.int64) for c in ("n", "node", "component"))
+                own, others = left.as_py(), right.as_py()
+                lists, width = renumbered([np.asarray(d["codes"], np.int64) for d in [*own, *others]])
+                mark = np.zeros(width, np.int32)
+                flat, offsets = np.concatenate(lists[len(own) :]), np.concatenate([[0], np.cumsum([len(x) for x in lists[len(own) :]])])
+                n, comp = (np.array([d[c] for d in others], np.int64) for c in ("n", "component"))
                 out = set()
-                for d in left.as_py():
-                    shared = overlaps_with(flat, offsets, np.frombuffer(d["blob"], "<u4"), mark)
-                    hit = linked(shared, n, d["n"]) & (comp != d["component"])
-                    for c in np.unique(comp[hit]):
-                        out.add((d["component"], int(c)))
+                for d, codes in zip(own, lists):
+                    hit = linked(overlaps_with(flat, offsets, codes, mark), n, d["n"]) & (comp != d["component"])
+                    out |= {(d["component"], int(c)) for c in np.unique(comp[hit])}
                 yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["a", "b"])
 
     late = rest_blocks.join(all_blocks, "class").select("rest", "docs").mapInArrow(compare, "a long, b long").distinct()
     return together.unionByName(late)
 
 
-def hot_overlap(pairs: DataFrame, lists: DataFrame) -> DataFrame:
-    """The pairs that the overlap of their hot lists links, with those that need none."""
-    sure = pairs.where(linked(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b")
-    open_ = pairs.where(~linked(F.col("shared"), F.col("na"), F.col("nb")) & linked(F.col("shared") + F.least("ha", "hb"), F.col("na"), F.col("nb")))
-    left = lists.select(F.col("node").alias("a"), F.col("blob").alias("la"))
-    right = lists.select(F.col("node").alias("b"), F.col("blob").alias("lb"))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            more = [len(np.intersect1d(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), True)) for x, y in zip(b.column("la").to_pylist(), b.column("lb").to_pylist())]
-            both = np.array(more, np.int64) + b.column("shared").to_numpy()
-            at = pa.array(np.flatnonzero(linked(both, b.column("na").to_numpy(), b.column("nb").to_numpy())))
-            yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], ["a", "b"])
-
-    met = open_.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "shared", "la", "lb").mapInArrow(meet, "a long, b long")
-    return sure.unionByName(met)
+def pair_links(partial: DataFrame, lists: DataFrame) -> DataFrame:
+    """The pairs that their partial counts link, with the overlap of their hot lists where only that can decide."""
+    pairs = written(partial.where("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared")), "ngram-pairs")
+    sure = linked(F.col("shared"), F.col("na"), F.col("nb"))
+    size = lists.select("node", F.size("codes").alias("h"))
+    open_ = pairs.where(~sure).join(size.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(size.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
+    open_ = open_.where(linked(F.col("shared") + F.least("ha", "hb"), F.col("na"), F.col("nb"))).drop("ha", "hb")
+    met = open_.join(lists.select(F.col("node").alias("a"), F.col("codes").alias("la")), "a").join(lists.select(F.col("node").alias("b"), F.col("codes").alias("lb")), "b")
+    more = F.size(F.array_intersect("la", "lb"))
+    return pairs.where(sure).select("a", "b").unionByName(met.where(linked(F.col("shared") + more, F.col("na"), F.col("nb"))).select("a", "b"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -402,18 +406,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     ``docs`` has doc_id and text; ``row`` is a unique id of the row, as ``monotonically_increasing_id`` gives it.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
+    keys = partition_keys(spark, partitions(spark))
     raw = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"))
     surveyed = survey(raw)
     hot = hot_grams(surveyed)
-    pieces = fragmented(raw, spark.sparkContext.broadcast(hot), n)
-    pairs = counted(pieces, n).where(linked(F.col("shared") + F.least("ha", "hb"), F.col("na"), F.col("nb")))
-    if len(hot):
-        lists = written(pieces.where("fragment = -1").select("node", "n", "blob").dropDuplicates(["node"]), "ngram-hot")
-        mostly = lists.where(4 * (F.length("blob") / 4) >= 3 * F.col("n"))
-        edges = hot_overlap(written(pairs, "ngram-pairs"), lists).unionByName(hot_links(mostly, len(hot)))
-    else:
-        edges = pairs.select("a", "b")
+    pieces = fragmented(raw, spark.sparkContext.broadcast(hot), keys)
+    partial = counted(pieces, keys)
+    lists = written(partial.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.max("na").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes")), "ngram-hot")
+    edges = pair_links(partial, lists)
+    mostly = written(lists.where(4 * F.size("codes") >= 3 * F.col("n")), "ngram-mostly-hot")
+    if not mostly.isEmpty():
+        edges = edges.unionByName(hot_links(mostly))
     component = connected_components(edges)
     rows = surveyed.where("kind = 0").select("row", "doc_id", "node", F.col("n").alias("n_shingles"))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
