@@ -155,7 +155,7 @@ def without_holds(records: DataFrame, holds: DataFrame) -> DataFrame:
 
 def busy_minutes(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
     """Events whose user made more than ``limit`` of them in the ``seconds`` up to it. The window is per user, so it scales with users."""
-    w = Window.partitionBy("user_id").orderBy(F.col("ts").cast("long")).rangeBetween(-seconds, 0)
+    w = Window.partitionBy("user_id").orderBy(F.col("ts").cast("timestamp").cast("long")).rangeBetween(-seconds, 0)
     return events.withColumn("recent", F.count(F.lit(1)).over(w)).where(F.col("recent") > limit)
 
 
@@ -187,18 +187,16 @@ def manifest(rows: DataFrame, original: str, redacted: str) -> DataFrame:
     return rows.select("doc_id", F.sha2(original, 256).alias("original_sha256"), F.sha2(redacted, 256).alias("redacted_sha256")).withColumn("manifest_sha256", F.sha2(F.to_json(F.struct("doc_id", "original_sha256", "redacted_sha256")), 256))
 
 
-def merkle_root(leaves: DataFrame, column: str, fan_in: int = 1024) -> DataFrame:
+def merkle_root(leaves: DataFrame, column: str) -> DataFrame:
     """The root over the sorted hexadecimal leaves; an odd node is paired with itself, pairs are hashed as bytes.
 
-    Each level is a job over rows numbered by place; no level is held in one task until it has ``fan_in`` nodes.
+    Leaves are numbered by prefix and place within it; each level pairs neighbours by number, so no task holds a level.
     """
     spark = leaves.sparkSession
     n = leaves.count()
-    order = Window.orderBy("_b", "h")
     parts = leaves.select(F.col(column).alias("h")).withColumn("_p", F.conv(F.substr("h", F.lit(1), F.lit(4)), 16, 10).cast("int"))
     before = parts.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
     level = parts.join(F.broadcast(before), "_p").select("h", (F.row_number().over(Window.partitionBy("_p").orderBy("h")) - 1 + F.col("_o")).cast("long").alias("i"))
-    del order
     while n > 1:
         pairs = level.groupBy(F.floor(F.col("i") / 2).alias("i")).agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("c"))
         level = pairs.select(F.sha2(F.concat(F.unhex(F.col("c")[0]["h"]), F.unhex(F.element_at("c", -1)["h"])), 256).alias("h"), "i")

@@ -384,9 +384,9 @@ def policy_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return core(spark, sf_dir)[1].select("doc_id", "start", "end", "type", "pattern", gov.policy_action(p).alias("action"))
 
 
-@query("SELECT doc_id, sha256(text) AS original_sha256, sha256(upper(text)) AS redacted_sha256 FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, sha256(text) AS original_sha256, sha256(text || '|') AS redacted_sha256 FROM documents WHERE text IS NOT NULL")
 def audit_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null").withColumn("r", F.upper("text"))
+    d = table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null").withColumn("r", F.concat("text", F.lit("|")))
     return gov.manifest(d, "text", "r").select("doc_id", "original_sha256", "redacted_sha256")
 
 
@@ -602,6 +602,6 @@ def dicom_tag_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gov.tag_rules(tags.select("file", "t.*"))
 
 
-@query("""SELECT doc_id, d, (d + INTERVAL 11 DAY)::DATE AS shifted, '[DATE_' || dense_rank() OVER (PARTITION BY doc_id ORDER BY d) || ']' AS token FROM (SELECT o_custkey AS doc_id, o_orderdate::DATE AS d FROM orders)""")
+@query("""SELECT doc_id, d::VARCHAR AS d, (d + INTERVAL 11 DAY)::DATE::VARCHAR AS shifted, '[DATE_' || dense_rank() OVER (PARTITION BY doc_id ORDER BY d) || ']' AS token FROM (SELECT o_custkey AS doc_id, o_orderdate::DATE AS d FROM orders)""")
 def date_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gov.shifted_dates(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.to_date("o_orderdate").alias("d")), 11)
+    return gov.shifted_dates(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.to_date("o_orderdate").alias("d")), 11).select("doc_id", F.col("d").cast("string").alias("d"), F.col("shifted").cast("string").alias("shifted"), "token")
