@@ -79,5 +79,9 @@ def detect(docs: DataFrame, detectors: Iterable[Detector] = DEFAULTS, text: str
 
 
 def exploded(docs: DataFrame, *keep: str) -> DataFrame:
-    """One row a span: the columns ``keep``, then those of the span."""
-    return docs.select(*keep, F.explode("spans").alias("_s")).select(*keep, "_s.*")
+    """One row a span: the columns ``keep``, then those of the span.
+
+    The outer form, because for the inner one the optimiser puts a filter on the array's size below the projection that makes
+    the array, and so makes it twice or, inside a lambda, once for each element.
+    """
+    return docs.select(*keep, F.explode_outer("spans").alias("_s")).where("_s is not null").select(*keep, "_s.*")
