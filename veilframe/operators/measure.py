@@ -175,3 +175,21 @@ def budget(queries: DataFrame, total: float) -> DataFrame:
     """(user_id, ts, epsilon) with the running sum of each user and whether it is within ``total``."""
     w = Window.partitionBy("user_id").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
     return queries.withColumn("spent", F.round(F.sum("epsilon").over(w), 6)).withColumn("allowed", F.col("spent") <= total)
+
+
+def advanced_composition(epsilon: float, k: int, slack: float) -> float:
+    """The epsilon that k queries of ``epsilon`` each spend together, but for a chance of ``slack``."""
+    return epsilon * math.sqrt(2 * k * math.log(1 / slack)) + k * epsilon * (math.exp(epsilon) - 1)
+
+
+def weight_grid(examples: DataFrame, weights: list[float], thresholds: list[float]) -> DataFrame:
+    """F1 of w * pattern + (1 - w) * context at each weight and threshold; ``examples`` has pattern, context and truth.
+
+    The grid is a literal array in each row, aggregated before the shuffle, so what moves is one row a cell and task.
+    """
+    grid = F.array(*(F.struct(F.lit(float(w)).alias("w"), F.lit(float(t)).alias("threshold")) for w in weights for t in thresholds))
+    cells = examples.select("truth", "pattern", "context", F.explode(grid).alias("g")).select("g.*", "truth", (F.round(F.col("g.w") * F.col("pattern") + (1 - F.col("g.w")) * F.col("context"), 9) >= F.col("g.threshold")).alias("said"))
+    n = lambda c: F.count(F.when(c, 1))
+    said, truth = F.coalesce("said", F.lit(False)), F.coalesce("truth", F.lit(False))
+    counts = cells.groupBy("w", "threshold").agg(n(said & truth).alias("tp"), n(said & ~truth).alias("fp"), n(~said & truth).alias("fn"))
+    return counts.withColumn("f1", F.round(F.when(F.col("tp") == 0, 0.0).otherwise(2.0 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))), 6))

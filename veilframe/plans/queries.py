@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.registry import BY_NAME, DEFAULTS, DETECTORS
 from veilframe.operators import governance as gov
-from veilframe.operators import measure, normalize, postfilter, score
+from veilframe.operators import lookup, measure, normalize, postfilter, score
 from veilframe.operators.apply import TOKEN, redact, restore, tokenize
 from veilframe.operators.detect import detect, exploded
 from veilframe.operators.resolve import FIELD_WORDS, resolve
 from veilframe.plans.duck import detector_sql, spans_sql, specificity_sql, text_of
 from veilframe.session import materialized
-from veilframe.sources import CLINICAL, clinical, table
+from veilframe.sources import CLINICAL, clinical, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,7 +51,7 @@ def _detector_query(name: str) -> None:
     cols = ["doc_id", "start", "end", "text", "type", "confidence", "pattern"]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = table(spark, sf_dir, "documents", "doc_id", "text") if natural else clinical(spark, sf_dir)
+        docs = spread(table(spark, sf_dir, "documents", "doc_id", "text")) if natural else clinical(spark, sf_dir)
         return exploded(detect(docs, [d]), "doc_id").select(*cols)
 
     QUERIES[f"detect_{name}"] = run
@@ -65,7 +65,7 @@ for _d in DETECTORS:
 
 @query('WITH s AS (' + spans_sql([BY_NAME[n] for n in NATURAL], "documents") + ') SELECT type, count(*) AS n, count(DISTINCT doc_id) AS docs FROM s GROUP BY type')
 def span_counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = exploded(detect(table(spark, sf_dir, "documents", "doc_id", "text"), [BY_NAME[n] for n in NATURAL]), "doc_id")
+    s = exploded(detect(spread(table(spark, sf_dir, "documents", "doc_id", "text")), [BY_NAME[n] for n in NATURAL]), "doc_id")
     return s.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
@@ -318,12 +318,12 @@ def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def redact_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redact(resolve(detect(table(spark, sf_dir, "documents", "doc_id", "text"), DEFAULTS))).select("doc_id", "n_redactions", "redacted")
+    return redact(resolve(detect(spread(table(spark, sf_dir, "documents", "doc_id", "text")), DEFAULTS))).select("doc_id", "n_redactions", "redacted")
 
 
 @query("SELECT doc_id, text AS restored FROM documents WHERE text IS NOT NULL")
 def restore_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null")
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text")).where("text is not null")
     return restore(tokenize(resolve(detect(docs, [BY_NAME[n] for n in NATURAL])), "doc_id")).select("doc_id", "restored")
 
 
@@ -332,7 +332,7 @@ _MAIL = BY_NAME["email"].patterns[0].regex
 
 @query(f"SELECT doc_id, regexp_replace(text, {text_of(_MAIL)}, '[EMAIL]', 'g') AS redacted, len(regexp_extract_all(text, {text_of(_MAIL)})) AS n_redactions FROM documents WHERE text IS NOT NULL")
 def redact_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null")
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text")).where("text is not null")
     return redact(resolve(detect(docs, [BY_NAME["email"]]))).select("doc_id", "redacted", "n_redactions")
 
 
@@ -386,7 +386,7 @@ def policy_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, sha256(text) AS original_sha256, sha256(text || '|') AS redacted_sha256 FROM documents WHERE text IS NOT NULL")
 def audit_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null").withColumn("r", F.concat("text", F.lit("|")))
+    d = spread(table(spark, sf_dir, "documents", "doc_id", "text")).where("text is not null").withColumn("r", F.concat("text", F.lit("|")))
     return gov.manifest(d, "text", "r").select("doc_id", "original_sha256", "redacted_sha256")
 
 
@@ -397,7 +397,7 @@ def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def exact_duplicate_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+    return spread(table(spark, sf_dir, "documents", "doc_id", "text")).where("text is not null").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 @query(r"SELECT sha256(regexp_replace(regexp_replace(html, '>[^<]*<', '><', 'g'), '=\"[^\"]*\"', '', 'g')) AS skeleton, count(*) AS n FROM pages GROUP BY 1".replace('\\"', '"'))
@@ -458,7 +458,7 @@ def alert_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, translate(text, '{normalize.OCR_FROM}', '{normalize.OCR_TO}') AS digits, length(regexp_replace(translate(text, '{normalize.OCR_FROM}', '{normalize.OCR_TO}'), '[^0-9]', '', 'g')) AS n FROM documents")
 def ocr_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", normalize.ocr_digits(F.col("text")).alias("digits"))
+    d = spread(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", normalize.ocr_digits(F.col("text")).alias("digits"))
     return d.select("doc_id", "digits", F.length(normalize.digits(F.col("digits"))).cast("long").alias("n"))
 
 
@@ -467,7 +467,7 @@ _CH = lambda p: f"least(1.0, 2 * len(regexp_extract_all(text, {text_of(p)})) / g
 
 @query(f"""SELECT doc_id, round(least(1.0, {_CH('[a-z][0-9][a-z]')} * 0.30::DOUBLE + {_CH('[a-z][A-Z]')} * 0.25::DOUBLE + {_CH('[a-z]  +[a-z]')} * 0.20::DOUBLE + {_CH('[#$%&*@]{2,}')} * 0.15::DOUBLE), 6)::DOUBLE AS chaos FROM documents WHERE text IS NOT NULL""")
 def chaos_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null").select("doc_id", normalize.chaos_score(F.col("text")).alias("chaos"))
+    return spread(table(spark, sf_dir, "documents", "doc_id", "text")).where("text is not null").select("doc_id", normalize.chaos_score(F.col("text")).alias("chaos"))
 
 
 _TRICK = "CASE doc_id % 4 WHEN 0 THEN concat('p', chr(1072), 'ypal') WHEN 1 THEN concat('pay', chr(8203), 'pal') ELSE 'paypal' END"
@@ -506,7 +506,7 @@ TRUTH = "SELECT doc_id, CAST(27 AS BIGINT) AS start, CAST(27 + length(CAST(10000
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null")
+    d = spread(table(spark, sf_dir, "documents", "doc_id", "text")).where("text is not null")
     v = (F.col("doc_id") + 100000).cast("string")
     return d.select("doc_id", F.lit(27).cast("long").alias("start"), (F.length(v) + 27).cast("long").alias("end"), v.alias("text"), F.lit("MRN").alias("type"))
 
@@ -605,3 +605,64 @@ def dicom_tag_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, d::VARCHAR AS d, (d + INTERVAL 11 DAY)::DATE::VARCHAR AS shifted, '[DATE_' || dense_rank() OVER (PARTITION BY doc_id ORDER BY d) || ']' AS token FROM (SELECT o_custkey AS doc_id, o_orderdate::DATE AS d FROM orders)""")
 def date_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gov.shifted_dates(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.to_date("o_orderdate").alias("d")), 11).select("doc_id", F.col("d").cast("string").alias("d"), F.col("shifted").cast("string").alias("shifted"), "token")
+
+
+# ---- looking up ------------------------------------------------------------------------------------------------------
+
+_VALUES = """SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 0 THEN concat(CAST(c_custkey % 1000 + 100 AS STRING), '-', CAST(10 + c_custkey % 90 AS STRING), '-', CAST(1000 + c_custkey % 9000 AS STRING))
+ WHEN 1 THEN concat('+1 (555) 201-', CAST(1000 + c_custkey % 9000 AS STRING)) WHEN 2 THEN concat('10.0.', CAST(c_custkey % 400 AS STRING), '.7') WHEN 3 THEN '2001:db8:0:0:0:0:0:1' WHEN 4 THEN concat('1HGCM82633A', CAST(100000 + c_custkey % 900000 AS STRING))
+ WHEN 5 THEN concat('ABC-', CAST(c_custkey % 1000 AS STRING)) WHEN 6 THEN concat(CAST(c_custkey % 120 AS STRING), '.5, -', CAST(c_custkey % 200 AS STRING), '.25') ELSE c_name END AS v FROM {0}"""
+
+
+@query(f"SELECT id, {', '.join(f'({sql}) AS is_{name}' for name, sql in lookup.VALUE_TESTS.items())} FROM ({_VALUES.format('customer')})".replace("regexp_like(", "regexp_matches("))
+def value_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer", "c_custkey", "c_name")
+    return lookup.value_tests(spark.sql(_VALUES.format("{rows}"), rows=rows)).drop("v")
+
+
+@query("""WITH p AS (SELECT DISTINCT r_name AS s FROM region UNION SELECT n_name FROM nation), term AS (SELECT s AS term, lower(s) AS l FROM p), tok AS (SELECT concat(substr(s, 1, 3), substr(s, 5)) AS token FROM p UNION SELECT s FROM p),
+a AS (SELECT token, len(g) AS n, unnest(g) AS k FROM (SELECT token, list_distinct(list_transform(range(1, length(token) + 2), lambda i: substr(concat('  ', lower(token), ' '), i, 3))) AS g FROM tok)),
+b AS (SELECT term, len(g) AS m, unnest(g) AS k FROM (SELECT term, list_distinct(list_transform(range(1, length(term) + 2), lambda i: substr(concat('  ', l, ' '), i, 3))) AS g FROM term)),
+c AS (SELECT token, term, round(count(*) / (n + m - count(*)), 6) AS similarity FROM a JOIN b USING (k) GROUP BY token, n, term, m)
+SELECT token, term, similarity FROM c WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY token ORDER BY similarity DESC, term) = 1""")
+def trigram_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "region", F.col("r_name").alias("term")).unionByName(table(spark, sf_dir, "nation", F.col("n_name").alias("term"))).distinct()
+    t = p.select(F.concat(F.substr("term", F.lit(1), F.lit(3)), F.substr("term", F.lit(5))).alias("token")).unionByName(p.select(F.col("term").alias("token")))
+    return lookup.trigram_lookup(t, p)
+
+
+_W = "regexp_extract_all(lower(text), '[A-Za-z0-9_]+')"
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_W} AS w FROM documents), ph AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(text), '[A-Za-z0-9_]+')[1:3], ' ') AS phrase FROM benchmark),
+g AS (SELECT doc_id, i AS word, array_to_string(w[i+1:i+3], ' ') AS phrase FROM (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS i FROM w WHERE len(w) >= 3))
+SELECT doc_id, word, phrase FROM g JOIN ph USING (phrase)""")
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[A-Za-z0-9_]+"), F.lit(0))
+    phrases = table(spark, sf_dir, "benchmark", "text").select(F.array_join(F.slice(words, 1, 3), " ").alias("phrase"))
+    return lookup.phrase_search(spread(table(spark, sf_dir, "documents", "doc_id", "text")), phrases, (3,))
+
+
+@query()
+def phonetic_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation", F.lower("n_name").alias("term"))
+    t = n.select(F.regexp_replace("term", "c", "k").alias("token")).unionByName(n.select(F.concat("term", F.lit("x")).alias("token")))
+    return lookup.phonetic_lookup(t, n)
+
+
+@query()
+def ocr_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation", "n_name").select("n_name", F.explode(lookup.ocr_variants(F.col("n_name"))).alias("variant"))
+
+
+@query("SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, {text_of(p)})) AS {name}" for name, p in lookup.LAYOUT.items()) + f" FROM ({CLINICAL})")
+def document_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clinical(spark, sf_dir).select("doc_id", *lookup.structure(F.col("text")))
+
+
+@query("""WITH e AS (SELECT (doc_id % 100) / 100.0::DOUBLE AS pattern, (doc_id * 7 % 100) / 100.0::DOUBLE AS context, quality = 1 AS truth FROM labels), w AS (SELECT i / 10.0::DOUBLE AS w FROM range(0, 11) t(i)), t AS (SELECT i / 10.0::DOUBLE AS threshold FROM range(3, 8) t(i)),
+c AS (SELECT w, threshold, count(*) FILTER (s AND truth) AS tp, count(*) FILTER (s AND NOT truth) AS fp, count(*) FILTER (NOT s AND truth) AS fn FROM (SELECT w, threshold, truth, round(w * pattern + (1 - w) * context, 9) >= threshold AS s FROM e, w, t) GROUP BY w, threshold)
+SELECT w, threshold, tp, fp, fn, round(CASE WHEN tp = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM c""")
+def weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "labels", "doc_id", "quality").select((F.col("doc_id") % 100 / F.lit(100.0)).alias("pattern"), (F.col("doc_id") * 7 % 100 / F.lit(100.0)).alias("context"), (F.col("quality") == 1).alias("truth"))
+    return measure.weight_grid(e, [i / 10 for i in range(11)], [i / 10 for i in range(3, 8)])

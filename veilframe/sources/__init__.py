@@ -11,6 +11,20 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+#: Bytes a core should have to itself before a table counts as large enough to be read as its files lie.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over the cores if the table is small: one file of one row group would keep a single core busy.
+
+    The size is the planner's, so nothing is read for it. Larger tables have row groups enough and are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(4 * cores) if size < cores * SPREAD_BYTES else df
+
+
 def text_tree(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """(path, text), one row a file, of a folder tree."""
     return spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
@@ -31,4 +45,4 @@ CLINICAL = f"SELECT doc_id, concat({HEADER.format(id='doc_id')}, text) AS text,
 def clinical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` with the header before each text: (doc_id, text)."""
     head = F.expr(HEADER.format(id="doc_id"))
-    return table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.concat(head, F.col("text")).alias("text"))
+    return spread(table(spark, sf_dir, "documents", "doc_id", "text")).where("text is not null").select("doc_id", F.concat(head, F.col("text")).alias("text"))
