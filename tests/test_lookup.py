@@ -1,5 +1,10 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
+from veilframe.functions.match import BOUNDARY, java
+from veilframe.functions.registry import DETECTORS
 from veilframe.operators import lookup, measure
 from veilframe.sources import spread
 
@@ -48,3 +53,12 @@ def test_grid_and_composition(spark):
 def test_small_tables_are_spread(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     assert spread(d).count() == d.count() and spread(d).rdd.getNumPartitions() > 1
+
+
+def test_short_boundaries_match_the_same():
+    random.seed(1)
+    texts = ["".join(random.choice("0123456789- .:/éAbcX_@") for _ in range(300)) for _ in range(40)] + ["PATIENT: SMITH, JOHN MRN: A12345 é12345 555-201-1234x5 123-45-6789_"]
+    for d in DETECTORS:
+        for p in d.patterns:
+            full, short = (re.compile(r, re.ASCII) for r in (p.regex.replace(r"\b", BOUNDARY), java(p.regex)))
+            assert all([m.span() for m in full.finditer(t)] == [m.span() for m in short.finditer(t)] for t in texts), p.name
