@@ -324,3 +324,17 @@ def test_deobfuscation(spark):
     for noisy, plain in (("1d10t", "idiot"), ("stuuupid", "stupid"), ("l0ser", "loser"), ("tr@sh", "trash"), ("s.t.u.p.i.d", "stupid"), ("m0r0n!", "moron"), ("garden", "garden"), ("nice,", "nice")):
         assert r.word(noisy.encode()) == plain, noisy
     assert r.spaced(b"you i d i o t there") == ["idiot"]
+
+
+def test_obfuscated_words_at_edges(spark):
+    docs = spark.createDataFrame([("stupid idiot loser trash moron ass " * 20 + "the house and the garden are nice " * 50,)], "text string")
+    model = toxicity.letter_model(toxicity.trigram_counts(docs))
+    r = toxicity.Restorer(model)
+    for text in ("s t u p i d, ok", "s t u p i d. ok", '"s t u p i d"', "(s t u p i d)", "\u201cs t u p i d\u201d", "s\tt\tu\tp\ti\td", "s\nt\nu\np\ni\nd", "s - t . u_p * i , d", "S T * P I D!"):
+        assert r.spaced(text.encode()) == ["stupid"], text
+    assert r.spaced(b"1 d 1 0 +") == ["idiot"] and r.spaced(b"a word of two x y") == []
+    for noisy, plain in (("idio+", "idiot"), ("1d10+!", "idiot"), ("a$$", "ass"), ("a$$!", "ass"), ("stuupid", "stupid"), ("(idiot)", "idiot"), ("garden!", "garden")):
+        assert plain in r.readings(noisy.encode()), noisy
+    scorer = toxicity.Scorer(model, {"stup~": 3.0, "ass": 2.0}, None)
+    assert scorer.run("stupid") == [3.0] and scorer.run("youstupid") == [3.0] and scorer.run("ass") == [2.0] and scorer.run("passed") == []
+    assert scorer.evidence(b"you s t u p i d.")[1] == 3.0 and scorer.evidence(b"* * * " * 200_000 + b"a " * 200_000)[1] == 0.0

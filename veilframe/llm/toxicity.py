@@ -1,9 +1,10 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
-A word that shows leetspeak, inner separators or letters repeated three times or more, and a run of single characters set
-apart, becomes a lattice: each character may stand for itself, for the letters it imitates, or for nothing (a separator,
-a repetition). Viterbi decoding over a character trigram model picks the likeliest letters. Any other word has a lattice
-of one path, itself, so decoding it would change nothing and is left out.
+A word that shows leetspeak, inner separators or repeated letters, and a run of single characters set apart, becomes a
+lattice: each character may stand for itself, for the letters it imitates, or for nothing (a separator, a repetition).
+Viterbi decoding over a character trigram model picks the likeliest letters. Any other word has a lattice of one path,
+itself, so decoding it would change nothing and is left out. Where symbols at a word's end may be letters or punctuation,
+or doubled letters may be meant, the word has several readings, and the strongest counts.
 
 The trigram model is counted over all documents, per partition and summed. Weights of words and of their beginnings come
 from at most ``SAMPLE`` labelled rows (see ``labelled``): the log odds of toxic to other documents, where toxic
@@ -38,10 +39,19 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 SEPARATORS = frozenset(".-_*~'`^,")
 SYMBOLS, CONTEXTS, CAUTION = 28, 5_000, 1.5
 SWAP, SKIP, LITERAL, REPEAT = -1.0, -0.5, -6.0, -0.3
+#: Symbols at a word's end that may be letters.
+ENDING = 16
 _SUSPECT = re.compile(r"[^\W\d_][0-9@$!|+(€£*._~`^-]+[^\W\d_]|[0-9@$!|+(€£*][^\W\d_]|[^\W\d_][0-9@$!|+€£]|([^\W\d_])\1\1")
-_SPACED = re.compile(rb"(?<!\S)(?:[a-z0-9@$!][ .\-_*]+){2,}[a-z0-9@$!](?!\S)")
-_EDGE = re.compile(r"^[^\w@$!|+(€£*]+|[^\w@$!+*]+$")
+#: Single characters with white space or separators between; a star stands between letters or for one. Letters and separators
+#: share no character, so a scan is linear.
+_SPACED = re.compile(r"(?<![^\W_])(?:\*\s++)?(?:[^\W_]|[@$!|+(€£])(?:[\s.\-_*~'`^,]++(?:[^\W_]|[@$!|+(€£])(?![^\W_])){2,}(?:\s\*(?!\w))*")
+_GAP = re.compile(r"[\s.\-_~'`^,]+")
+_EDGE = re.compile(r"^[^\w@$!|+(€£*]+|[^\w@$!|+(€£*]+$")
+_HEAD = re.compile(r"^[\W_]+")
 _TAIL = re.compile(r"[\W_]+$")
+_LEET_TAIL = re.compile(r"[@$!|+(€£*.\-_~'`^,]*[@$!|+(€£*]")
+_AGAIN = re.compile(r"(.)\1{2,}")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
 _ALPHA = re.compile(r"[\W\d_]+")
 
 
@@ -113,11 +123,21 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest letters behind a token. A path's letters are weighed by their mean surprise over the uniform one, so that dropping letters gains nothing."""
+def decodings(token: str, model: np.ndarray, least: int) -> list[str]:
+    """The likeliest letters behind each beginning of a token of ``least`` characters or more. A path's letters are weighed by their mean surprise over the uniform one, so that dropping letters gains nothing."""
     free = math.log(1 / 12)
     states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-    for options in lattice(token):
+
+    def best() -> str:
+        _, path = max(((s + model[a, b, 0] - free, p) for (a, b), (s, p) in states.items()), key=lambda x: x[0])
+        letters = []
+        while path:
+            path, c = path
+            letters.append(c)
+        return "".join(reversed(letters))
+
+    out = [] if least else [""]
+    for n, options in enumerate(lattice(token), 1):
         after: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (score, path) in states.items():
             for c, cost in options:
@@ -129,12 +149,14 @@ def decode(token: str, model: np.ndarray) -> str:
                 if key not in after or after[key][0] < s:
                     after[key] = (s, p)
         states = after
-    _, path = max(((s + model[a, b, 0] - free, p) for (a, b), (s, p) in states.items()), key=lambda x: x[0])
-    letters = []
-    while path:
-        path, c = path
-        letters.append(c)
-    return "".join(reversed(letters))
+        if n >= least:
+            out.append(best())
+    return out
+
+
+def decode(token: str, model: np.ndarray) -> str:
+    """The likeliest letters behind a token."""
+    return decodings(token, model, len(token))[-1]
 
 
 class Restorer:
@@ -144,23 +166,35 @@ class Restorer:
         self.model, self.memo = model, {}
 
     def word(self, token: bytes) -> str:
+        return self.readings(token)[0]
+
+    def readings(self, token: bytes) -> tuple[str, ...]:
+        """What a token may read, without repeats: its letters or what they stand for; with doubled letters decoded; with each number of the symbols at its end, up to ``ENDING``, read as letters; without symbols around it."""
         if (got := self.memo.get(token)) is not None:
             return got
         text = token.decode("utf-8", "replace").lower()
         core = _EDGE.sub("", text)
         plain = _TAIL.sub("", core)
         if _SUSPECT.search(plain) or (plain != core and _SUSPECT.search(core) and not plain.isalpha()):
-            out = decode(plain, self.model)
+            out = [decode(plain, self.model)]
         else:
-            out = _ALPHA.sub("", plain)
+            out = [_ALPHA.sub("", plain)]
+            if _DOUBLE.search(plain):
+                out.append(decode(plain, self.model))
+        if plain != core and (tail := _LEET_TAIL.match(_AGAIN.sub(r"\1\1", core[len(plain) :])[:ENDING])):
+            out += decodings(plain + tail.group(), self.model, len(plain) + 1)
+        bare = _HEAD.sub("", plain)
+        if bare.isalpha():
+            out.append(bare)
+        found = tuple(dict.fromkeys(out))
         if len(self.memo) > 300_000:
             self.memo.clear()
-        self.memo[token] = out
-        return out
+        self.memo[token] = found
+        return found
 
     def spaced(self, text: bytes) -> list[str]:
         """Letters behind runs of single characters set apart."""
-        return [decode(re.sub(r"[^\w@$!]+", "", m.group().decode("ascii")), self.model) for m in _SPACED.finditer(text.lower())]
+        return [decode(_GAP.sub("", m.group()), self.model) for m in _SPACED.finditer(text.decode("utf-8", "replace").lower())]
 
 
 def keys(word: str) -> list[str]:
@@ -174,20 +208,31 @@ class Scorer:
         self.restorer, self.weights, self.logistic, self.memo = Restorer(model), weights, logistic, {}
 
     def weight(self, token: bytes) -> float:
-        w = self.restorer.word(token)
-        out = max((self.weights.get(k, 0.0) for k in keys(w)), default=0.0) if len(w) > 2 else 0.0
+        out = max((self.weights.get(k, 0.0) for w in self.restorer.readings(token) if len(w) > 2 for k in keys(w)), default=0.0)
         if len(self.memo) > 500_000:
             self.memo.clear()
         self.memo[token] = out
         return out
 
+    def run(self, letters: str) -> list[float]:
+        """Weights of the words, and of their beginnings, that start at each letter of a run; one of three letters is all of the run but for a one-letter word before it."""
+        out = []
+        for i in range(len(letters) - 2):
+            least = 3 if len(letters) == i + 3 and letters[:i] in ("", "a", "i") else 4
+            found = [letters[i:j] for j in range(i + least, min(len(letters), i + 16) + 1)]
+            if found:
+                x = max(self.weights.get(k, 0.0) for k in (*found, *keys(found[-1])))
+                if x > 0.0:
+                    out.append(x)
+        return out
+
     def evidence(self, text: bytes | None) -> np.ndarray:
         found = words(text)
         memo, weight = self.memo, self.weight
         ws = [x if (x := memo.get(t)) is not None else weight(t) for t in found]
         ws = [x for x in ws if x > 0.0]
         for letters in self.restorer.spaced(text or b""):
-            ws += [x for i in range(len(letters)) for j in range(i + 4, min(len(letters), i + 16) + 1) if (x := self.weights.get(letters[i:j], 0.0)) > 0]
+            ws += self.run(letters)
         top = [*sorted(ws, reverse=True)[:3], 0.0, 0.0, 0.0]
         return np.array([1.0, top[0], top[1], top[2], math.log1p(1000 * sum(x > 2 for x in ws) / (len(found) + 20))])
 
@@ -223,15 +268,16 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", mod: int = MO
             n = [0, 0]
             for t, y in zip(b.column("t").to_pylist(), b.column("label").to_pylist()):
                 n[y > 0] += 1
-                restored = [restorer.word(w) for w in words(t)]
-                distinct = {k for w in set(restored) if len(w) > 2 for k in keys(w)}
+                restored = [restorer.readings(w) for w in words(t)]
+                distinct = {k for r in set(restored) for w in r if len(w) > 2 for k in keys(w)}
                 if y > 0:
                     docs_with.update(distinct)
-                    for before, w in zip(["", *restored], restored):
-                        if len(w) > 2:
-                            for k in keys(w):
-                                if len(toxic[k]) < CONTEXTS:
-                                    toxic[k].add(zlib.crc32((before if k == w else w).encode()))
+                    for (before, *_), r in zip([("",), *restored], restored):
+                        for w in r:
+                            if len(w) > 2:
+                                for k in keys(w):
+                                    if len(toxic[k]) < CONTEXTS:
+                                        toxic[k].add(zlib.crc32((before if k == w else w).encode()))
                 else:
                     clean.update(distinct)
             rows = [(k, None, c, 0) for k, c in clean.items()] + [(k, None, 0, c) for k, c in docs_with.items()] + [(k, code, 0, 0) for k, s in toxic.items() for code in s] + [("", None, *n)]
