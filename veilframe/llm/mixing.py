@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilframe.llm.tables import partitions, table, written
 from veilframe.llm.text import words
@@ -26,16 +27,20 @@ from veilframe.llm.text import words
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2.0, 17
 
 
-def sizes(docs: DataFrame, *extra: str) -> DataFrame:
-    """doc_id, source, size (words of the text) and a hash-random key of every row."""
+def sizes(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, source, size (words of the text) and a hash-random key of every row; with ``carry`` also the row itself as ``_row`` and a hash of its text as ``_tie``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = pa.array([len(words(t)) for t in b.column("t").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), n], ["doc_id", "source", "size"])
+            names = ["doc_id", "source", *carried]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), n], [*names, "size"])
 
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("binary").alias("t"))
-    return raw.mapInArrow(count, "doc_id long, source string, size long").withColumn("key", F.xxhash64(F.lit(SEED), "doc_id", "size"))
+    carried = ["_row", "_tie"] if carry else []
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.xxhash64(docs["text"]).alias("_tie")] if carry else []
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *row, F.col("text").cast("binary").alias("t"))
+    schema = T.StructType([f for f in raw.schema if f.name != "t"] + [T.StructField("size", T.LongType())])
+    return raw.mapInArrow(count, schema).withColumn("key", F.xxhash64(F.lit(SEED), "doc_id", "size"))
 
 
 def targets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -77,9 +82,12 @@ def lined_up(sized: DataFrame, n: int) -> DataFrame:
                 held, source, i = int(upto[j - 1]), names[i], j
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, pid, np.int32)), pa.array(upto)], [*b.schema.names, "pid", "within"])
 
-    cols = ["doc_id", "source", "size", "key"]
-    ranged = sized.select(*cols).repartitionByRange(n, "source", "key", "doc_id", "size").sortWithinPartitions("source", "key", "doc_id", "size")
-    rows = written(ranged.mapInArrow(running, "doc_id long, source string, size long, key long, pid int, within long"), "mix")
+    carried = [c for c in ("_row", "_tie") if c in sized.columns]
+    cols = ["doc_id", "source", "size", "key", *carried]
+    order = ["source", "key", "doc_id", "size", *carried[1:]]
+    ranged = sized.select(*cols).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    schema = T.StructType([*ranged.schema, T.StructField("pid", T.IntegerType()), T.StructField("within", T.LongType())])
+    rows = written(ranged.mapInArrow(running, schema), "mix")
     sums = rows.groupBy("pid", "source").agg(F.max("within").alias("here"))
     earlier = Window.partitionBy("source").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("pid").alias("_pid"), F.col("source").alias("_source"), F.coalesce(F.sum("here").over(earlier), F.lit(0)).alias("_offset"))
@@ -87,16 +95,16 @@ def lined_up(sized: DataFrame, n: int) -> DataFrame:
     return joined.select(*cols, (F.col("within") + F.col("_offset")).alias("upto"))
 
 
-def mix_to_weights(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """doc_id, source, size, key, source_size, target, epochs (whole passes over the source), upto, taken (words, repeats counted)."""
+def mix_to_weights(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, carry: bool = False) -> DataFrame:
+    """doc_id, source, size, key, source_size, target, epochs (whole passes over the source), upto, taken (words, repeats counted); with ``carry`` also ``_row``."""
     n = partitions(docs.sparkSession)
-    rows = lined_up(sizes(docs), n)
+    rows = lined_up(sizes(docs, carry), n)
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     budget = F.floor("target")
     goal = goal.select(F.col("source").alias("_source"), "source_size", "target", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long").alias("epochs")).withColumn("rest", F.when(F.col("source_size") > 0, budget - F.col("epochs") * F.col("source_size")).otherwise(0).cast("long"))
     joined = rows.join(goal, F.col("source").eqNullSafe(F.col("_source")))
     cut = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - (F.col("upto") - F.col("size"))))
-    return joined.select("doc_id", "source", "size", "key", "source_size", "target", "epochs", "rest", "upto", (F.col("epochs") * F.col("size") + cut).alias("taken"))
+    return joined.select("doc_id", "source", "size", "key", "source_size", "target", "epochs", "rest", "upto", (F.col("epochs") * F.col("size") + cut).alias("taken"), *(["_row"] if carry else []))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,9 +114,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them: whole, in each whole epoch, and once more while the rest of
     the budget lasts. A document that the budget cuts is taken whole, so a source exceeds its target by less than one
-    document. A document without words stays once for each whole epoch, at least once.
+    document. A document without words stays once for each whole epoch, at least once. Each row goes by its own place in
+    the mix, so rows that share an id, or have none, are told apart.
     """
-    plan = mix_to_weights(docs).groupBy("doc_id", "source", "size").agg(F.max(F.greatest(F.lit(1).cast("long") * (F.col("size") == 0).cast("long"), F.col("epochs") + ((F.col("upto") - F.col("size") < F.col("rest")) & (F.col("size") > 0)).cast("long"))).alias("_times"))
-    plan = plan.where("_times > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_times")
-    kept = docs.join(plan.groupBy("_id", "_source").agg(F.max("_times").alias("_times")), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    return kept.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_copy")).drop("_copy")
+    again = (F.col("upto") - F.col("size") < F.col("rest")) & (F.col("size") > 0)
+    times = F.greatest((F.col("size") == 0).cast("long"), F.col("epochs") + again.cast("long"))
+    plan = mix_to_weights(docs, carry=True).select("_row", times.alias("_times")).where("_times > 0")
+    return plan.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_copy")).select("_row.*")
