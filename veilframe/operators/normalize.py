@@ -116,14 +116,24 @@ def deletes(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)))))
 
 
+def forms(word: Column, most: int) -> Column:
+    """A word and all that deleting up to ``most`` characters makes of it."""
+    out = F.array(word)
+    for _ in range(most):
+        out = F.array_distinct(F.flatten(F.transform(out, deletes)))
+    return out
+
+
 def fuzzy_lookup(tokens: DataFrame, terms: DataFrame, most: int = 2) -> DataFrame:
     """(token, term, distance): the nearest term within edit distance ``most`` of each distinct token, ties to the smaller term.
 
-    Two words within distance 2 share a form after one deletion each, or differ in two replacements; the latter are found
-    over the shared Soundex code and length. Joins are on those keys, never all against all.
+    Each edit is at most one deletion on either side, so words within distance ``most`` share a form after up to ``most``
+    deletions each. Joins are on those forms, never all against all. Tokens too long for any term are left out first.
     """
-    t = tokens.select("token").distinct()
-    by_form = t.select("token", F.explode(deletes(F.col("token"))).alias("k")).join(F.broadcast(terms.select("term", F.explode(deletes(F.col("term"))).alias("k"))), "k").select("token", "term")
-    by_sound = t.join(F.broadcast(terms), F.soundex("token") == F.soundex("term")).select("token", "term")
-    d = by_form.unionByName(by_sound).distinct().withColumn("distance", F.levenshtein("token", "term", most)).where("distance >= 0")
-    return d.groupBy("token").agg(F.min_by("term", F.struct("distance", "term")).alias("term"), F.min("distance").cast("long").alias("distance"))
+    d = terms.select("term").where("term is not null").distinct()
+    longest = d.agg(F.max(F.length("term")).alias("_longest"))
+    t = tokens.select("token").distinct().join(F.broadcast(longest), F.length("token") <= F.col("_longest") + most).select("token")
+    keyed = d.select("term", F.explode(forms(F.col("term"), most)).alias("k"))
+    met = t.select("token", F.explode(forms(F.col("token"), most)).alias("k")).join(keyed, "k").select("token", "term").distinct()
+    near = met.withColumn("distance", F.levenshtein("token", "term", most)).where("distance >= 0")
+    return near.groupBy("token").agg(F.min_by("term", F.struct("distance", "term")).alias("term"), F.min("distance").cast("long").alias("distance"))
