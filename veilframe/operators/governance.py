@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -169,16 +171,22 @@ def failure_rate(events: DataFrame, bad: str = "error", limit: float = 0.1) -> D
 
 
 def cooled_down(alerts: DataFrame, seconds: int) -> DataFrame:
-    """(rule, ts): alerts at least ``seconds`` after the last one that passed, of each rule. One fold a rule and day bounds its group."""
-    def run(pdf):  # noqa: ANN001, ANN202
-        pdf = pdf.sort_values("ts")
-        keep, last = [], None
-        for t in pdf["ts"]:
-            keep.append(last is None or (t - last).total_seconds() >= seconds)
-            last = t if keep[-1] else last
-        return pdf[keep]
-
-    return alerts.select("rule", "ts").withColumn("day", F.to_date("ts")).groupBy("rule", "day").applyInPandas(run, "rule string, ts timestamp, day date").drop("day")
+    """(rule, ts): alerts at least ``seconds`` after the last one that passed, of each rule; one without a time never passes.
+
+    The fold of a rule is sequential; it runs over sorted rows as a stream, so memory is bounded by the batch.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rule, last = None, None
+        for b in batches:
+            keep = []
+            for r, t in zip(b.column("rule").to_pylist(), b.column("at").to_pylist()):
+                last = last if r == rule else None
+                keep.append(last is None or t - last >= seconds * 1_000_000)
+                rule, last = r, t if keep[-1] else last
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    rows = alerts.select("rule", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).where("at is not null")
+    return rows.repartition("rule").sortWithinPartitions("rule", "at").mapInArrow(run, rows.schema).select("rule", F.timestamp_micros("at").alias("ts"))
 
 
 # ---- audit -----------------------------------------------------------------------------------------------------------
