@@ -1,20 +1,26 @@
 """N-gram Jaccard join by vertical partitioning.
 
 The global order of n-grams is the order of their 64-bit hashes. It is cut into ranges, the fragments; each document sends
-each fragment the n-grams that it has there, packed; a fragment counts, for every two documents that share n-grams there,
-how many; the counts of a pair are summed over the fragments. No fragment sees a whole document and no document is compared
-with all others.
+each fragment the n-grams that it has there, packed. No fragment sees a whole document and no document is compared with all
+others. The fragments are passed twice:
+
+* First a fragment tells each document which of its n-grams there some other document has. The parts are summed per
+  document: one whose shared n-grams are fewer than 75 % of its set can be linked with nothing and is done. Where most of a
+  corpus is original text this leaves few.
+* Then the shared n-grams of the others are cut by the order again, and a fragment counts, for every two documents that meet
+  there, how many they share. With what is left of both elsewhere this bounds their overlap; pairs that can still be linked
+  are sent on, and their counts are summed over the fragments.
 
 N-grams that ``HOT`` documents or more share make no pairs; they are kept with each of their documents, as its hot list. A
 fragment knows which of its n-grams these are. The most frequent, at most ``HOT_LIST`` by a count of what each task saw
 more than once, are known before and skip the fragments, so that none fills a task; which ones does not change the result.
 So a pair has two parts: the sum over the fragments, and the overlap of two hot lists, which is taken only where it could
 decide. A pair without any fragment in common can be linked only if 75 % of either set are hot; such documents go another
-way (``hot_links``), which links them into the same components without making all their pairs. The pairs made are at most ``HOT / 2`` for
-each n-gram of a document, in proportion to the input.
+way (``hot_links``), which links them into the same components without making all their pairs.
 
-Exact copies (equal word sequences, by a 64-bit hash) are one node. Hashes of n-grams travel as the fragment and 48 bits:
-for two sets of 10,000 the chance that an overlap is off is below 1e-6, whatever the size of the corpus.
+The number of fragments follows the n-grams to cut (``FRAGMENT`` in each). Documents of equal sets are one node, named by a
+64-bit hash of the set. Hashes of n-grams travel as the fragment and 48 bits: for two sets of 10,000 the chance that an
+overlap is off is below 1e-6, whatever the size of the corpus.
 
 Defined results: null, empty and blank texts have size 0 and link with nothing, so each is its own component; fewer words
 than ``SHINGLE`` make one n-gram; a null doc_id takes part but never names a component, unless it holds nulls alone;
@@ -37,10 +43,13 @@ from veilframe.llm.tables import partitions, table, written
 from veilframe.llm.text import RunHasher, words
 
 HOT, HOT_LIST, LOCAL, CHUNK, BLOCK = 24, 65_536, 2, 1_000_000, 2048
+#: N-grams in a fragment, the least number of fragments that count pairs, and the pairs that one holds at once.
+FRAGMENT, COUNTING, PAIRS = 4_000_000, 4, 4_000_000
 
 
-def node_of(found: list[bytes]) -> int:
-    return int.from_bytes(hashlib.blake2b(b" ".join(found), digest_size=8).digest(), "little", signed=True)
+def node_of(grams: np.ndarray) -> int:
+    """The name of a set, given sorted."""
+    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def survey(docs: DataFrame) -> DataFrame:
@@ -60,7 +69,7 @@ def survey(docs: DataFrame) -> DataFrame:
             for t in b.column("t").to_pylist():
                 found = words(t)
                 grams = hasher.shingles(found)
-                nodes.append(node_of(found) if found else None)
+                nodes.append(node_of(grams) if found else None)
                 sizes.append(len(grams))
                 if found and nodes[-1] not in seen:
                     seen.add(nodes[-1])
@@ -90,7 +99,62 @@ def hot_grams(surveyed: DataFrame, hot: int = HOT, most: int = HOT_LIST) -> np.n
     return np.array([n for _, n in rows], np.int64).view(np.uint64)
 
 
-_HEAD = np.dtype([("node", "<i8"), ("n", "<u4"), ("k", "<u2")])
+#: Before the codes of a document in a blob: its node and size, how many codes follow, and of these how many are hot (or, where
+#: pairs are counted, how many more it has elsewhere).
+_HEAD = np.dtype([("node", "<i8"), ("n", "<u4"), ("k", "<u4"), ("h", "<u4")])
+
+
+def packed(target: np.ndarray, doc: np.ndarray, code: np.ndarray, node: np.ndarray, n: np.ndarray, last: np.ndarray | None = None, whole: np.ndarray | None = None, width: int = 8) -> tuple[np.ndarray, list[bytes]]:
+    """Targets, and a blob for each: heads of its documents, then ``width`` bytes of each code. ``last`` marks the codes that
+    stand last in their document and are counted in its head; ``whole`` has the codes of each document over all targets."""
+    last = np.zeros(len(doc), bool) if last is None else last
+    order = np.lexsort((code, last, doc, target))
+    target, doc, code, last = target[order], doc[order], code[order], last[order]
+    start = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (target[1:] != target[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    head = np.zeros(len(start), _HEAD)
+    head["node"], head["n"], head["k"] = node[doc[start]], n[doc[start]], np.diff(np.append(start, len(doc)))
+    head["h"] = np.add.reduceat(last, start, dtype=np.int64) if whole is None else whole[doc[start]] - head["k"]
+    raw = np.ascontiguousarray(code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+    at = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]])) if len(target) else np.zeros(0, np.int64)
+    cut, head_cut = np.append(at, len(target)), np.append(np.searchsorted(start, at), len(start))
+    blobs = []
+    for i in range(len(at)):
+        h = head[head_cut[i] : head_cut[i + 1]]
+        blobs.append(len(h).to_bytes(4, "little") + h.tobytes() + raw[cut[i] : cut[i + 1]].tobytes())
+    return target[at], blobs
+
+
+def unpacked(blobs: list[bytes], width: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The heads of all blobs, the blob of each, and the codes."""
+    heads = [np.frombuffer(blob, _HEAD, int.from_bytes(blob[:4], "little"), 4) for blob in blobs]
+    head = np.concatenate(heads)
+    code = np.zeros((int(head["k"].sum()), 8), np.uint8)
+    at = 0
+    for blob, h in zip(blobs, heads):
+        low = np.frombuffer(blob, np.uint8, offset=4 + h.nbytes).reshape(-1, width)
+        code[at : at + len(low), :width] = low
+        at += len(low)
+    return head, np.repeat(np.arange(len(heads), dtype=np.int32), [len(h) for h in heads]), code.view("<u8").ravel()
+
+
+def grouped(key: str, blob: str, each) -> object:
+    """A function for mapInArrow over rows sorted by ``key``: what ``each(key, blobs)`` yields for every key that has blobs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            blobs = b.column(blob)
+            for i, k in enumerate(b.column(key).to_pylist()):
+                if k != now and held:
+                    yield from each(now, held)
+                    held = []
+                now = k
+                if (x := blobs[i].as_py()) is not None:
+                    held.append(x)
+        if held:
+            yield from each(now, held)
+
+    return run
 
 
 def partition_keys(spark: SparkSession, n: int) -> list[int]:
@@ -102,76 +166,57 @@ def partition_keys(spark: SparkSession, n: int) -> list[int]:
 
 
 def fragmented(docs: DataFrame, hot, keys: list[int]) -> DataFrame:
-    """(fragment, blob) of the documents' n-grams by range of the order, and (fragment, node, n, codes) of their hot lists, dealt over the fragments."""
+    """(fragment, blob) of the documents' n-grams by range of the order, and (fragment, hot_blob) of their hot lists, dealt over the fragments."""
 
     n_fragments = len(keys)
+    number = np.array(keys, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = RunHasher()
         by_hash = np.sort(hot.value)
-        rank = np.argsort(hot.value, kind="stable").astype(np.uint32)
+        rank = np.argsort(hot.value, kind="stable").astype(np.uint64)
         seen: set[int] = set()
-        heads: list[tuple[int, int]] = []
+        nodes: list[int] = []
         grams: list[np.ndarray] = []
         size = 0
-        names = ["fragment", "node", "n", "codes", "blob"]
 
         def out() -> pa.RecordBatch:
-            flat = np.concatenate(grams)
-            doc = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-            fragment = ((flat >> np.uint64(32)) * np.uint64(n_fragments) >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((doc, fragment))
-            flat, doc, fragment = flat[order], doc[order], fragment[order]
-            low = flat.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            run_start = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (fragment[1:] != fragment[:-1])])) if len(flat) else np.zeros(0, int)
-            run_len = np.diff(np.append(run_start, len(flat)))
-            if (run_len > 65_535).any():  # a very long text: several heads for one run
-                run_start = np.concatenate([np.arange(s, s + n, 65_535) for s, n in zip(run_start, run_len)])
-                run_len = np.diff(np.append(run_start, len(flat)))
-            table_ = np.array(heads, dtype=[("node", "<i8"), ("n", "<u4")])
-            head = np.zeros(len(run_start), _HEAD)
-            head["node"], head["n"], head["k"] = table_["node"][doc[run_start]], table_["n"][doc[run_start]], run_len
-            ids, blobs = [], []
-            cut = np.append(np.searchsorted(fragment, np.arange(n_fragments)), len(fragment))
-            head_cut = np.searchsorted(run_start, cut)
-            for f in range(n_fragments):
-                if cut[f + 1] > cut[f]:
-                    h = head[head_cut[f] : head_cut[f + 1]]
-                    ids.append(keys[f])
-                    blobs.append(len(h).to_bytes(4, "little") + h.tobytes() + low[cut[f] : cut[f + 1]].tobytes())
-            heads.clear()
+            flat, n = np.concatenate(grams), np.array([len(g) for g in grams], np.int64)
+            node, doc = np.array(nodes, np.int64), np.repeat(np.arange(len(grams)), n)
+            is_hot = np.zeros(len(flat), bool)
+            if len(by_hash):
+                at = np.minimum(np.searchsorted(by_hash, flat), len(by_hash) - 1)
+                is_hot = by_hash[at] == flat
+            cold = ~is_hot
+            fragment = ((flat[cold] >> np.uint64(32)) * np.uint64(n_fragments) >> np.uint64(32)).astype(np.int64)
+            to, blobs = packed(fragment, doc[cold], flat[cold], node, n, width=6)
+            hot_to, hot_blobs = packed(np.mod(node, n_fragments)[doc[is_hot]], doc[is_hot], rank[at[is_hot]] if is_hot.any() else flat[:0], node, n, last=np.ones(int(is_hot.sum()), bool))
+            nodes.clear()
             grams.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.list_(pa.int64())), pa.array(blobs, pa.binary())], names)
+            kinds = (pa.array(number[np.concatenate([to, hot_to])]), pa.array([*blobs, *[None] * len(hot_blobs)], pa.binary()), pa.array([*[None] * len(blobs), *hot_blobs], pa.binary()))
+            return pa.RecordBatch.from_arrays([*kinds], ["fragment", "blob", "hot_blob"])
 
         for b in batches:
-            hot_rows = []
             for t in b.column("t").to_pylist():
                 found = words(t)
-                if not found or (node := node_of(found)) in seen:
+                if not found:
+                    continue
+                g = hasher.shingles(found)
+                if (node := node_of(g)) in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(node)
-                g = hasher.shingles(found)
-                is_hot = np.zeros(len(g), bool)
-                if len(by_hash):
-                    at = np.minimum(np.searchsorted(by_hash, g), len(by_hash) - 1)
-                    is_hot = by_hash[at] == g
-                    if is_hot.any():
-                        hot_rows.append((keys[node % n_fragments], node, len(g), rank[at[is_hot]].astype(np.int64)))
-                heads.append((node, len(g)))
-                grams.append(g[~is_hot])
+                nodes.append(node)
+                grams.append(g)
                 size += len(g)
                 if size >= CHUNK:
                     yield out()
                     size = 0
-            if hot_rows:
-                columns = [pa.array(c, k) for c, k in zip(zip(*hot_rows), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(hot_rows), pa.binary())], names)
         if grams:
             yield out()
 
-    return docs.select("t").mapInArrow(run, "fragment long, node long, n long, codes array<long>, blob binary")
+    return docs.select("t").mapInArrow(run, "fragment long, blob binary, hot_blob binary")
 
 
 def linked(overlap, a, b):
@@ -179,103 +224,138 @@ def linked(overlap, a, b):
     return 175 * overlap >= 75 * (a + b)
 
 
-def partial_counts(number: int, fragment: list[bytes]) -> Iterator[tuple[str, tuple]]:
-    """What one fragment knows. ("pairs", (a, b, na, nb, shared)) of pairs of possible sizes, from n-grams of fewer than ``HOT``
-    documents, so at most ``HOT / 2`` pairs for each n-gram of a document; ("late", (node, n, codes)) of the documents of others."""
-    heads = [np.frombuffer(blob, _HEAD, int.from_bytes(blob[:4], "little"), 4) for blob in fragment]
-    head = np.concatenate(heads)
+def shared_grams(number: int, blobs: list[bytes], buckets: int) -> tuple[np.ndarray, list[bytes]]:
+    """Of a fragment's n-grams those that two documents or more have, packed for the buckets of the documents; hot ones last."""
+    head, sent, gram = unpacked(blobs, 6)
     nodes, first, doc = np.unique(head["node"], return_index=True, return_inverse=True)
-    n = head["n"][first].astype(np.int64)
-    sent = np.repeat(np.arange(len(heads), dtype=np.int32), [len(h) for h in heads])
     kept = np.repeat(sent == sent[first][doc], head["k"])  # of copies that several tasks sent, the first
-    gram = np.zeros((int(head["k"].sum()), 8), np.uint8)
-    at = 0
-    for blob, h in zip(fragment, heads):
-        low = np.frombuffer(blob, np.uint8, offset=4 + h.nbytes).reshape(-1, 6)
-        gram[at : at + len(low), :6] = low
-        at += len(low)
-    gram = gram.view("<u8").ravel()[kept]
-    doc = np.repeat(doc.astype(np.int32), head["k"])[kept]
-    del head, heads, kept, sent
+    gram, doc = gram[kept], np.repeat(doc.astype(np.int32), head["k"])[kept]
+    n = head["n"][first]
+    del head, sent, kept
     order = np.argsort(gram)
     gram, doc = gram[order], doc[order]
     del order
-    same = gram[1:] == gram[:-1]
-    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    gram, doc = gram[shared], doc[shared].astype(np.int64)  # the n-grams of one document alone count for its size only
     start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
     length = np.diff(np.append(start, len(gram)))
-    late = np.repeat(length >= HOT, length)
-    if late.any():
-        code, who = gram[late].astype(np.int64) + ((number + 1) << 48), doc[late]
-        order = np.argsort(who, kind="stable")
-        code, who = code[order], who[order]
-        at = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
-        yield "late", (nodes[who[at]], n[who[at]], pa.ListArray.from_arrays(pa.array(np.append(at, len(who)).astype(np.int32)), pa.array(code)))
-    m = len(nodes)
-    held: list[np.ndarray] = []
-    size = 0
-
-    def out() -> tuple[str, tuple]:
-        code, shared = np.unique(np.concatenate(held), return_counts=True)
-        i, j = code // m, code % m
-        return "pairs", (nodes[i], nodes[j], n[i], n[j], shared)
-
-    for k in range(2, HOT):
-        at = start[length == k]
-        i, j = np.triu_indices(k, 1)
-        step = 500_000 // len(i)
-        for lo in range(0, len(at), step):
-            members = doc[at[lo : lo + step, None] + np.arange(k)]
-            members.sort(1)
-            x, y = members[:, i].ravel(), members[:, j].ravel()
-            ok = 100 * np.minimum(n[x], n[y]) >= 75 * np.maximum(n[x], n[y])
-            held.append(x[ok] * m + y[ok])
-            size += int(ok.sum())
-            if size > 1_000_000:
-                yield out()
-                held, size = [], 0
-    if held:
-        yield out()
-
-
-def counted(pieces: DataFrame, keys: list[int]) -> DataFrame:
-    """kind 0: (a, b, na, nb, shared), the partial count of a pair in one fragment. kind 1: (a, na, codes), hot n-grams of a document."""
-    names = ["kind", "a", "b", "na", "nb", "shared", "codes"]
+    shared, hot = np.repeat(length > 1, length), np.repeat(length >= HOT, length)
+    code = gram[shared] + (np.uint64(number + 1) << np.uint64(48))
+    return packed(np.mod(nodes, buckets)[doc[shared]], doc[shared], code, nodes, n, last=hot[shared])
+
+
+def shared_parts(pieces: DataFrame, keys: list[int]) -> DataFrame:
+    """(bucket, blob): what each fragment knows of the documents of each bucket; as many buckets as fragments."""
     number = {key: f for f, key in enumerate(keys)}
+    named = np.array(keys, np.int64)
+
+    def rows(to: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(named[to]), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+    def each(key: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        yield rows(*shared_grams(number[key], blobs, len(keys)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot: list[pa.RecordBatch] = []
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.column("hot_blob").null_count < b.num_rows:
+                    use = b.filter(b.column("hot_blob").is_valid())
+                    hot.append(pa.RecordBatch.from_arrays([use.column("fragment"), use.column("hot_blob")], ["bucket", "blob"]))
+                yield b
+
+        for out in grouped("fragment", "blob", each)(passed()):
+            yield from hot
+            hot.clear()
+            yield out
+        yield from hot
+
+    return pieces.repartition(len(keys), "fragment").sortWithinPartitions("fragment").mapInArrow(run, "bucket long, blob binary")
+
+
+def linkable(parts: DataFrame, keys: list[int]) -> DataFrame:
+    """(node, n, codes, hot) of the documents of which others share 75 % or more: their shared n-grams below and from ``HOT``."""
+
+    def each(_: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        head, _, code = unpacked(blobs)
+        nodes, first, doc = np.unique(head["node"], return_index=True, return_inverse=True)
+        start = np.cumsum(head["k"], dtype=np.int64)
+        hot = np.arange(len(code)) >= np.repeat(start - head["h"], head["k"])
+        doc = np.repeat(doc, head["k"])
+        order = np.lexsort((code, hot, doc))
+        code, hot, doc = code[order], hot[order], doc[order]
+        own = np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])]) if len(code) else np.zeros(0, bool)  # copies send their hot lists again
+        code, hot, doc = code[own], hot[own], doc[own]
+        n = head["n"][first].astype(np.int64)
+        use = 4 * np.bincount(doc, minlength=len(nodes)) >= 3 * n
+        code, hot, doc = code[use[doc]], hot[use[doc]], doc[use[doc]]
+        out = [pa.array(nodes[use]), pa.array(n[use])]
+        for part in (~hot, hot):
+            cut = np.concatenate([[0], np.cumsum(np.bincount(doc[part], minlength=len(nodes))[use])])
+            out.append(pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(code[part].view(np.int64))))
+        yield pa.RecordBatch.from_arrays(out, ["node", "n", "codes", "hot"])
+
+    rows = parts.repartition(len(keys), "bucket").sortWithinPartitions("bucket")
+    return written(rows.mapInArrow(grouped("bucket", "blob", each), "node long, n long, codes array<long>, hot array<long>"), "ngram-linkable")
+
+
+def cut_again(docs: DataFrame, keys: list[int]) -> DataFrame:
+    """(fragment, blob) of the shared n-grams below ``HOT``, with how many more n-grams each document shares elsewhere."""
+    named = np.array(keys, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
         for b in batches:
-            at = pa.array(np.flatnonzero(b.column("codes").is_valid().to_numpy(zero_copy_only=False)))
-            if len(at):
-                yield hot_lists(*(b.column(c).take(at) for c in ("node", "n", "codes")))
-            blobs = b.column("blob")
-            for i, key in enumerate(b.column("fragment").to_pylist()):
-                f, blob = number[key], blobs[i].as_py()
-                if f != now and held:
-                    yield from batch(now, held)
-                    held = []
-                now = f
-                if blob is not None:
-                    held.append(blob)
-        if held:
-            yield from batch(now, held)
+            codes, hot = b.column("codes"), b.column("hot")
+            code = codes.flatten().to_numpy().view(np.uint64)
+            k = codes.value_lengths().to_numpy().astype(np.int64)
+            whole = k + hot.value_lengths().to_numpy()
+            low = (code & np.uint64((1 << 48) - 1)) >> np.uint64(16)
+            to, blobs = packed((low * np.uint64(len(keys)) >> np.uint64(32)).astype(np.int64), np.repeat(np.arange(b.num_rows), k), code, b.column("node").to_numpy(), b.column("n").to_numpy(), whole=whole)
+            yield pa.RecordBatch.from_arrays([pa.array(named[to]), pa.array(blobs, pa.binary())], ["fragment", "blob"])
+
+    return docs.mapInArrow(run, "fragment long, blob binary")
+
+
+def partial_counts(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, na, nb, shared) of the pairs of one fragment whose overlap may still suffice: what they share here and, at most,
+    the fewer n-grams that one of them has elsewhere. Where there are more than ``PAIRS`` they are made in several passes."""
+    head, _, gram = unpacked(blobs)
+    nodes, n, rest = head["node"].copy(), head["n"].astype(np.int64), head["h"].astype(np.int64)
+    m, doc = len(nodes), np.repeat(np.arange(len(nodes)), head["k"])
+    order = np.argsort(gram)
+    gram, doc = gram[order], doc[order]
+    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
+    length = np.diff(np.append(start, len(gram)))
+    passes = int(-(-(length * (length - 1) // 2).sum() // PAIRS))
+    for p in range(passes):
+        held = [np.zeros(0, np.int64)]
+        for k in range(2, int(length.max()) + 1):
+            at = start[length == k]
+            i, j = np.triu_indices(k, 1)
+            step = max(1, 500_000 // len(i))
+            for lo in range(0, len(at), step):
+                members = doc[at[lo : lo + step, None] + np.arange(k)]
+                members.sort(1)
+                x, y = members[:, i].ravel(), members[:, j].ravel()
+                ok = (100 * np.minimum(n[x], n[y]) >= 75 * np.maximum(n[x], n[y])) & ((x % passes == p) if passes > 1 else True)
+                held.append(x[ok] * m + y[ok])
+        code, shared = np.unique(np.concatenate(held), return_counts=True)
+        i, j = code // m, code % m
+        may = linked(shared + np.minimum(rest[i], rest[j]), n[i], n[j])
+        yield nodes[i[may]], nodes[j[may]], n[i[may]], n[j[may]], shared[may]
+
 
-    def hot_lists(node: pa.Array, n: pa.Array, codes: pa.Array) -> pa.RecordBatch:
-        m, none = len(node), pa.nulls(len(node), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), node, none, n, none, none, codes], names)
+def counted(docs: DataFrame, keys: list[int]) -> DataFrame:
+    """(a, b, na, nb, shared): partial counts of the pairs, one row a pair and fragment."""
+    names = ["a", "b", "na", "nb", "shared"]
 
-    def batch(number: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        for kind, part in partial_counts(number, held):
-            if kind == "late":
-                yield hot_lists(pa.array(part[0]), pa.array(part[1]), part[2])
-            else:
-                m = len(part[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), *(pa.array(c.astype(np.int64)) for c in part), pa.nulls(m, pa.list_(pa.int64()))], names)
+    def each(_: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        for part in partial_counts(blobs):
+            a, b, na, nb, shared = part
+            up = a <= b
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (np.where(up, a, b), np.where(up, b, a), np.where(up, na, nb), np.where(up, nb, na), shared)], names)
 
-    rows = pieces.repartition(len(keys), "fragment").sortWithinPartitions("fragment")
-    return written(rows.mapInArrow(run, "kind int, a long, b long, na long, nb long, shared long, codes array<long>"), "ngram-partial")
+    rows = cut_again(docs, keys).repartition(len(keys), "fragment").sortWithinPartitions("fragment")
+    return rows.mapInArrow(grouped("fragment", "blob", each), ", ".join(f"{c} long" for c in names))
 
 
 def overlaps_with(flat: np.ndarray, offsets: np.ndarray, own: np.ndarray, mark: np.ndarray) -> np.ndarray:
@@ -390,7 +470,7 @@ def hot_links(hot_docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def pair_links(partial: DataFrame, lists: DataFrame) -> DataFrame:
     """The pairs that their partial counts link, with the overlap of their hot lists where only that can decide."""
-    pairs = written(partial.where("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared")), "ngram-pairs")
+    pairs = written(partial.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared")), "ngram-pairs")
     sure = linked(F.col("shared"), F.col("na"), F.col("nb"))
     size = lists.select("node", F.size("codes").alias("h"))
     open_ = pairs.where(~sure).join(size.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(size.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
@@ -400,29 +480,34 @@ def pair_links(partial: DataFrame, lists: DataFrame) -> DataFrame:
     return pairs.where(sure).select("a", "b").unionByName(met.where(linked(F.col("shared") + more, F.col("na"), F.col("nb"))).select("a", "b"))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def fragment_keys(spark: SparkSession, n_grams: int, least: int) -> list[int]:
+    return partition_keys(spark, max(least, -(-n_grams // FRAGMENT)))
+
+
+def jaccard_components(docs: DataFrame, row: str | None = None) -> DataFrame:
     """row, doc_id, n_shingles, node and component_id (the smallest doc_id reachable by links) of every row.
 
-    ``docs`` has doc_id and text; ``row`` is a unique id of the row, as ``monotonically_increasing_id`` gives it.
+    ``docs`` has doc_id and text; ``row`` names a column that is a unique id of each row. Without one, rows are numbered as they are read.
     """
     spark = docs.sparkSession
-    keys = partition_keys(spark, partitions(spark))
-    raw = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"))
+    raw = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"))
     surveyed = survey(raw)
     hot = hot_grams(surveyed)
-    pieces = fragmented(raw, spark.sparkContext.broadcast(hot), keys)
-    partial = counted(pieces, keys)
-    lists = written(partial.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.max("na").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes")), "ngram-hot")
-    edges = pair_links(partial, lists)
-    mostly = written(lists.where(4 * F.size("codes") >= 3 * F.col("n")), "ngram-mostly-hot")
-    if not mostly.isEmpty():
-        edges = edges.unionByName(hot_links(mostly))
+    keys = fragment_keys(spark, surveyed.where("kind = 0").agg(F.sum("n")).first()[0] or 0, partitions(spark))
+    kept = linkable(shared_parts(fragmented(raw, spark.sparkContext.broadcast(hot), keys), keys), keys)
+    sizes = kept.agg(F.sum(F.size("codes")).alias("cold"), F.sum((4 * F.size("hot") >= 3 * F.col("n")).cast("long")).alias("mostly")).first()
+    lists = kept.where(F.size("hot") > 0).select("node", "n", F.col("hot").alias("codes"))
+    edges = pair_links(counted(kept, fragment_keys(spark, sizes.cold or 0, COUNTING)), lists)
+    if sizes.mostly:
+        edges = edges.unionByName(hot_links(written(lists.where(4 * F.size("codes") >= 3 * F.col("n")), "ngram-mostly-hot")))
     component = connected_components(edges)
     rows = surveyed.where("kind = 0").select("row", "doc_id", "node", F.col("n").alias("n_shingles"))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = nodes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    label = named.join(least, "component").select(F.col("node").alias("_node"), "component_id")
+    named = written(nodes.join(component, "node", "left"), "ngram-named")
+    together = named.where("component is not null")
+    least = written(together.groupBy("component").agg(F.min("least").alias("component_id")), "ngram-least")
+    alone = named.where("component is null").select("node", F.col("least").alias("component_id"))
+    label = together.join(least, "component").select("node", "component_id").unionByName(alone).withColumnRenamed("node", "_node")
     return rows.join(label, F.col("node") == F.col("_node"), "left").select("row", "doc_id", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
