@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -27,13 +28,26 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    In local mode, where there is one machine, a folder of our own may stand in; on a cluster its executors would each write
+    to a disk of their own, so there a missing setting is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='veilframe-')}")
+    return spark.sparkContext.getCheckpointDir()
+
+
 def materialized(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir`` and read back, for what several branches of a plan read."""
+    """``df`` written to the shared folder and read back: what several branches of a plan read is made once, and a later loss
+    of executors reruns nothing before this point."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='veilframe-')}"
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
