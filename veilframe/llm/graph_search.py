@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by largest inner product, over robust-pruned directed graphs.
 
-The vectors are dealt by hash into shards of about ``BLOCK`` distinct vectors. In each shard a graph is built in batches of
+The vectors are dealt by hash into shards of about ``BLOCK`` distinct vectors of like norm (within a factor of 2). In each shard a graph is built in batches of
 doubling size: a greedy search from the entry proposes neighbours, relaxed pruning keeps a neighbour only if no kept one is
 nearer to it by the factor ``ALPHA``, and backward edges are pruned alike. A query searches every shard with a beam and the
 shards' results are merged. Largest inner product becomes nearest distance between unit vectors by one more component,
-``sqrt(1 - |x|^2 / max|x|^2)``.
+``sqrt(1 - |x|^2 / max|x|^2)``, with the largest norm of the shard, so that a few huge vectors do not make all others look
+alike. Of the backward edges that a batch gives one node, pruning sees the first ``3 * DEGREE``.
 
 Every vector is indexed. Equal vectors are one node with their smallest ``k + 1`` ids, which is all that a result of k can
 hold of them; they are cut down before the shuffle, so a vector that fills the table costs no more than a rare one.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.tables import table, written
-from veilframe.llm.vectors import BLOCK, against, best, matrix, query_blocks, usable
+from veilframe.llm.vectors import BLOCK, against, best, element, matrix, query_blocks, usable
 
 K, EVERY, DEGREE, BEAM, ALPHA, WIDE = 20, 20, 24, 64, 1.2, 4
 
@@ -141,13 +142,18 @@ def indexed(vectors: DataFrame, k: int) -> DataFrame:
     copies = Window.partitionBy("v").orderBy("vec_id")
     few = vectors.withColumn("r", F.row_number().over(copies)).where(F.col("r") <= k + 1)
     distinct = written(few.groupBy("v").agg(F.first("dim").alias("dim"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "ann-distinct")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    sizes = distinct.groupBy("dim").agg(F.count(F.lit(1)).alias("m"), F.max(norm).alias("largest"))
-    dealt = distinct.join(F.broadcast(sizes), "dim").withColumn("part", F.pmod(F.xxhash64("v"), F.ceil(F.col("m") / BLOCK)))
+    top = F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x).cast("double")))
+    norm = F.col("top") * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("top")) * (x / F.col("top"))))
+    normed = distinct.withColumn("top", top).withColumn("norm", norm).withColumn("band", F.floor(F.log2("norm") + 0.5)).drop("top")
+    sizes = normed.groupBy("dim", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("m"), F.max("norm").alias("largest"))  # a row for each power of 2
+    before = Window.partitionBy("dim").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    dealt = normed.join(F.broadcast(sizes), ["dim", "band"]).withColumn("part", F.col("before") + F.pmod(F.xxhash64("v"), F.col("m"))).drop("norm", "band", "before")
+    kind = element(vectors)
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ids", key=lambda s: s.map(lambda x: x[0])).reset_index(drop=True)
-        v = np.stack(pdf["v"].to_numpy()).astype(np.float32)
+        v = np.stack(pdf["v"].to_numpy()).astype(kind)
         links, entry = build(unit(v, float(pdf["largest"].iloc[0])))
         return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "part": [int(pdf["part"].iloc[0])], "largest": [float(pdf["largest"].iloc[0])], "ids": [[list(map(int, x)) for x in pdf["ids"]]], "v": [v.tobytes()], "links": [links.astype(np.int32).tobytes()], "entry": [entry]})
 
@@ -157,17 +163,18 @@ def indexed(vectors: DataFrame, k: int) -> DataFrame:
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` found nearest to each query, itself excluded. Both have (vec_id, v, dim)."""
-    index = indexed(vectors, k)
+    index, kind = indexed(vectors, k), element(vectors)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 dim = b.column("dim")[i].as_py()
                 q_ids, q = matrix(b.column("q")[i], dim)
-                v = np.frombuffer(b.column("v")[i].as_py(), np.float32).reshape(-1, dim)
+                v = np.frombuffer(b.column("v")[i].as_py(), kind).reshape(-1, dim)
                 links = np.frombuffer(b.column("links")[i].as_py(), np.int32).reshape(len(v), -1)
                 points = unit(v, b.column("largest")[i].as_py())
                 scaled = q.astype(np.float64)
+                scaled /= np.abs(scaled).max(1, keepdims=True)
                 scaled = np.concatenate([scaled / np.linalg.norm(scaled, axis=1, keepdims=True), np.zeros((len(q), 1))], 1).astype(np.float32)
                 found, _ = beam_search(points, links, scaled, b.column("entry")[i].as_py(), beam)
                 ids = b.column("ids")[i].as_py()

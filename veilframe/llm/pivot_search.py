@@ -62,7 +62,7 @@ def indexed(vectors: DataFrame, pivots: int) -> DataFrame:
     vectors = written(vectors, "pivot-vectors")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.floor(x.cast("double") * SCALE).cast("double") * F.floor(x.cast("double") * SCALE))
     sizes = vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("m"), F.max(square).alias("most"))
-    chosen = {r.dim: whole(np.array([x.v for x in vectors.where(F.col("dim") == r.dim).select("v", F.xxhash64("v").alias("h")).distinct().orderBy("h").limit(pivots).collect()], np.float32)) for r in sizes.select("dim").collect()}
+    chosen = {r.dim: whole(np.array([x.v for x in vectors.where(F.col("dim") == r.dim).select("v", F.xxhash64("v").alias("h")).distinct().orderBy("h").limit(pivots).collect()], np.float64)) for r in sizes.select("dim").collect()}
     shared = vectors.sparkSession.sparkContext.broadcast(chosen)
     dealt = vectors.join(F.broadcast(sizes), "dim").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("m") / BLOCK)))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK, QUERY_BLOCK = 4096, 512
 
@@ -12,16 +13,22 @@ BLOCK, QUERY_BLOCK = 4096, 512
 def usable(rows: DataFrame, zero: bool) -> DataFrame:
     """(vec_id, v, dim) of the rows with an id and a vector without null or non-finite components; repeated rows once.
 
-    Vectors of zero length count as null. ``zero``: whether zero vectors take part.
+    Vectors of zero length count as null. ``zero``: whether zero vectors take part. Floats stay floats, all other numbers become doubles.
     """
-    v = F.col("embedding").cast("array<float>")
-    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")).cast("float")))
+    kind = "float" if isinstance(rows.schema["embedding"].dataType.elementType, T.FloatType) else "double"
+    v = F.col("embedding").cast(f"array<{kind}>")
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")).cast(kind)))
     kept = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~bad)
     if not zero:
         kept = kept.where(F.exists("v", lambda x: x != 0))
     return kept.withColumn("dim", F.size("v")).dropDuplicates(["vec_id", "v"])
 
 
+def element(vectors: DataFrame) -> type:
+    """The type of the components of the column ``v``."""
+    return np.float32 if isinstance(vectors.schema["v"].dataType.elementType, T.FloatType) else np.float64
+
+
 def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> DataFrame:
     """(dim, block, q) with q the block's (vec_id, v); about ``size`` queries a block."""
     n = max(1, -(-queries.count() // size))
