@@ -8,8 +8,9 @@ on the state, so the forward recursion over symbols and a sum over the class wor
 Size: the word counts are a distributed table that grows with the corpus. Broadcast are the model (``HEAD + CLASSES + 1``
 by ``STATES``) and the counts of at most ``NEAR`` frequent words; rarer words meet their counts in a shuffle join, where
 no key is hot because the frequent ones are gone. Baum-Welch reads every training document, cut into segments of
-``SEGMENT`` tokens whose first state is drawn from the start distribution of document heads or of inner segments; a
-partition's expected counts leave it as one row a symbol and are summed by Spark. Scoring never cuts a text.
+``SEGMENT`` tokens; an inner segment begins with the last token before it, whose state is drawn from a start distribution of
+inner segments and whose emission counts in its own segment alone, so the moves over borders count too. A partition's
+expected counts leave it as one row a symbol and are summed by Spark. Scoring never cuts a text.
 
 Defined results: a null or blank text has its end token alone; a null doc_id is hashed as the empty string; repeated rows
 are scored one by one; with no training document every token is unseen and both scores use N = V = 0; an empty table gives
@@ -239,7 +240,8 @@ def log10_forward(rows: list[np.ndarray], m: Model) -> np.ndarray:
 
 
 def expected_counts(rows: list[np.ndarray], first: np.ndarray, m: Model, total: tuple[np.ndarray, ...]) -> None:
-    """Adds the expected starts, inner starts, moves and emissions of the segments to ``total``; ``first`` marks document heads."""
+    """Adds the expected starts, inner starts, moves and emissions of the segments to ``total``; ``first`` marks document heads.
+    The first token of another segment is the last of the one before, and its emission counts there."""
     starts, inners, moves, emits = total
     obs, running, order = laid_out(rows)
     head = first[order]
@@ -261,6 +263,7 @@ def expected_counts(rows: list[np.ndarray], first: np.ndarray, m: Model, total:
         else:
             starts += gamma[head].sum(0)
             inners += gamma[~head].sum(0)
+            gamma = np.where(head[:, None], gamma, 0.0)
         alpha[t, :n] = gamma
     moves_seen = obs.ravel()
     for s in range(k):
@@ -292,7 +295,7 @@ def baum_welch(encoded: DataFrame, unigram: np.ndarray, states: int = STATES, ro
                 for raw in b.column("ids").to_pylist():
                     ids = np.frombuffer(raw, np.uint16)
                     for i in range(0, len(ids), SEGMENT):
-                        rows.append(ids[i : i + SEGMENT])
+                        rows.append(ids[max(i - 1, 0) : i + SEGMENT])
                         first.append(i == 0)
                         if len(rows) >= 2048:
                             flush()
