@@ -6,7 +6,8 @@ ceil(W / capacity) sequences; a piece costs ``linear * n + quadratic * n * n``;
 the lowest-cost sequence that still has room for all of them, and where none has, a piece is cut over the sequences with
 the most room. So every sequence of a window but the last is full: a window wastes less than one sequence.
 
-Memory is bounded by the window. Rows are spread by a salted hash, so copies of one document do not meet in one task.
+Memory is bounded by the window. Pieces are spread by a hash of doc_id, place and text, so neither null ids nor copies under
+several ids meet in one task, and neither the split of the input nor a lost executor moves a piece.
 Defined results: a null text is empty and gives the closing id alone; every row is packed, repeated rows each on their own;
 a null doc_id stays null; an empty table gives no pieces. Sequence ids are the partition, then a counter, so they are
 unique; partitions are sorted first, so that reruns agree.
@@ -62,19 +63,19 @@ def encoded(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of at most ``capacity`` ids: full ones as their checksum alone, remainders with their ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, row = encoder(path), 0
+        encode = encoder(path)
         for b in batches:
             out: list[list] = [[] for _ in range(7)]
             held = 0
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 ids = np.append(encode(text or ""), np.uint32(CLOSING)).astype("<u4")
+                salt = zlib.crc32(ids.tobytes())
                 for start in range(0, len(ids), capacity):
                     raw = ids[start : start + capacity].tobytes()
                     full = len(raw) == 4 * capacity
-                    for column, value in zip(out, (doc, start, len(raw) // 4, zlib.crc32(raw) if full else None, len(ids), None if full else raw, row % 64)):
+                    for column, value in zip(out, (doc, start, len(raw) // 4, zlib.crc32(raw) if full else None, len(ids), None if full else raw, salt)):
                         column.append(value)
                     held += 0 if full else len(raw)
-                row += 1
                 if held > 8 << 20 or len(out[0]) > 20_000:
                     yield _pieces(out)
                     out, held = [[] for _ in range(7)], 0
@@ -82,11 +83,11 @@ def encoded(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                 yield _pieces(out)
 
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return raw.mapInArrow(cut, "doc_id long, start long, length long, crc long, doc_tokens long, ids binary, salt int")
+    return raw.mapInArrow(cut, "doc_id long, start long, length long, crc long, doc_tokens long, ids binary, salt long")
 
 
 def _pieces(out: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.binary(), pa.int32()]
+    kinds = [pa.int64()] * 5 + [pa.binary(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["doc_id", "start", "length", "crc", "doc_tokens", "ids", "salt"])
 
 
@@ -126,7 +127,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, window: int = WINDOW, path:
 
     pieces = encoded(docs, path or default_path(), capacity)
     spread = pieces.repartition(partitions(docs.sparkSession), F.xxhash64("doc_id", "start", "salt"))
-    ordered = spread.sortWithinPartitions(F.xxhash64("doc_id", "start", "salt"), "doc_id", "start", "doc_tokens")
+    ordered = spread.sortWithinPartitions(F.xxhash64("doc_id", "start", "salt"), "doc_id", "start", "doc_tokens", "ids")
     return ordered.select("doc_id", "start", "length", "crc", "doc_tokens", "ids").mapInArrow(fill, PIECE)
 
 
