@@ -301,11 +301,11 @@ def test_classifiers_hold_out(spark, score, column, least):
     mod, rest = (5, 0) if column == "quality" else (4, 2)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    rows = score(docs, labels).join(labels, "doc_id").where(labelled.in_fold("doc_id", mod, rest)).select("_score", column).toPandas()
-    rank = rows["_score"].rank()
+    rows = score(docs, labels).join(labels, "doc_id").where(labelled.in_fold("doc_id", mod, rest)).select("score", column).toPandas()
+    rank = rows["score"].rank()
     pos = rows[column] == 1
     auc = (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
-    assert auc >= least and rows["_score"].between(0, 1).all()
+    assert auc >= least and rows["score"].between(0, 1).all()
 
 
 @pytest.mark.parametrize("score", [quality.score_quality, toxicity.score_toxicity])
@@ -313,9 +313,9 @@ def test_classifiers_odd_rows(spark, odd, nothing, score):
     column = "quality" if score is quality.score_quality else "toxic"
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (7, None), (8, 0)], f"doc_id long, {column} int")
     got = score(odd, labels).collect()
-    assert len(got) == len(ODD) and all(0 <= r._score <= 1 for r in got) and len({r._score for r in got if r.doc_id in (3, 4)}) == 1
-    assert all(r._score == 0.5 for r in score(odd, labels.limit(0)).collect()) and score(nothing, labels).count() == 0
-    assert score(odd, labels, keep=True).drop("_score").columns == odd.columns
+    assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got) and len({r.score for r in got if r.doc_id in (3, 4)}) == 1
+    assert all(r.score == 0.5 for r in score(odd, labels.limit(0)).collect()) and score(nothing, labels).count() == 0
+    assert score(odd, labels, keep=True).select("row.*").columns == odd.columns
 
 
 def test_deobfuscation(spark):

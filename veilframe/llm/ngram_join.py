@@ -485,7 +485,8 @@ def fragment_keys(spark: SparkSession, n_grams: int, least: int) -> list[int]:
 
 
 def jaccard_components(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """row, doc_id, n_shingles, node and component_id (the smallest doc_id reachable by links) of every row.
+    """row, doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and component (a name of its own, which
+    neither null nor repeated doc_ids confuse; null without words) of every row.
 
     ``docs`` has doc_id and text; ``row`` names a column that is a unique id of each row. Without one, rows are numbered as they are read.
     """
@@ -506,9 +507,9 @@ def jaccard_components(docs: DataFrame, row: str | None = None) -> DataFrame:
     named = written(nodes.join(component, "node", "left"), "ngram-named")
     together = named.where("component is not null")
     least = written(together.groupBy("component").agg(F.min("least").alias("component_id")), "ngram-least")
-    alone = named.where("component is null").select("node", F.col("least").alias("component_id"))
-    label = together.join(least, "component").select("node", "component_id").unionByName(alone).withColumnRenamed("node", "_node")
-    return rows.join(label, F.col("node") == F.col("_node"), "left").select("row", "doc_id", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    alone = named.where("component is null").select("node", F.col("node").alias("component"), F.col("least").alias("component_id"))
+    label = together.join(least, "component").select("node", "component", "component_id").unionByName(alone).withColumnRenamed("node", "_node")
+    return rows.join(label, F.col("node") == F.col("_node"), "left").select("row", "doc_id", "n_shingles", "component", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilframe.llm.labelled import SAMPLE, calibrated, in_fold, isotonic, training_texts
-from veilframe.llm.tables import table
+from veilframe.llm.tables import beside, nested, table
 
 MOD, HELD, CUT = 5, 0, 0.3
 FEATURES, RIDGE, SEED, PARTS = 384, 1.0, 11, 8
@@ -124,23 +125,20 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", mod: int =
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, keep: bool = False, column: str = "quality", mod: int = MOD, held: int = HELD) -> DataFrame:
-    """doc_id and score of every row; with ``keep``, all columns of ``docs`` and ``_score``."""
+    """doc_id and score of every row; with ``keep``, the whole row as ``row``, so that no column of it can clash, and score."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, column, mod, held))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([statistics(t) for t in b.column("_t").to_pylist()]).reshape(b.num_rows, -1)
+            x = np.array([statistics(t) for t in b.column("t").to_pylist()]).reshape(b.num_rows, -1)
             s = pa.array(model.value(x) if b.num_rows else [], pa.float64())
-            kept = [i for i, c in enumerate(b.schema.names) if c != "_t"]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), s], [*(b.schema.names[i] for i in kept), "_score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), s], [b.schema.names[0], "score"])
 
-    from pyspark.sql import types as T
-
-    rows = docs.withColumn("_t", F.col("text").cast("binary")) if keep else docs.select("doc_id", F.col("text").cast("binary").alias("_t"))
-    schema = T.StructType([f for f in rows.schema if f.name != "_t"] + [T.StructField("_score", T.DoubleType())])
-    return rows.mapInArrow(score, schema)
+    text = F.col("text").cast("binary").alias("t")
+    rows = nested(docs, text) if keep else docs.select("doc_id", text)
+    return rows.mapInArrow(score, beside(rows.schema, "score", T.DoubleType()))
 
 
 def op9_quality_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
-    return scored.select("doc_id", in_fold("doc_id", MOD, HELD).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= CUT).cast("int").alias("predicted"))
+    return scored.select("doc_id", in_fold("doc_id", MOD, HELD).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

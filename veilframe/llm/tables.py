@@ -2,37 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from veilframe.session import materialized as written
+
+__all__ = ["beside", "nested", "partitions", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The named columns of an input table; columns that it lacks are null, others are left unread."""
+    """The named columns of an input table, others are left unread; without names, all."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='veilframe-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: a later loss of executors reruns nothing before this point."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+def nested(docs: DataFrame, *more) -> DataFrame:
+    """The rows of ``docs`` as one column ``row``, beside others: no name of theirs can clash with ours."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *more)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def beside(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    """A schema whose column ``t`` has made way for another."""
+    return T.StructType([f for f in schema if f.name != "t"] + [T.StructField(name, kind)])

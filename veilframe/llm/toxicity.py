@@ -28,16 +28,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilframe.llm.labelled import SAMPLE, in_fold, training_texts
-from veilframe.llm.tables import table
+from veilframe.llm.tables import beside, nested, table
 from veilframe.llm.text import words
 
 MOD, HELD, CUT = 4, 2, 0.3
 #: Letters that a character may imitate.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou"}
 SEPARATORS = frozenset(".-_*~'`^,")
-SYMBOLS, CONTEXTS, CAUTION = 28, 5_000, 1.5
+SYMBOLS, CAUTION = 28, 1.5
 SWAP, SKIP, LITERAL, REPEAT = -1.0, -0.5, -6.0, -0.3
 #: Symbols at a word's end that may be letters.
 ENDING = 16
@@ -46,15 +47,25 @@ _SUSPECT = re.compile(r"[^\W\d_][0-9@$!|+(€£*._~`^-]+[^\W\d_]|[0-9@$!|+(€£
 #: share no character, so a scan is linear.
 _SPACED = re.compile(r"(?<![^\W_])(?:\*\s++)?(?:[^\W_]|[@$!|+(€£])(?:[\s.\-_*~'`^,]++(?:[^\W_]|[@$!|+(€£])(?![^\W_])){2,}(?:\s\*(?!\w))*")
 _GAP = re.compile(r"[\s.\-_~'`^,]+")
-_EDGE = re.compile(r"^[^\w@$!|+(€£*]+|[^\w@$!|+(€£*]+$")
-_HEAD = re.compile(r"^[\W_]+")
-_TAIL = re.compile(r"[\W_]+$")
+_INNER = re.compile(r"[\w@$!|+(€£*]")
+_PLAIN = re.compile(r"[^\W_]")
 _LEET_TAIL = re.compile(r"[@$!|+(€£*.\-_~'`^,]*[@$!|+(€£*]")
 _AGAIN = re.compile(r"(.)\1{2,}")
 _DOUBLE = re.compile(r"([^\W\d_])\1")
 _ALPHA = re.compile(r"[\W\d_]+")
 
 
+def trimmed(text: str, inner: re.Pattern, head: bool = True) -> str:
+    """``text`` from the first to the last character that ``inner`` matches, or from its own start; linear in its length."""
+    found = inner.search(text)
+    if not found:
+        return ""
+    end = len(text)
+    while not inner.match(text[end - 1]):
+        end -= 1
+    return text[found.start() if head else 0 : end]
+
+
 def symbol(c: str) -> int:
     """0: a word's edge; 1 to 26: a to z; 27: any other letter."""
     return ord(c) - 96 if "a" <= c <= "z" else 27
@@ -173,8 +184,8 @@ class Restorer:
         if (got := self.memo.get(token)) is not None:
             return got
         text = token.decode("utf-8", "replace").lower()
-        core = _EDGE.sub("", text)
-        plain = _TAIL.sub("", core)
+        core = trimmed(text, _INNER)
+        plain = trimmed(core, _PLAIN, head=False)
         if _SUSPECT.search(plain) or (plain != core and _SUSPECT.search(core) and not plain.isalpha()):
             out = [decode(plain, self.model)]
         else:
@@ -183,7 +194,7 @@ class Restorer:
                 out.append(decode(plain, self.model))
         if plain != core and (tail := _LEET_TAIL.match(_AGAIN.sub(r"\1\1", core[len(plain) :])[:ENDING])):
             out += decodings(plain + tail.group(), self.model, len(plain) + 1)
-        bare = _HEAD.sub("", plain)
+        bare = trimmed(plain, _PLAIN)
         if bare.isalpha():
             out.append(bare)
         found = tuple(dict.fromkeys(out))
@@ -206,6 +217,7 @@ class Scorer:
 
     def __init__(self, model: np.ndarray, weights: dict[str, float], logistic: np.ndarray | None):
         self.restorer, self.weights, self.logistic, self.memo = Restorer(model), weights, logistic, {}
+        self.longest = max(map(len, weights), default=0)
 
     def weight(self, token: bytes) -> float:
         out = max((self.weights.get(k, 0.0) for w in self.restorer.readings(token) if len(w) > 2 for k in keys(w)), default=0.0)
@@ -219,9 +231,9 @@ class Scorer:
         out = []
         for i in range(len(letters) - 2):
             least = 3 if len(letters) == i + 3 and letters[:i] in ("", "a", "i") else 4
-            found = [letters[i:j] for j in range(i + least, min(len(letters), i + 16) + 1)]
+            found = [letters[i:j] for j in range(i + least, min(len(letters), i + self.longest) + 1)]
             if found:
-                x = max(self.weights.get(k, 0.0) for k in (*found, *keys(found[-1])))
+                x = max(self.weights.get(k, 0.0) for k in (*found, *keys(letters[i : i + 7])))
                 if x > 0.0:
                     out.append(x)
         return out
@@ -241,17 +253,23 @@ class Scorer:
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Newton steps of a ridge logistic regression; evidence can only speak for the label."""
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (p - y) + ridge * w)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    w[1:] = np.maximum(w[1:], 0.0)
-    return w
+    """Newton steps of a ridge logistic regression. Evidence can only speak for the label: columns whose weight comes out
+    negative are left out, and the rest is fitted again."""
+    use = np.arange(x.shape[1])
+    while True:
+        part, w = x[:, use], np.zeros(len(use))
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            h = (part * (p * (1 - p))[:, None]).T @ part + ridge * np.eye(len(w))
+            step = np.linalg.solve(h, part.T @ (p - y) + ridge * w)
+            w -= step
+            if np.abs(step).max() < 1e-8:
+                break
+        if (w[1:] >= 0).all():
+            out = np.zeros(x.shape[1])
+            out[use] = w
+            return out
+        use = use[np.concatenate([[True], w[1:] >= 0])]
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", mod: int = MOD, held: int = HELD, sample: int = SAMPLE) -> Scorer:
@@ -276,8 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", mod: int = MO
                         for w in r:
                             if len(w) > 2:
                                 for k in keys(w):
-                                    if len(toxic[k]) < CONTEXTS:
-                                        toxic[k].add(zlib.crc32((before if k == w else w).encode()))
+                                    toxic[k].add(zlib.crc32((before if k == w else w).encode()))
                 else:
                     clean.update(distinct)
             rows = [(k, None, c, 0) for k, c in clean.items()] + [(k, None, 0, c) for k, c in docs_with.items()] + [(k, code, 0, 0) for k, s in toxic.items() for code in s] + [("", None, *n)]
@@ -309,22 +326,19 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", mod: int = MO
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, keep: bool = False, column: str = "toxic", mod: int = MOD, held: int = HELD) -> DataFrame:
-    """doc_id and _score of every row; with ``keep``, all columns of ``docs`` and _score."""
+    """doc_id and score of every row; with ``keep``, the whole row as ``row``, so that no column of it can clash, and score."""
     scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, column, mod, held))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([scorer.value.evidence(t) for t in b.column("_t").to_pylist()]).reshape(b.num_rows, 5)
-            kept = [i for i, c in enumerate(b.schema.names) if c != "_t"]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(scorer.value(x))], [*(b.schema.names[i] for i in kept), "_score"])
-
-    from pyspark.sql import types as T
+            x = np.array([scorer.value.evidence(t) for t in b.column("t").to_pylist()]).reshape(b.num_rows, 5)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer.value(x))], [b.schema.names[0], "score"])
 
-    rows = docs.withColumn("_t", F.col("text").cast("binary")) if keep else docs.select("doc_id", F.col("text").cast("binary").alias("_t"))
-    schema = T.StructType([f for f in rows.schema if f.name != "_t"] + [T.StructField("_score", T.DoubleType())])
-    return rows.mapInArrow(score, schema)
+    text = F.col("text").cast("binary").alias("t")
+    rows = nested(docs, text) if keep else docs.select("doc_id", text)
+    return rows.mapInArrow(score, beside(rows.schema, "score", T.DoubleType()))
 
 
 def op10_toxicity_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    return scored.select("doc_id", in_fold("doc_id", MOD, HELD).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= CUT).cast("int").alias("predicted"))
+    return scored.select("doc_id", in_fold("doc_id", MOD, HELD).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
