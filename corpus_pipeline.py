@@ -2,6 +2,11 @@
 
 Each stage takes the documents that the one before kept, written and read again, and its decisions take effect: what it
 rejects is gone, what it takes twice stands there twice. All but the last return the columns of ``documents``.
+
+Defined results: rows travel as one nested column beside what a stage computes, so columns of any name come through. Null
+and empty texts are scored like empty ones; they link with no other document, weigh nothing in the mix, and pack as the
+closing id alone. Null doc_ids take part as rows of their own. Repeated rows are scored alike; of rows with equal word sets one
+stays. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from veilframe.llm import toxicity as toxicity_
 from veilframe.llm.mixing import mixed_documents
 from veilframe.llm.ngram_join import jaccard_components
 from veilframe.llm.packing import pack
-from veilframe.llm.tables import table, written
+from veilframe.llm.tables import nested, table, written
 from veilframe.session import ship
 
 
@@ -22,23 +27,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least the classifier's cut."""
     ship(spark)
     scored = quality_.score_quality(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), keep=True)
-    return scored.where(F.col("_score") >= quality_.CUT).drop("_score")
+    return scored.where(F.col("score") >= quality_.CUT).select("row.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the classifier's cut."""
     ship(spark)
     scored = toxicity_.score_toxicity(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), keep=True)
-    return scored.where(F.col("_score") < toxicity_.CUT).drop("_score")
+    return scored.where(F.col("score") < toxicity_.CUT).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the row with the smallest doc_id (of several, the first). Texts without words all stay."""
+    """One document of each group: the row with the smallest doc_id (null last; of several, the first). Texts without words all stay.
+
+    Rows are numbered once, in a written table, as the numbers must be the same for those that find and those that drop.
+    """
     ship(spark)
-    rows = jaccard_components(docs).where("node is not null")
-    kept = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    lost = rows.join(kept, rows["component_id"].eqNullSafe(kept["component_id"])).where(F.col("row") != F.col("first.row")).select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(lost, "_row", "left_anti").select(*docs.columns)
+    numbered = written(nested(docs, F.monotonically_increasing_id().alias("id")), "pipeline-numbered")
+    found = jaccard_components(numbered.select("row.doc_id", "row.text", "id"), "id").where("component is not null")
+    rows = written(found.select("row", "doc_id", "component"), "pipeline-rows")
+    kept = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("kept"))
+    lost = rows.join(kept, F.col("row") == F.col("kept"), "left_anti").select(F.col("row").alias("id"))
+    return numbered.join(lost, "id", "left_anti").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
