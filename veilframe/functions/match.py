@@ -1,7 +1,9 @@
 """Regular-expression matches with offsets, as column expressions.
 
-With ``m`` the matches of a pattern and ``g`` the gaps that splitting by it leaves, match i starts after the first i + 1
-gaps and the first i matches. Offsets are code points, from 0, end-exclusive. Patterns never match the empty string.
+One replacement puts a mark before and after every match and another behind it, with the group that is the value; splitting
+at the first mark then gives gaps and matches in turn, and prefix sums of their lengths the offsets. So a text is searched
+once for each pattern. The marks are two noncharacters; where a text holds one itself, it is searched with others in their
+place. Offsets are code points, from 0, end-exclusive. Patterns never match the empty string.
 """
 
 from __future__ import annotations
@@ -15,7 +17,10 @@ from pyspark.sql import functions as F
 BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 SPAN = "struct<start: bigint, end: bigint, text: string, type: string, confidence: double, priority: int, pattern: string>"
-
+PLACE = "struct<start: bigint, end: bigint, text: string>"
+EDGE, VALUE, FOREIGN = "\ufdd0", "\ufdd1", "\ufffd"
+#: Lengths are summed in chunks of so many, so that long lists of matches cost little more than in proportion.
+CHUNK = 64
 
 #: An atom that takes one ASCII word character: a digit, a letter, or a class of nothing else.
 _WORD = r"(?:\\d|(?<!\\)[A-Za-z0-9]|\[(?:[A-Za-z0-9]-[A-Za-z0-9]|[A-Za-z0-9_]|\\d)+\])"
@@ -31,20 +36,69 @@ def java(pattern: str) -> str:
     return pattern.replace(r"\b", BOUNDARY)
 
 
-def summed(texts: Column) -> Column:
-    return F.aggregate(texts, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def quoted(s: str) -> str:
+    """A string literal of Spark's SQL."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def searchable_sql(text: str) -> str:
+    """SQL for the text without marks; its length stays."""
+    return f"CASE WHEN contains({text}, '{EDGE}') OR contains({text}, '{VALUE}') THEN translate({text}, '{EDGE}{VALUE}', '{FOREIGN}{FOREIGN}') ELSE {text} END"
+
+
+def pieces_sql(text: str, pattern: str, group: int = 0) -> str:
+    """SQL for gap, match, gap, ... of a searchable text; a match is followed by a mark and the value if a group is that."""
+    to = f"{EDGE}$0{f'{VALUE}${group}' if group else ''}{EDGE}"
+    return f"split(regexp_replace({text}, {quoted(java(pattern))}, {quoted(to)}), '{EDGE}', -1)"
+
+
+def _summed(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, n: a + n)
+
+
+def starts(lengths: Column) -> Column:
+    """The sum of all lengths before each."""
+
+    def before(own: Column, base: Column) -> Column:
+        return F.transform(own, lambda _, i: base + _summed(F.slice(own, F.lit(1), i)))
+
+    def chunked(all_: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int")), lambda k: F.slice(all_, k * CHUNK + 1, CHUNK))
+        summed = bound(parts, lambda p: F.struct(p.alias("p"), F.transform(p, _summed).alias("s")))
+        return bound(summed, lambda x: F.flatten(F.transform(x["p"], lambda own, k: bound(_summed(F.slice(x["s"], F.lit(1), k)), lambda base: before(own, base)))))
+
+    return F.when(F.size(lengths) <= CHUNK, before(lengths, F.lit(0).cast("bigint"))).otherwise(chunked(lengths))
+
+
+def placed(parts: Column, group: Column) -> Column:
+    """start, end and text of the matches of ``pieces``; ``group``: whether the value is a group."""
+
+    def located(x: Column) -> Column:
+        def one(k: Column) -> Column:
+            whole, at = F.get(x["p"], k), F.get(x["s"], k)
+            value = F.when(group, F.substring_index(whole, VALUE, -1)).otherwise(whole)
+            start = at + F.when(group, F.instr(F.substring_index(whole, VALUE, 1), value) - 1).otherwise(0)
+            return bound(F.struct(start.alias("start"), value.alias("v")), lambda y: F.struct(y["start"].alias("start"), (y["start"] + F.length(y["v"])).alias("end"), y["v"].alias("text")))
+
+        return F.transform(F.sequence(F.lit(1), F.size(x["p"]) - 2, F.lit(2)), one)
 
+    lengths = F.transform(parts, lambda p: F.length(F.substring_index(p, VALUE, 1)).cast("bigint"))
+    known = bound(lengths, lambda n: starts(n))
+    return F.when(F.size(parts) > 2, bound(F.struct(parts.alias("p"), known.alias("s")), located)).otherwise(F.array().cast(f"array<{PLACE}>"))
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<start, end, text>> of a pattern's matches, or of one of its groups where that took part."""
-    p = F.lit(java(pattern))
-    bound = F.array(F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("m"), F.regexp_extract_all(text, p, F.lit(group)).alias("v"), F.split(text, java(pattern), -1).alias("g")))
 
-    def one(x: Column) -> Column:
-        def place(v: Column, i: Column) -> Column:
-            at = summed(F.slice(x["g"], F.lit(1), i + 1)) + summed(F.slice(x["m"], F.lit(1), i)) + F.instr(F.get(x["m"], i), v) - 1
-            return F.struct(at.alias("start"), (at + F.length(v)).alias("end"), v.alias("text"))
+def original(text: Column, places: Column) -> Column:
+    """Places whose text is that of ``text`` itself, marks and all."""
+    marked = F.contains(text, F.lit(EDGE)) | F.contains(text, F.lit(VALUE))
+    return bound(places, lambda own: F.when(marked, F.transform(own, lambda s: s.withField("text", F.substr(text, s["start"] + 1, s["end"] - s["start"])))).otherwise(own))
 
-        return F.transform(x["v"], place)
 
-    return F.when(F.regexp_like(text, p), F.filter(F.flatten(F.transform(bound, one)), lambda s: F.length(s["text"]) > 0)).otherwise(F.array().cast("array<struct<start: bigint, end: bigint, text: string>>"))
+def matches(text: str, pattern: str, group: int = 0) -> Column:
+    """array<struct<start, end, text>> of a pattern's matches in a column, or of one of its groups where that took part."""
+    found = bound(F.expr(pieces_sql(searchable_sql(f"`{text}`"), pattern, group)), lambda p: placed(p, F.lit(bool(group))))
+    return F.filter(original(F.col(text), found), lambda s: F.length(s["text"]) > 0)

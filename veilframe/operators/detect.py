@@ -4,78 +4,73 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.functions.match import SPAN, java, summed
+from veilframe.functions.match import original, pieces_sql, placed, quoted, searchable_sql
 from veilframe.functions.registry import DEFAULTS, Detector
 
 
-def luhn(v: Column) -> Column:
-    return F.call_function("luhn_check", F.regexp_replace(v, "[^0-9]", ""))
-
-
-def _valid(v: Column, test: str) -> Column | None:
-    """The tests of the registry, over a lambda's value."""
-    if test == "true":
-        return None
-    if test == "luhn(v)":
-        return luhn(v)
-    out: Column | None = None
-    for part in re.split(r" AND (?=CAST\(split_part)", test):
-        if m := re.fullmatch(r"CAST\(split_part\(v, '\.', (\d)\) AS INT\) <= (\d+)", part):
-            c = F.split_part(v, F.lit("."), F.lit(int(m[1]))).cast("int") <= int(m[2])
-        elif m := re.fullmatch(r"CAST\(v AS INT\) BETWEEN (\d+) AND (\d+)", part):
-            c = v.cast("int").between(int(m[1]), int(m[2]))
-        elif m := re.fullmatch(r"length\(regexp_replace\(v, '\[\^0-9\]', '', 'g'\)\) BETWEEN (\d+) AND (\d+)", part):
-            c = F.length(F.regexp_replace(v, "[^0-9]", "")).between(int(m[1]), int(m[2]))
-        elif part == "regexp_replace(v, '[^0-9]', '', 'g') <> ''":
-            c = F.regexp_like(v, F.lit("[0-9]"))
-        elif m := re.fullmatch(r"v NOT IN \((.*)\)", part):
-            c = ~v.isin(*re.findall(r"'([^']*)'", m[1]))
-        else:
-            raise ValueError(f"unknown test: {part}")
-        out = c if out is None else out & c
-    return out
-
-
-def spans(text: Column, detectors: Iterable[Detector] = DEFAULTS) -> Column:
-    """array of spans of all detectors; texts shorter than 3 and null texts have none. A pattern is tried only where its
-    detector's gate occurs. All patterns' matches go through one lambda, which keeps the plan small."""
-    found, tests = [], []
+#: What gates look into: the text itself, its lower-cased form (``~``), and its shape (``#``), in which every digit is 0 and every capital A.
+DIGITS, CAPITALS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ROW = "array<struct<p: array<string>, g: boolean, type: string, confidence: double, priority: int, pattern: string>>"
+
+
+def opens(gate: str, view: str = "v") -> str:
+    """SQL for whether every part of a gate (parts by `` & ``, its literals by ``|``) stands in the text; literals are searched for as they are."""
+    parts = []
+    for part in filter(None, gate.split(" & ")):
+        where = {"~": "low", "#": "shape"}.get(part[0], "text")
+        parts.append("(" + " OR ".join(f"contains({view}.{where}, {quoted(x)})" for x in part[where != "text" :].split("|")) + ")")
+    return " AND ".join(parts) or "true"
+
+
+def views(text: str) -> str:
+    """SQL for the struct that gates look into."""
+    return f"named_struct('text', {searchable_sql(text)}, 'low', lower({text}), 'shape', translate({text}, '{DIGITS + CAPITALS}', '{'0' * 10 + 'A' * 26}'))"
+
+
+def _test(valid: str) -> str:
+    """A test of the registry in Spark's SQL, over the text of a span ``s``."""
+    return re.sub(r"\bv\b", "s.text", valid.replace("luhn(v)", "luhn_check(regexp_replace(v, '[^0-9]', ''))").replace(", 'g')", ")"))
+
+
+@lru_cache(maxsize=64)
+def _tried(detectors: tuple[Detector, ...], text: str) -> tuple[str, str]:
+    """SQL for the pieces of all patterns whose gates open, and for the test of a span. As text, since building so large an
+    expression call by call takes longer than many a query."""
+    rows, tests = [], []
     for d in detectors:
+        own = []
         for p in d.patterns:
-            name, r = f"{d.name}:{p.name}", F.lit(java(p.regex))
-            tried = F.regexp_like(text, r) if not d.gate else F.regexp_like(text, F.lit(java(d.gate))) & F.regexp_like(text, r)
-            m = F.regexp_extract_all(text, r, F.lit(0))
-            row = F.struct(m.alias("m"), (m if p.group == 0 else F.regexp_extract_all(text, r, F.lit(p.group))).alias("v"), F.split(text, java(p.regex), -1).alias("g"), F.lit(d.type).alias("type"), F.lit(p.confidence).alias("confidence"), F.lit(d.priority(p)).cast("int").alias("priority"), F.lit(name).alias("pattern"))
-            found.append(F.when(tried, row))
+            name = f"{d.name}:{p.name}"
+            row = f"named_struct('p', {pieces_sql('v.text', p.regex, p.group)}, 'g', {str(bool(p.group)).lower()}, 'type', '{d.type}', 'confidence', {p.confidence}D, 'priority', {d.priority(p)}, 'pattern', {quoted(name)})"
+            own.append(f"CASE WHEN {opens(p.gate)} THEN {row} END" if p.gate else row)
             if p.valid != "true":
-                tests.append((name, p.valid))
-
-    def placed(x: Column) -> Column:
-        def one(v: Column, i: Column) -> Column:
-            at = summed(F.slice(x["g"], F.lit(1), i + 1)) + summed(F.slice(x["m"], F.lit(1), i)) + F.instr(F.get(x["m"], i), v) - 1
-            return F.struct(at.alias("start"), (at + F.length(v)).alias("end"), v.alias("text"), x["type"].alias("type"), x["confidence"].alias("confidence"), x["priority"].alias("priority"), x["pattern"].alias("pattern"))
+                tests.append(f"WHEN {quoted(name)} THEN {_test(p.valid)}")
+        rows.append(f"CASE WHEN {opens(d.gate)} THEN array({', '.join(own)}) END")
+    every = f"flatten(filter(array({', '.join(rows)}), x -> x IS NOT NULL))" if rows else f"CAST(array() AS {ROW})"
+    tried = f"filter({every}, x -> x IS NOT NULL AND size(x.p) > 1)"
+    valid = f"length(s.text) > 0 AND (CASE s.pattern {' '.join(tests)} ELSE true END)" if tests else "length(s.text) > 0"
+    return f"CASE WHEN length({text}) >= 3 THEN get(transform(array({views(text)}), v -> {tried}), 0) ELSE CAST(array() AS {ROW}) END", valid
 
-        return F.transform(x["v"], one)
 
-    def valid(s: Column) -> Column:
-        ok = F.lit(True)
-        for name, test in tests:
-            ok = F.when(s["pattern"] == name, _valid(s["text"], test)).otherwise(ok)
-        return (F.length(s["text"]) > 0) & ok
+def detect(docs: DataFrame, detectors: Iterable[Detector] = DEFAULTS, text: str = "text") -> DataFrame:
+    """``docs`` with a column ``spans``, ordered by place, then by type and pattern; texts shorter than 3 and null texts have none.
 
-    if not found:
-        return F.array().cast(f"array<{SPAN}>")
-    tried = F.filter(F.array(*found), lambda x: x.isNotNull())
-    return F.when(F.length(text) >= 3, F.filter(F.flatten(F.transform(tried, placed)), valid)).otherwise(F.array().cast(f"array<{SPAN}>"))
+    A pattern is tried only where its detector's gate and its own open, and a text is searched once for it. All matches go
+    through one lambda, which keeps the plan small.
+    """
+    tried, valid = _tried(tuple(detectors), f"`{text}`")
 
+    def named(x: Column) -> Column:
+        return F.transform(placed(x["p"], x["g"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), x["type"].alias("type"), x["confidence"].alias("confidence"), x["priority"].alias("priority"), x["pattern"].alias("pattern")))
 
-def detect(docs: DataFrame, detectors: Iterable[Detector] = DEFAULTS, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``spans``, ordered by place, then by type and pattern."""
-    return docs.withColumn("spans", F.array_sort(spans(F.col(text), detectors)))
+    found = original(F.col(text), F.flatten(F.transform(F.expr(tried), named)))
+    rows = docs.withColumn("spans", found)
+    return rows.withColumn("spans", F.array_sort(F.expr(f"filter(spans, s -> {valid})")))
 
 
 def exploded(docs: DataFrame, *keep: str) -> DataFrame:

@@ -19,7 +19,7 @@ def pattern_sql(d: Detector, p: Pattern, source: str, key: str = "doc_id") -> st
     return f"""SELECT {key}, start, start + length(v) AS "end", v AS text, '{d.type}' AS type, {p.confidence}::DOUBLE AS confidence, {d.priority(p)} AS priority, '{d.name}:{p.name}' AS pattern FROM (
   SELECT {key}, v[i] AS v, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) + instr(m[i], v[i]) - 1)::BIGINT AS start FROM (
     SELECT {key}, m, v, g, unnest(range(1, len(m) + 1)) AS i FROM (
-      SELECT {key}, regexp_extract_all(text, {r}, 0) AS m, regexp_extract_all(text, {r}, {p.group}) AS v, string_split_regex(text, {r}) AS g FROM {source} WHERE length(text) >= 3 AND regexp_matches(text, {r}){f" AND regexp_matches(text, {text_of(d.gate)})" if d.gate else ""}))
+      SELECT {key}, regexp_extract_all(text, {r}, 0) AS m, regexp_extract_all(text, {r}, {p.group}) AS v, string_split_regex(text, {r}) AS g FROM {source} WHERE length(text) >= 3 AND regexp_matches(text, {r})))
 ) WHERE length(v) > 0 AND {test}"""
 
 
