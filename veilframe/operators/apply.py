@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def splice(text: Column, spans: Column, replacement) -> Column:
-    """``text`` with each of the disjoint, ordered spans replaced by ``replacement(span, index)``; one pass, left to right."""
-    pieces = F.transform(spans, lambda s, i: F.concat(F.substr(text, F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)) + 1, s["start"] - F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))), replacement(s, i)))
+def splice(text: Column, spans: Column, replacement, between=lambda x: x) -> Column:
+    """``text`` with each of the disjoint, ordered spans replaced by ``replacement(span, index)``, and what stands between by
+    ``between`` of it; one pass, left to right."""
+    pieces = F.transform(spans, lambda s, i: F.concat(between(F.substr(text, F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)) + 1, s["start"] - F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)))), replacement(s, i)))
     last = F.coalesce(F.get(spans, F.size(spans) - 1)["end"], F.lit(0))
-    return F.concat(F.concat_ws("", pieces), F.substr(text, last + 1))
+    return F.concat(F.concat_ws("", pieces), between(F.substr(text, last + 1)))
 
 
 def style(s: Column, kind: str = "brackets") -> Column:
@@ -36,16 +37,17 @@ def numbered(df: DataFrame) -> DataFrame:
 
 
 def tokenize(df: DataFrame, scope: str, text: str = "text") -> DataFrame:
-    """Adds ``redacted`` with tokens {{TYPE_scope_N}}, and ``token_map`` (token, original, type)."""
-    named = numbered(df).withColumn("token_map", F.transform("tokens", lambda t: F.struct(F.concat(F.lit("{{"), t["type"], F.lit("_"), F.col(scope).cast("string"), F.lit("_"), t["n"].cast("string"), F.lit("}}")).alias("token"), t["original"].alias("original"), t["type"].alias("type")))).drop("tokens")
+    """Adds ``redacted`` with tokens {{TYPE_scope_N}}, and ``token_map`` (token, original, type). A ``{{`` that the text itself
+    has outside of spans is written ``{U+FDD0{``, so that it is never taken for a token."""
+    named = numbered(df).withColumn("token_map", F.transform("tokens", lambda t: F.struct(F.concat(F.lit("{{"), t["type"], F.lit("_"), F.regexp_replace(F.col(scope).cast("string"), "[{}\ufdd0]", "_"), F.lit("_"), t["n"].cast("string"), F.lit("}}")).alias("token"), t["original"].alias("original"), t["type"].alias("type")))).drop("tokens")
 
     def token(s: Column, i: Column) -> Column:
         return F.get(F.filter("token_map", lambda t: (t["type"] == s["type"]) & (t["original"] == s["text"])), F.lit(0))["token"]
 
-    return named.withColumn("redacted", splice(F.col(text), F.col("spans"), token))
+    return named.withColumn("redacted", splice(F.col(text), F.col("spans"), token, lambda gap: F.regexp_replace(gap, r"\{(?=[\ufdd0{])", "{\ufdd0")))
 
 
-TOKEN = r"\{\{[A-Z_]+_-?[0-9]+_[0-9]+\}\}"
+TOKEN = r"\{\{[A-Z_]+_[^{}\ufdd0]*_[0-9]+\}\}"
 
 
 def restore(df: DataFrame, redacted: str = "redacted", token_map: str = "token_map") -> DataFrame:
@@ -53,5 +55,6 @@ def restore(df: DataFrame, redacted: str = "redacted", token_map: str = "token_m
     found = F.regexp_extract_all(F.col(redacted), F.lit(TOKEN), F.lit(0))
     out = df.withColumn("_m", found).withColumn("_g", F.split(redacted, TOKEN, -1))
     value = lambda m: F.coalesce(F.get(F.filter(token_map, lambda t: t["token"] == m), F.lit(0))["original"], m)
-    joined = F.concat_ws("", F.transform("_g", lambda g, i: F.concat(g, F.coalesce(value(F.get("_m", i)), F.lit("")))))
+    plain = lambda g: F.regexp_replace(g, "\\{\ufdd0", "{")
+    joined = F.concat_ws("", F.transform("_g", lambda g, i: F.concat(plain(g), F.coalesce(value(F.get("_m", i)), F.lit("")))))
     return out.withColumn("restored", joined).drop("_m", "_g")

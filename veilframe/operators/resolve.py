@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.functions.match import bound
 from veilframe.functions.registry import SPECIFICITY, UNKNOWN_SPECIFICITY
 
 #: NAME spans with one of these words score nothing for their length.
@@ -12,7 +13,7 @@ FIELD_WORDS = ("DATE", "BIRTH", "RECORD", "NUMBER", "PHONE", "ADDRESS", "EMAIL",
 
 
 def specificity(type_: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for k, v in SPECIFICITY.items() for x in (k, v)])
+    table = F.expr(f"map({', '.join(f"'{k}', {v}" for k, v in SPECIFICITY.items())})")
     return F.coalesce(F.try_element_at(table, type_), F.lit(UNKNOWN_SPECIFICITY))
 
 
@@ -24,8 +25,26 @@ def score(s: Column) -> Column:
 
 
 def deduplicated(spans: Column) -> Column:
-    """Of spans equal in place and type the one of highest confidence, at a tie the first in order."""
-    return F.filter(spans, lambda x, i: ~F.exists(F.transform(spans, lambda y, j: (y["start"] == x["start"]) & (y["end"] == x["end"]) & (y["type"] == x["type"]) & ((y["confidence"] > x["confidence"]) | ((y["confidence"] == x["confidence"]) & (j < i)))), lambda b: b))
+    """Of spans equal in place and type the one of highest confidence, at a tie the first in order; by place. Sorted, equals are neighbours."""
+    keyed = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"), (-s["confidence"]).alias("c"), i.alias("i"), s.alias("s")))
+
+    def firsts(all_: Column) -> Column:
+        differs = lambda x, y: y.isNull() | (x["start"] != y["start"]) | (x["end"] != y["end"]) | (x["type"] != y["type"])
+        return F.transform(F.filter(all_, lambda x, i: differs(x, F.get(all_, i - 1))), lambda x: x["s"])
+
+    return F.when(F.size(spans) < 2, spans).otherwise(bound(F.array_sort(keyed), firsts))
+
+
+def clusters(spans: Column) -> Column:
+    """Spans by place, cut wherever one begins at or behind the end of all before it: no two clusters overlap."""
+    none = F.filter(spans, lambda _: F.lit(False))
+    begin = F.struct(F.filter(F.array(none), lambda _: F.lit(False)).alias("done"), none.alias("now"), F.lit(-1).cast("bigint").alias("upto"))
+
+    def step(acc: Column, s: Column) -> Column:
+        apart = (s["start"] >= acc["upto"]) & (F.size(acc["now"]) > 0)
+        return F.struct(F.when(apart, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"), F.when(apart, F.array(s)).otherwise(F.concat(acc["now"], F.array(s))).alias("now"), F.greatest(acc["upto"], s["end"]).alias("upto"))
+
+    return F.aggregate(spans, begin, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
 
 
 def ranked(spans: Column) -> Column:
@@ -37,8 +56,8 @@ def ranked(spans: Column) -> Column:
 def resolve(df: DataFrame, column: str = "spans") -> DataFrame:
     """The greedy choice over ``ranked`` spans. A candidate that overlaps kept spans must win against each of them: by
     containing it and being more specific, or by being inside it, more specific, and of confidence 0.9 at least. The losers
-    go, so the result is disjoint; it is ordered by place. Touching spans do not overlap."""
-    out = df.withColumn("_d", deduplicated(F.col(column))).withColumn("_r", ranked(F.col("_d")))
+    go, so the result is disjoint; it is ordered by place. Touching spans do not overlap. Spans that meet through others are chosen
+    among themselves, so the work follows the largest such cluster, not the square of all spans."""
     a = lambda x: x["s"]
 
     def overlaps(x: Column, y: Column) -> Column:
@@ -53,8 +72,12 @@ def resolve(df: DataFrame, column: str = "spans") -> DataFrame:
     def step(kept: Column, x: Column) -> Column:
         return F.when(F.exists(kept, lambda y: overlaps(x, y) & ~wins(x, y)), kept).otherwise(F.concat(F.filter(kept, lambda y: ~overlaps(x, y)), F.array(x)))
 
-    folded = F.aggregate(F.col("_r"), F.filter(F.col("_r"), lambda x: F.lit(False)), step)
-    return out.withColumn(column, F.array_sort(F.transform(folded, lambda x: x["s"]))).drop("_d", "_r")
+    def chosen(cluster: Column) -> Column:
+        folded = bound(ranked(cluster), lambda r: F.aggregate(r, F.filter(r, lambda x: F.lit(False)), step))
+        return F.when(F.size(cluster) < 2, cluster).otherwise(F.transform(folded, lambda x: x["s"]))
+
+    spans = F.col(column)
+    return df.withColumn(column, F.when(F.size(spans) < 2, spans).otherwise(F.array_sort(F.flatten(F.transform(bound(deduplicated(spans), clusters), chosen)))))
 
 
 def twin(spans: list[dict]) -> list[dict]:
