@@ -13,8 +13,20 @@ DOCUMENT_TYPES = (("discharge_summary", r"(?i)discharge summary", 0.95), ("radio
 STRENGTH_FACTOR = {"STRONG": 0.85, "MODERATE": 0.95, "WEAK": 1.0, "NONE": 1.15}
 TYPE_FACTOR = {"SSN": 0.85, "MRN": 0.90, "EMAIL": 0.90, "PHONE": 0.92, "NAME": 1.05, "DATE": 1.0, "ZIPCODE": 1.10, "IP": 1.0, "VEHICLE": 1.05, "AGE": 1.0}
 SPECIALTIES = (("cardiology", r"(?i)cardiac|heart|pacemaker|hypertension", 2), ("oncology", r"(?i)cancer|tumou?r|chemotherapy", 2), ("surgery", r"(?i)surgery|incision|operative", 1), ("neurology", r"(?i)brain|seizure|stroke", 2))
-INVALID_PREFIXES = ("The ", "This ", "That ", "No ", "Not ", "With ", "MEDICAL ", "PATIENT ")
-INVALID_SUFFIXES = (" record", " number", " date", " address", " phone", " status", " id", " history")
+# How a false name begins (case counts) and ends (it does not).
+INVALID_PREFIXES = (
+    "The ", "A ", "An ", "To ", "From ", "In ", "On ", "At ", "Is ", "Was ", "Are ", "By ", "For ", "With ", "As ", "All ", "No ", "Not ", "And ", "Or ", "But ", "Home ", "Work ", "Cell ", "Fax ", "Email ", "Blood ", "Heart ", "Vital ",
+    "Oxygen ", "Cardiac ", "Distinct ", "Athletic ", "Local ", "Regional ", "National ", "Nursing ", "Diagnostic ", "Unstable ", "Acute ", "Chronic ", "Chief ", "Present ", "Privacy ", "Advance ", "Consent ", "Financial ", "Current ",
+    "Complete ", "Comprehensive ", "Continue ", "Add ", "Increase ", "Past ", "Family ", "Social ", "Review ", "Treatment ", "Provider ", "Contact ", "Relationship ", "Digital ", "Online ", "Vehicle ", "Transportation ", "Device ",
+    "Implant ", "Professional ", "Biometric ", "Identifying ", "Visual ", "Reports ", "Symptom ", "Died ", "History ", "Diagnosed ", "NPO ", "Education ", "Paternal ", "Maternal ", "Consulting ", "Admitting ", "Sister ", "Brother ",
+    "Allergic ", "Seasonal ", "General ", "Zip ", "Lives ", "Next ", "Medtronic ", "Zimmer ",
+)
+INVALID_SUFFIXES = (
+    " the", " at", " in", " on", " to", " from", " reviewed", " case", " was", " is", " are", " patient", " doctor", " nurse", " staff", " phone", " address", " email", " number", " contact", " portal", " history", " status", " results",
+    " plan", " notes", " unit", " rate", " pressure", " signs", " level", " build", " network", " angina", " support", " education", " planning", " studies", " management", " drip", " vehicle", " model", " location", " situation",
+    " use", " boulder", " boston", " denver", " colorado", " name", " illness", " complaint", " appearance", " notice", " rights", " responsibilities", " treatment", " directive", " rhinitis", " medications", " count", " panel",
+    " mellitus", " lisinopril", " aspirin", " atorvastatin", " metoprolol", " metformin", " information", " identifiers", " characteristics", "-up", " hipaa",
+)
 FACILITY_SUFFIXES = (" hospital", " clinic", " center", " syndrome", " disease", " department")
 FIELD_LABELS = ("date of birth", "phone number", "medical record", "member id", "account number")
 

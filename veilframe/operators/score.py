@@ -73,11 +73,14 @@ def around(reach: int) -> Column:
     return F.substr(F.col("body"), at + 1, F.col("end") + reach - at)
 
 
-def window_tokens(spans: DataFrame, docs: DataFrame, n: int = 5, reach: int = 200) -> DataFrame:
-    """Adds ``window``: the ``n`` words before a span and the ``n`` after it, lower case, within ``reach`` characters."""
-    before = F.regexp_extract_all(F.lower(F.substr(F.col("body"), F.greatest(F.lit(1), F.col("start") + 1 - reach), F.least(F.col("start"), F.lit(reach)))), F.lit(r"\w+"), F.lit(0))
-    after = F.regexp_extract_all(F.lower(F.substr(F.col("body"), F.col("end") + 1, F.lit(reach))), F.lit(r"\w+"), F.lit(0))
-    return with_text(spans, docs).withColumn("window", F.concat(F.reverse(F.slice(F.reverse(before), 1, n)), F.slice(after, 1, n))).drop("body")
+def window_tokens(spans: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame:
+    """Adds ``window``: the ``n`` words before a span and the ``n`` after it, lower case, however long or far they are; a word
+    that a span cuts counts with its rest. Each side is searched from the span outwards, up to the ``n``-th word."""
+    first = rf"^\W*((?:\w+\W+){{0,{n - 1}}}\w+)"
+    before = F.reverse(F.regexp_extract(F.reverse(F.substr(F.col("body"), F.lit(1), F.col("start").cast("int"))), first, 1))
+    after = F.regexp_extract(F.substr(F.col("body"), F.col("end") + 1), first, 1)
+    words = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"\w+"), F.lit(0)), F.lower)
+    return with_text(spans, docs).withColumn("window", F.concat(words(before), words(after))).drop("body")
 
 
 def context_modifiers(windowed: DataFrame, rules=CONTEXT_RULES) -> DataFrame:
@@ -98,25 +101,23 @@ def field_contexts(docs: DataFrame, labels=FIELD_LABELS) -> DataFrame:
     from veilframe.functions.match import matches
 
     def labelled(p: str, expected: str, sure: float) -> Column:
-        return F.transform(matches(F.col("text"), p), lambda m: F.struct(m["start"].alias("label_start"), m["end"].alias("label_end"), F.lit(expected).alias("expected"), F.lit(sure).alias("sure")))
+        return F.transform(matches("text", p), lambda m: F.struct(m["start"].alias("label_start"), m["end"].alias("label_end"), F.lit(expected).alias("expected"), F.lit(sure).alias("sure")))
 
     found = F.concat(*[labelled(*x) for x in labels])
     rows = docs.select("doc_id", "text", F.explode(found).alias("f")).select("doc_id", "text", "f.*")
-    tail = F.substr(F.col("text"), F.col("label_end") + 1, F.lit(400))
+    tail = F.substr(F.col("text"), F.col("label_end") + 1)
     lead = F.length(F.regexp_extract(tail, r"^([ \t]*\n?[ \t]*)", 1))
     rest = F.substr(tail, lead + 1)
     value = F.regexp_extract(rest, r"^([^\n]*)", 1)
     return rows.select("doc_id", "label_start", (F.col("label_end") + lead).alias("value_start"), (F.col("label_end") + lead + F.length(value)).alias("value_end"), "expected", "sure").where("value_end > value_start")
 
 
-def field_boost(spans: DataFrame, contexts: DataFrame, reach: int = 60) -> DataFrame:
-    """The first context over a span decides: its type raises the confidence by 1.15 and the priority to 90, another lowers it by 0.8.
-
-    A context reaches ``reach`` characters into its line.
-    """
-    c = contexts.select(F.col("doc_id").alias("_d"), "label_start", "value_start", F.least("value_end", F.col("value_start") + reach).alias("value_end"), "expected")
+def field_boost(spans: DataFrame, contexts: DataFrame) -> DataFrame:
+    """The context over a span that begins last before it decides: its type raises the confidence by 1.15 and the priority to 90,
+    another lowers it by 0.8. A context reaches to the end of its line, or to the next label in it."""
+    c = contexts.select(F.col("doc_id").alias("_d"), "label_start", "value_start", "value_end", "expected")
     key = ["doc_id", "start", "end", "type", "pattern"]
-    met = spans.join(c, (F.col("doc_id") == F.col("_d")) & (F.col("start") < F.col("value_end")) & (F.col("value_start") < F.col("end"))).groupBy(*key).agg(F.min_by("expected", F.struct("label_start", "expected")).alias("expected"))
+    met = spans.join(c, (F.col("doc_id") == F.col("_d")) & (F.col("start") < F.col("value_end")) & (F.col("value_start") < F.col("end"))).groupBy(*key).agg(F.max_by("expected", F.struct("label_start", "expected")).alias("expected"))
     joined = spans.join(met, key, "left")
     same = F.col("expected") == F.col("type")
     return joined.withColumn("confidence", F.when(F.col("expected").isNull(), F.col("confidence")).when(same, clamp(F.col("confidence") * 1.15)).otherwise(F.col("confidence") * 0.8)).withColumn("priority", F.when(same, F.greatest("priority", F.lit(90))).otherwise(F.col("priority"))).drop("expected")
