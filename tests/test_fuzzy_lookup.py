@@ -6,12 +6,13 @@ from veilframe.operators import lookup, normalize
 
 
 def distance(a, b):
-    now = [*range(len(b) + 1)]
+    before, now = [], [*range(len(b) + 1)]
     for i, x in enumerate(a, 1):
         new = [i]
         for j, y in enumerate(b, 1):
-            new.append(min(now[j] + 1, new[-1] + 1, now[j - 1] + (x != y)))
-        now = new
+            d = min(now[j] + 1, new[-1] + 1, now[j - 1] + (x != y))
+            new.append(min(d, before[j - 2] + 1) if i > 1 and j > 1 and (a[i - 2], x) == (y, b[j - 2]) else d)
+        before, now = now, new
     return now[-1]
 
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veilframe.session import materialized
+
 # ---- policy language -------------------------------------------------------------------------------------------------
 
 TEMPLATES = {
@@ -111,12 +113,21 @@ def normalized_value() -> Column:
 def consistent_tokens(spans: DataFrame, key: bytes = b"demo-salt") -> DataFrame:
     """One token for each (type, normalised value) of the whole collection: [TYPE-n-hash8], n by first document and place within the type.
 
-    Counting within a type is a window over its distinct values alone.
+    A type may hold most values, so no window holds a type: values are sorted in ranges of (type, first, value), counted in each
+    range, and numbered after the ranges before; what is summed over all is a row for each range and type.
     """
+    spark = spans.sparkSession
     entities = spans.withColumn("norm", normalized_value()).groupBy("type", "norm").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("occurrences"))
-    n = F.row_number().over(Window.partitionBy("type").orderBy("first.doc_id", "first.start", "norm"))
+    order = ["type", "first.doc_id", "first.start", "norm"]
+    ranged = entities.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("range", F.spark_partition_id())
+    rows = materialized(ranged, "entities")
+    sums = rows.groupBy("range", "type").agg(F.count(F.lit(1)).alias("here"))
+    before = Window.partitionBy("type").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("range", "type", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("earlier"))
+    n = F.row_number().over(Window.partitionBy("range", "type").orderBy("first.doc_id", "first.start", "norm")) + F.col("earlier")
     mac = hmac_sha256(key, F.concat(F.col("type"), F.lit(":"), F.col("norm")))
-    return entities.select("type", "norm", n.cast("long").alias("n"), "occurrences", F.col("first.doc_id").alias("first_doc"), mac.alias("mac")).withColumn("token", F.concat(F.lit("["), "type", F.lit("-"), F.col("n").cast("string"), F.lit("-"), F.substr("mac", F.lit(1), F.lit(8)), F.lit("]")))
+    numbered = rows.join(offsets, ["range", "type"])
+    return numbered.select("type", "norm", n.cast("long").alias("n"), "occurrences", F.col("first.doc_id").alias("first_doc"), mac.alias("mac")).withColumn("token", F.concat(F.lit("["), "type", F.lit("-"), F.col("n").cast("string"), F.lit("-"), F.substr("mac", F.lit(1), F.lit(8)), F.lit("]")))
 
 
 def entity_rollup(spans: DataFrame) -> DataFrame:
@@ -220,27 +231,31 @@ def audit_events(spans: DataFrame) -> DataFrame:
 
 # ---- media -----------------------------------------------------------------------------------------------------------
 
-# What happens to a tag.
-TAG_RULES = (
-    ("00100010", "REPLACE", "ANONYMOUS"), ("00100020", "HASH", ""), ("00100030", "REMOVE", ""), ("00100040", "REMOVE", ""), ("00101010", "REMOVE", ""), ("00101040", "REMOVE", ""),
-    ("00080050", "HASH", ""), ("00080080", "REMOVE", ""), ("00080090", "REMOVE", ""), ("00080020", "REMOVE", ""), ("0020000D", "HASH", ""), ("0020000E", "HASH", ""),
-)
-
-
-def tag_rules(tags: DataFrame, key: bytes = b"demo-salt") -> DataFrame:
-    """(file, tag, value) after the rules: removed tags are gone, hashed ones are HMACs, replaced ones constants."""
-    rules = F.broadcast(tags.sparkSession.createDataFrame([*TAG_RULES], "tag string, action string, replacement string"))
-    out = tags.join(rules, "tag", "left").where(F.coalesce("action", F.lit("KEEP")) != "REMOVE")
+# Tags that identify a person, and what happens to them.
+TAG_RULES = {
+    "00100010": "HASH", "00100020": "HASH", "00100030": "REMOVE", "00100032": "REMOVE", "00100040": "REMOVE", "00101040": "REMOVE", "00102154": "REMOVE", "00101060": "REMOVE", "00101000": "REMOVE", "00101001": "REMOVE", "00101010": "REMOVE",
+    "00080080": "HASH", "00080081": "REMOVE", "00080090": "HASH", "00081050": "HASH", "00081070": "HASH", "00080050": "HASH", "00080020": "REMOVE", "00080030": "REMOVE", "00080021": "REMOVE", "00080031": "REMOVE", "00080022": "REMOVE", "00080032": "REMOVE",
+    "00080023": "REMOVE", "00080033": "REMOVE", "00080012": "REMOVE", "00080013": "REMOVE", "00200010": "HASH", "00080018": "HASH", "0020000D": "HASH", "0020000E": "HASH", "00100021": "REMOVE", "00104000": "REMOVE", "00102160": "REMOVE",
+    "00081030": "REMOVE", "0008103E": "REMOVE", "00181000": "HASH", "00181030": "REMOVE",
+}
+
+
+def tag_rules(tags: DataFrame, key: bytes = b"demo-salt", rules: dict[str, str] = TAG_RULES, replacements: dict[str, str] | None = None) -> DataFrame:
+    """(file, tag, value) after the rules: removed tags are gone, hashed ones are HMACs, those of ``replacements`` constants, all
+    others as they were. Tags are eight hexadecimal digits of either case, with or without ``x``, a comma or brackets."""
+    put = replacements or {}
+    actions = F.broadcast(tags.sparkSession.createDataFrame([(t, "REPLACE" if t in put else a, put.get(t)) for t, a in (rules | dict.fromkeys(put, "REPLACE")).items()], "_tag string, action string, replacement string"))
+    plain = F.regexp_replace(F.upper("tag"), "[^0-9A-F]", "")
+    out = tags.withColumn("_plain", plain).join(actions, F.col("_plain") == F.col("_tag"), "left").where(F.coalesce("action", F.lit("KEEP")) != "REMOVE")
     return out.select("file", "tag", F.when(F.col("action") == "HASH", hmac_sha256(key, F.col("value"))).when(F.col("action") == "REPLACE", F.col("replacement")).otherwise(F.col("value")).alias("value"))
 
 
 def box_decisions(boxes: DataFrame, known: DataFrame, pad: int = 4) -> DataFrame:
     """(image, text, x, y, w, h) to padded boxes: a known identifier 1.0, a detector hit .9, digits .6; .8 and above is redacted, other hits go to review."""
     from veilframe.functions.registry import DEFAULTS
-    from veilframe.operators.detect import spans
+    from veilframe.operators.detect import detect
 
-    hit = F.size(spans(F.col("text"), DEFAULTS)) > 0
     k = F.broadcast(known.select(F.lower("text").alias("_k")).distinct())
-    joined = boxes.join(k, F.lower("text") == F.col("_k"), "left")
-    c = F.when(F.col("_k").isNotNull(), 1.0).when(hit, 0.9).when(F.regexp_like("text", F.lit("[0-9]{4,}")), 0.6).otherwise(0.0)
+    joined = detect(boxes, DEFAULTS).join(k, F.lower("text") == F.col("_k"), "left")
+    c = F.when(F.col("_k").isNotNull(), 1.0).when(F.size("spans") > 0, 0.9).when(F.regexp_like("text", F.lit("[0-9]{4,}")), 0.6).otherwise(0.0)
     return joined.select("image", "text", F.greatest(F.lit(0), F.col("x") - pad).alias("x"), F.greatest(F.lit(0), F.col("y") - pad).alias("y"), (F.col("w") + 2 * pad).alias("w"), (F.col("h") + 2 * pad).alias("h"), c.alias("confidence"), F.when(c >= 0.8, "redact").when(c > 0, "review").otherwise("keep").alias("decision"))

@@ -97,6 +97,20 @@ def phrase_search(docs: DataFrame, phrases: DataFrame, lengths: tuple[int, ...],
     return found.join(phrases.select(F.lower("phrase").alias("phrase")).distinct(), "phrase").select("doc_id", F.col("word").cast("long").alias("word"), "phrase")
 
 
+def passage_search(docs: DataFrame, passages: DataFrame, anchor: int = 5, text: str = "text") -> DataFrame:
+    """(doc_id, word, passage): where whole passages stand, by word number from 0; both lower-cased, words alone.
+
+    A passage is met by its first ``anchor`` words (or all, if it has fewer) in an equi-join, and then compared whole, so a text's
+    words travel only where an anchor was found.
+    """
+    w = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[A-Za-z0-9_]+"), F.lit(0))
+    wanted = passages.where(F.col(text).isNotNull()).select(w.alias("p")).where(F.size("p") > 0).distinct().withColumn("phrase", F.array_join(F.slice("p", 1, anchor), " "))
+    found = phrase_search(docs, wanted.select("phrase"), tuple(range(1, anchor + 1)), text).join(wanted, "phrase")
+    words = docs.where(F.col(text).isNotNull()).select(F.col("doc_id").alias("_doc"), w.alias("w"))
+    met = found.join(words, F.col("doc_id") == F.col("_doc"))
+    return met.where(F.slice("w", F.col("word").cast("int") + 1, F.size("p")) == F.col("p")).select("doc_id", "word", F.array_join("p", " ").alias("passage")).distinct()
+
+
 def structure(text: Column) -> list[Column]:
     """How a text is laid out: counts of lines, headings, list items, table rows and field lines."""
     count = lambda p: F.regexp_count(text, F.lit(p)).cast("long")

@@ -108,7 +108,7 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.LongType())
 def osa(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else osa_of(x.lower(), y.lower()) for x, y in zip(a, b)], dtype="Int64")
+    return pd.Series([None if x is None or y is None else osa_of(x, y) for x, y in zip(a, b)], dtype="Int64")
 
 
 def deletes(word: Column) -> Column:
@@ -125,7 +125,7 @@ def forms(word: Column, most: int) -> Column:
 
 
 def fuzzy_lookup(tokens: DataFrame, terms: DataFrame, most: int = 2) -> DataFrame:
-    """(token, term, distance): the nearest term within edit distance ``most`` of each distinct token, ties to the smaller term.
+    """(token, term, distance): the nearest term within ``most`` edits of each distinct token (a swap of neighbours is one), ties to the smaller term.
 
     Each edit is at most one deletion on either side, so words within distance ``most`` share a form after up to ``most``
     deletions each. Joins are on those forms, never all against all. Tokens too long for any term are left out first.
@@ -135,5 +135,5 @@ def fuzzy_lookup(tokens: DataFrame, terms: DataFrame, most: int = 2) -> DataFram
     t = tokens.select("token").distinct().join(F.broadcast(longest), F.length("token") <= F.col("_longest") + most).select("token")
     keyed = d.select("term", F.explode(forms(F.col("term"), most)).alias("k"))
     met = t.select("token", F.explode(forms(F.col("token"), most)).alias("k")).join(keyed, "k").select("token", "term").distinct()
-    near = met.withColumn("distance", F.levenshtein("token", "term", most)).where("distance >= 0")
+    near = met.where(F.levenshtein("token", "term", 2 * most) >= 0).withColumn("distance", osa("token", "term")).where(F.col("distance") <= most)
     return near.groupBy("token").agg(F.min_by("term", F.struct("distance", "term")).alias("term"), F.min("distance").cast("long").alias("distance"))
