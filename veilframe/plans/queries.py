@@ -13,6 +13,7 @@ from veilframe.operators import lookup, measure, normalize, postfilter, score
 from veilframe.operators.apply import TOKEN, redact, restore, tokenize
 from veilframe.operators.detect import detect, exploded
 from veilframe.operators.resolve import FIELD_WORDS, resolve
+from veilframe.plans import chain
 from veilframe.plans.duck import detector_sql, spans_sql, specificity_sql, text_of
 from veilframe.session import materialized
 from veilframe.sources import CLINICAL, clinical, spread, table
@@ -47,7 +48,7 @@ def core(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _detector_query(name: str) -> None:
     d = BY_NAME[name]
-    natural = name in NATURAL
+    natural = name in NATURAL and name != "url"
     cols = ["doc_id", "start", "end", "text", "type", "confidence", "pattern"]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +102,7 @@ def same_text_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BODY = 'SELECT s.*, c.text AS body FROM spans s JOIN clin c USING (doc_id)'
 _WINDOW = f"""win AS (SELECT doc_id, start, "end", text, type, confidence, pattern,
- list_concat(list_reverse(list_reverse(regexp_extract_all(lower(substr(body, greatest(1, start + 1 - 200), least(start, 200))), '\\w+'))[1:5]), regexp_extract_all(lower(substr(body, "end" + 1, 200)), '\\w+')[1:5]) AS w FROM ({_BODY}))"""
+ list_transform(list_concat(list_reverse(list_reverse(regexp_extract_all(substr(body, 1, start), '\\w+'))[1:5]), regexp_extract_all(substr(body, "end" + 1), '\\w+')[1:5]), lambda x: lower(x)) AS w FROM ({_BODY}))"""
 
 
 @query(SPANS + f""", {_WINDOW} SELECT doc_id, start, "end", type, pattern, array_to_string(w, ' ') AS "window" FROM win""")
@@ -129,7 +130,7 @@ def _fields_sql() -> str:
         parts.append(f"""SELECT doc_id, text, '{expected}' AS expected, {sure}::DOUBLE AS sure, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::BIGINT AS label_start, length(m[i]) AS n
  FROM (SELECT doc_id, text, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, text, regexp_extract_all(text, {r}) AS m, string_split_regex(text, {r}) AS g FROM clin WHERE regexp_matches(text, {r})))""")
     return f"""fields AS (SELECT doc_id, label_start, label_start + n + lead AS value_start, label_start + n + lead + length(value) AS value_end, expected, sure FROM (
- SELECT *, regexp_extract(substr(tail, lead + 1), '^([^\\n]*)', 1) AS value FROM (SELECT *, length(regexp_extract(tail, '^([ \\t]*\\n?[ \\t]*)', 1)) AS lead FROM (SELECT *, substr(text, label_start + n + 1, 400) AS tail FROM ({' UNION ALL '.join(parts)})))) WHERE length(value) > 0)"""
+ SELECT *, regexp_extract(substr(tail, lead + 1), '^([^\\n]*)', 1) AS value FROM (SELECT *, length(regexp_extract(tail, '^([ \\t]*\\n?[ \\t]*)', 1)) AS lead FROM (SELECT *, substr(text, label_start + n + 1) AS tail FROM ({' UNION ALL '.join(parts)})))) WHERE length(value) > 0)"""
 
 
 @query(f"WITH {CLIN}, {_fields_sql()} SELECT doc_id, label_start, value_start, value_end, expected, sure FROM fields")
@@ -137,7 +138,7 @@ def field_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.field_contexts(clinical(spark, sf_dir))
 
 
-@query(SPANS + f""", {_fields_sql()}, met AS (SELECT s.doc_id, s.start, s."end", s.type, s.pattern, min_by(f.expected, (f.label_start, f.expected)) AS expected FROM spans s JOIN fields f ON s.doc_id = f.doc_id AND s.start < least(f.value_end, f.value_start + 60) AND f.value_start < s."end" GROUP BY ALL)
+@query(SPANS + f""", {_fields_sql()}, met AS (SELECT s.doc_id, s.start, s."end", s.type, s.pattern, max_by(f.expected, (f.label_start, f.expected)) AS expected FROM spans s JOIN fields f ON s.doc_id = f.doc_id AND s.start < f.value_end AND f.value_start < s."end" GROUP BY ALL)
 SELECT s.doc_id, s.start, s."end", s.type, s.pattern, round(CASE WHEN m.expected IS NULL THEN confidence WHEN m.expected = s.type THEN least(1.0, confidence * 1.15::DOUBLE) ELSE confidence * 0.8::DOUBLE END, 6) AS confidence, (CASE WHEN m.expected = s.type THEN greatest(priority, 90) ELSE priority END)::INTEGER AS priority
 FROM spans s LEFT JOIN met m ON s.doc_id = m.doc_id AND s.start = m.start AND s."end" = m."end" AND s.type = m.type AND s.pattern = m.pattern""")
 def field_context_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,22 +343,32 @@ def redact_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", F.size("token_map").alias("n_tokens"), F.size(F.regexp_extract_all("redacted", F.lit(TOKEN), F.lit(0))).alias("n_in_text"), F.sha2("redacted", 256).alias("sha256"))
 
 
-@query(f"""WITH s AS ({spans_sql([BY_NAME["email"], BY_NAME["ipv4"]], "(SELECT conv_id, turn, text || ' mail ' || role || conv_id || '@example.org' AS text FROM conversations)", "conv_id, turn")}) SELECT conv_id, count(*) AS n, count(DISTINCT text) AS distinct_values FROM s GROUP BY conv_id""")
+@query(f"""SELECT conv_id, turn, regexp_replace(t, {text_of(_MAIL)}, '[EMAIL]', 'g') AS redacted, len(regexp_extract_all(t, {text_of(_MAIL)})) AS n FROM (SELECT conv_id, turn, text || ' mail ' || role || conv_id || '@example.org' AS t FROM conversations) WHERE t IS NOT NULL""")
 def conversation_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").select("conv_id", "turn", F.concat("text", F.lit(" mail "), "role", F.col("conv_id").cast("string"), F.lit("@example.org")).alias("text"))
-    s = exploded(detect(c, [BY_NAME["email"], BY_NAME["ipv4"]]), "conv_id")
-    return s.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("distinct_values"))
+    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").select("conv_id", "turn", F.concat("text", F.lit(" mail "), "role", F.col("conv_id").cast("string"), F.lit("@example.org")).alias("text")).where("text is not null")
+    return redact(resolve(detect(c, [BY_NAME["email"]]))).select("conv_id", "turn", "redacted", F.col("n_redactions").alias("n"))
 
 
 _STRIP = r"<[^>]*>"
 
 
-@query(f"""WITH p AS (SELECT page_id, regexp_replace(html, '{_STRIP}', ' ', 'g') AS text FROM pages), s AS ({spans_sql([BY_NAME[n] for n in ("email", "phone", "ipv4")], "p", "page_id")}) SELECT page_id, type, start, "end", text FROM s""")
+@query(f"""WITH p AS (SELECT page_id, regexp_replace(html, '{_STRIP}', ' ', 'g') AS text FROM pages WHERE html IS NOT NULL) SELECT page_id, regexp_replace(text, {text_of(_MAIL)}, '[EMAIL]', 'g') AS redacted, len(regexp_extract_all(text, {text_of(_MAIL)})) AS n FROM p""")
 def page_text_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.regexp_replace("html", _STRIP, " ").alias("text"))
+    p = spread(table(spark, sf_dir, "pages", "page_id", "html")).where("html is not null").select("page_id", F.regexp_replace("html", _STRIP, " ").alias("text"))
+    return redact(resolve(detect(p, [BY_NAME["email"]]))).select("page_id", "redacted", F.col("n_redactions").alias("n"))
+
+
+@query(f"""WITH p AS (SELECT page_id, regexp_replace(html, '{_STRIP}', ' ', 'g') AS text FROM pages), s AS ({spans_sql([BY_NAME[n] for n in ("email", "phone", "ipv4")], "p", "page_id")}) SELECT page_id, type, start, "end", text FROM s""")
+def page_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spread(table(spark, sf_dir, "pages", "page_id", "html")).select("page_id", F.regexp_replace("html", _STRIP, " ").alias("text"))
     return exploded(detect(p, [BY_NAME[n] for n in ("email", "phone", "ipv4")]), "page_id").select("page_id", "type", "start", "end", "text")
 
 
+@query()
+def redact_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain.redact_full(clinical(spark, sf_dir)).select("doc_id", "n_redactions", "redacted")
+
+
 # ---- consistency, policy, audit --------------------------------------------------------------------------------------
 
 _NORM = r"""CASE WHEN type IN ('SSN', 'PHONE', 'FAX', 'CREDIT_CARD') THEN regexp_replace(text, '[^0-9]', '', 'g') WHEN type = 'EMAIL' THEN lower(text) WHEN type = 'MRN' THEN upper(regexp_replace(text, '[ ]', '', 'g'))
@@ -449,7 +460,8 @@ def alert_failure_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gov.failure_rate(table(spark, sf_dir, "events", "ts", "event_type"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT event_type AS rule, ts::TIMESTAMP AS ts FROM events WHERE ts IS NOT NULL), later AS MATERIALIZED (SELECT a.rule, a.ts, min(b.ts) AS next FROM e a JOIN e b ON a.rule = b.rule AND b.ts >= a.ts + INTERVAL 600 SECOND GROUP BY ALL),
+passed AS (SELECT rule, min(ts) AS ts FROM e GROUP BY rule UNION ALL SELECT p.rule, l.next FROM passed p JOIN later l ON p.rule = l.rule AND p.ts = l.ts) SELECT rule, ts FROM passed""")
 def alert_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gov.cooled_down(table(spark, sf_dir, "events", "ts", "event_type").select(F.col("event_type").alias("rule"), "ts"), 600)
 
@@ -470,14 +482,22 @@ def chaos_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents", "doc_id", "text")).where("text is not null").select("doc_id", normalize.chaos_score(F.col("text")).alias("chaos"))
 
 
-_TRICK = "CASE doc_id % 4 WHEN 0 THEN concat('p', chr(1072), 'ypal') WHEN 1 THEN concat('pay', chr(8203), 'pal') ELSE 'paypal' END"
+_TRICK = "CASE doc_id % 4 WHEN 0 THEN concat(text, ' p', chr(1072), 'ypal') WHEN 1 THEN concat(text, ' pay', chr(8203), 'pal') ELSE text END"
 _HOMO = "".join(normalize.HOMOGLYPHS)
 
 
-@query(f"""SELECT doc_id, round(least(1.0, least((length(t) - length(replace(t, chr(8203), ''))) / 5.0::DOUBLE, 1.0) * 0.3::DOUBLE + least((length(t) - length(translate(t, '{_HOMO}', ''))) / 3.0::DOUBLE, 1.0) * 0.4::DOUBLE + CASE WHEN regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '[\\x{{370}}-\\x{{4ff}}]') THEN 0.5 ELSE 0.0 END), 6)::DOUBLE AS score FROM (SELECT doc_id, {_TRICK} AS t FROM documents)""")
+@query(f"""SELECT doc_id, round(least(1.0, least((length(t) - length(translate(t, '{normalize.INVISIBLE}', ''))) / 5.0::DOUBLE, 1.0) * 0.3::DOUBLE + least((length(t) - length(translate(t, '{_HOMO}', ''))) / 3.0::DOUBLE, 1.0) * 0.4::DOUBLE + CASE WHEN regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '[\\x{{370}}-\\x{{4ff}}]') THEN 0.5 ELSE 0.0 END), 6)::DOUBLE AS score FROM (SELECT doc_id, {_TRICK} AS t FROM documents)""")
 def homoglyph_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.when(F.col("doc_id") % 4 == 0, "pаypal").when(F.col("doc_id") % 4 == 1, "pay​pal").otherwise("paypal")
-    return table(spark, sf_dir, "documents", "doc_id").select("doc_id", normalize.adversarial_score(t).alias("score"))
+    t = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit(" p\u0430ypal"))).when(F.col("doc_id") % 4 == 1, F.concat("text", F.lit(" pay\u200bpal"))).otherwise(F.col("text"))
+    return spread(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", normalize.adversarial_score(t).alias("score"))
+
+
+@query("""WITH n(term) AS (SELECT DISTINCT lower(n_name) FROM nation), t AS (SELECT DISTINCT lower(concat(substr(n_name, 1, 1), substr(n_name, 3), 'x')) AS token FROM nation UNION SELECT DISTINCT lower(concat(substr(n_name, 2, 1), substr(n_name, 1, 1), substr(n_name, 3))) FROM nation)
+SELECT token, min_by(term, (d, term)) AS term, min(d) AS distance FROM (SELECT token, term, damerau_levenshtein(token, term) AS d FROM t, n) WHERE d <= 2 GROUP BY token""")
+def fuzzy_two_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation", "n_name")
+    t = n.select(F.lower(F.concat(F.substr("n_name", F.lit(1), F.lit(1)), F.substr("n_name", F.lit(3)), F.lit("x"))).alias("token")).unionByName(n.select(F.lower(F.concat(F.substr("n_name", F.lit(2), F.lit(1)), F.substr("n_name", F.lit(1), F.lit(1)), F.substr("n_name", F.lit(3)))).alias("token")))
+    return normalize.fuzzy_lookup(t, n.select(F.lower("n_name").alias("term")).distinct(), 2)
 
 
 @query("""WITH n(term) AS (SELECT DISTINCT lower(n_name) FROM nation), t AS (SELECT DISTINCT lower(concat(substr(n_name, 1, 2), substr(n_name, 4))) AS token FROM nation UNION SELECT DISTINCT lower(concat(n_name, 'x')) FROM nation)
@@ -523,9 +543,11 @@ def eval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.rates(measure.mode_counts(measure.align(p, truth(spark, sf_dir))))
 
 
-@query(f"SELECT t.doc_id, t.type, t.text FROM ({TRUTH}) t JOIN documents d USING (doc_id) WHERE contains(d.text, t.text)")
+@query(f"""WITH {CLIN}, m AS ({detector_sql(BY_NAME["mrn"], "clin")}), t AS ({TRUTH}), n AS (SELECT t.doc_id, count(DISTINCT m.start) AS hidden FROM t LEFT JOIN m ON t.doc_id = m.doc_id AND t.text = m.text GROUP BY t.doc_id)
+SELECT t.doc_id, t.type, t.text FROM t JOIN clin USING (doc_id) JOIN n USING (doc_id) WHERE (length(clin.text) - length(replace(clin.text, t.text, ''))) // length(t.text) > n.hidden""")
 def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measure.leaks(table(spark, sf_dir, "documents", "doc_id", F.col("text").alias("redacted")), truth(spark, sf_dir)).select("doc_id", "type", "text")
+    done = redact(resolve(detect(clinical(spark, sf_dir), [BY_NAME["mrn"]]))).select("doc_id", "redacted")
+    return measure.leaks(done, truth(spark, sf_dir)).select("doc_id", "type", "text")
 
 
 _POINTS = "SELECT (doc_id % 100 / 100.0)::DOUBLE AS confidence, quality AS label FROM labels WHERE quality IS NOT NULL"
@@ -595,11 +617,15 @@ def randomized_response_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.randomized_response(table(spark, sf_dir, "events", "event_type").groupBy(F.col("event_type").alias("item")).agg(F.count(F.lit(1)).alias("observed")), 5, 1.0)
 
 
-@query("""WITH t AS (SELECT doc_id AS file, unnest([{'tag': '00100010', 'value': 'N' || doc_id}, {'tag': '00100030', 'value': 'B'}, {'tag': '00280010', 'value': '512'}], recursive := true) FROM documents) SELECT file, tag, CASE tag WHEN '00100010' THEN 'ANONYMOUS' ELSE value END AS value FROM t WHERE tag <> '00100030'""")
+#: Tags as they are written in files, with two that stay.
+_TAGS = "00080012 00080013 00080018 00080020 00080021 00080022 00080023 00080030 00080031 00080032 00080033 00080050 00080060 00080080 00080081 00080090 00081030 0008103E 00081050 00081070 00100010 00100020 00100021 00100030 00100032 00100040 00101000 00101001 00101010 00101040 00101060 00102154 00102160 00104000 00181000 00181030 0020000D 0020000E 00200010 00280010".split()
+_NAMES_HASHED = "tag IN ('00100010', '00100020', '00080080', '00080090', '00081050', '00081070', '00080050', '00200010', '00080018', '0020000D', '0020000E', '00181000')"
+
+
+@query(f"""WITH t AS (SELECT doc_id AS file, unnest({_TAGS}) AS tag FROM documents) SELECT file, tag, CASE WHEN {_NAMES_HASHED} THEN 'hashed' ELSE 'v' || file END AS value FROM t WHERE {_NAMES_HASHED} OR tag IN ('00080060', '00280010')""")
 def dicom_tag_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents", "doc_id")
-    tags = d.select(F.col("doc_id").alias("file"), F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), v.alias("value")) for t, v in (("00100010", F.concat(F.lit("N"), F.col("doc_id").cast("string"))), ("00100030", F.lit("B")), ("00280010", F.lit("512")))])).alias("t"))
-    return gov.tag_rules(tags.select("file", "t.*"))
+    tags = table(spark, sf_dir, "documents", "doc_id").select(F.col("doc_id").alias("file"), F.explode(F.array(*map(F.lit, _TAGS))).alias("tag"), F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("value"))
+    return gov.tag_rules(tags).withColumn("value", F.when(F.regexp_like("value", F.lit("^[0-9a-f]{64}$")), "hashed").otherwise(F.col("value")))
 
 
 @query("""SELECT doc_id, d::VARCHAR AS d, (d + INTERVAL 11 DAY)::DATE::VARCHAR AS shifted, '[DATE_' || dense_rank() OVER (PARTITION BY doc_id ORDER BY d) || ']' AS token FROM (SELECT o_custkey AS doc_id, o_orderdate::DATE AS d FROM orders)""")
@@ -634,13 +660,12 @@ def trigram_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _W = "regexp_extract_all(lower(text), '[A-Za-z0-9_]+')"
 
 
-@query(f"""WITH w AS (SELECT doc_id, {_W} AS w FROM documents), ph AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(text), '[A-Za-z0-9_]+')[1:3], ' ') AS phrase FROM benchmark),
-g AS (SELECT doc_id, i AS word, array_to_string(w[i+1:i+3], ' ') AS phrase FROM (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS i FROM w WHERE len(w) >= 3))
-SELECT doc_id, word, phrase FROM g JOIN ph USING (phrase)""")
+@query(f"""WITH d AS (SELECT doc_id, ' ' || array_to_string({_W}, ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL), p AS (SELECT DISTINCT array_to_string({_W}, ' ') AS passage FROM benchmark WHERE text IS NOT NULL AND len({_W}) > 0),
+m AS (SELECT doc_id, passage, string_split(t, ' ' || passage || ' ') AS g FROM d JOIN p ON contains(t, ' ' || passage || ' ')),
+c AS (SELECT doc_id, passage, unnest(range(1, len(g))) AS i, g FROM m)
+SELECT doc_id, passage, (list_sum(list_transform(g[1:i], lambda x: len(list_filter(string_split(x, ' '), lambda y: y <> '')))) + (i - 1) * len(string_split(passage, ' ')))::BIGINT AS word FROM c""")
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[A-Za-z0-9_]+"), F.lit(0))
-    phrases = table(spark, sf_dir, "benchmark", "text").select(F.array_join(F.slice(words, 1, 3), " ").alias("phrase"))
-    return lookup.phrase_search(spread(table(spark, sf_dir, "documents", "doc_id", "text")), phrases, (3,))
+    return lookup.passage_search(spread(table(spark, sf_dir, "documents", "doc_id", "text")), table(spark, sf_dir, "benchmark", "text"))
 
 
 @query()
