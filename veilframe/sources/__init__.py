@@ -38,7 +38,7 @@ HEADER = """concat('PATIENT: SMITH, JOHN  MRN: ', CAST(100000 + {id} AS STRING),
  'Member ID: HP', CAST(1000000 + {id} AS STRING), '  Account No: AC', CAST(5000 + {id} AS STRING), '  Driver license no: D', CAST(1000000 + {id} AS STRING), '  Passport: ', CAST(10000000 + {id} AS STRING), '  pacemaker serial no: SN-', CAST(20000 + {id} AS STRING), chr(10),
  'VIN: 1HGCM82633A', CAST(100000 + {id} % 900000 AS STRING), '  plate no: ABC-', CAST(100 + {id} % 900 AS STRING), '  fingerprint id FP', CAST({id} AS STRING), '  IP 10.0.', CAST({id} % 256 AS STRING), '.7  http://www.example.org/p/', CAST({id} AS STRING), chr(10),
  'IPv6 2001:db8:0:0:0:0:0:', CAST({id} % 9999 AS STRING), ' or fe80::', CAST(1 + {id} % 99 AS STRING), '  MAC 00:1B:44:11:3A:', CAST(10 + {id} % 90 AS STRING), '  IBAN DE44500105175407', CAST(10000 + {id} % 80000 AS STRING), '  wallet 1BoatSLRHtKNngkdXEeobR76b53LETtp', CAST(1 + {id} % 9 AS STRING), chr(10),
- 'Apt B', CAST(1 + {id} % 99 AS STRING), ', lives in Boston, at 40.71', CAST(10 + {id} % 90 AS STRING), ', -74.00', CAST(10 + {id} % 90 AS STRING), '  ref 123e4567-e89b-12d3-a456-4266141', CAST(10000 + {id} % 80000 AS STRING), '  DNA sample  Chart #: ', CAST(20000 + {id} AS STRING), chr(10),
+ 'Apt B', CAST(1 + {id} % 99 AS STRING), ', lives in Boston, at 40.71', CAST(10 + {id} % 90 AS STRING), ', -74.00', CAST(10 + {id} % 90 AS STRING), '  ref 123e4567-e89b-12d3-a456-4266141', CAST(10000 + {id} % 80000 AS STRING), '  DNA sample, spoke with Ann Lee  Chart #: ', CAST(20000 + {id} AS STRING), chr(10),
  'PATIENT:', chr(10), 'MARY ANN BROWN', chr(10), 'FILE #:', chr(10), CAST(700000 + {id} AS STRING), chr(10),
  'The patient was diagnosed with hypertension and admitted to the hospital; medication and surgery were discussed. MEDICAL RECORD', chr(10))"""
 
