@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veilframe.functions.match import bound
 from veilframe.llm.tables import table, written
 from veilframe.llm.vectors import BLOCK, against, best, element, matrix, query_blocks, usable
 
@@ -143,8 +144,9 @@ def indexed(vectors: DataFrame, k: int) -> DataFrame:
     few = vectors.withColumn("r", F.row_number().over(copies)).where(F.col("r") <= k + 1)
     distinct = written(few.groupBy("v").agg(F.first("dim").alias("dim"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "ann-distinct")
     top = F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x).cast("double")))
-    norm = F.col("top") * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("top")) * (x / F.col("top"))))
-    normed = distinct.withColumn("top", top).withColumn("norm", norm).withColumn("band", F.floor(F.log2("norm") + 0.5)).drop("top")
+    norm = bound(top, lambda t: t * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / t) * (x / t))))  # neither overflows nor vanishes
+    normed = distinct.select("*", bound(norm, lambda n: F.struct(n.alias("norm"), F.floor(F.log2(n) + 0.5).alias("band"))).alias("n")).select("dim", "ids", "v", "n.norm", "n.band")
+    normed = written(normed, "ann-normed")
     sizes = normed.groupBy("dim", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("m"), F.max("norm").alias("largest"))  # a row for each power of 2
     before = Window.partitionBy("dim").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0)))
