@@ -22,34 +22,74 @@ CONTEXT_RULES = (
     ("NAME", ("patient", "doctor", "dr", "nurse", "physician"), 1.15),
     ("CREDIT_CARD", ("card", "credit", "visa", "mastercard", "amex"), 1.25),
 )
-# Labels, what they announce, and how surely.
+# Labels before a colon, what they announce, and how surely; a space stands for white space, ``#`` may follow it.
 FIELD_LABELS = (
-    (r"(?i)\b(?:patient|patient name|name)[ \t]*:", "NAME", 0.95),
-    (r"(?i)\b(?:mrn|medical record number)[ \t]*:", "MRN", 0.95),
-    (r"(?i)\b(?:dob|date of birth|date)[ \t]*:", "DATE", 0.90),
-    (r"(?i)\baddress[ \t]*:", "ADDRESS", 0.90),
-    (r"(?i)\b(?:phone|telephone|tel)[ \t]*:", "PHONE", 0.90),
-    (r"(?i)\b(?:ssn|social security number)[ \t]*:", "SSN", 0.98),
-    (r"(?i)\bemail[ \t]*:", "EMAIL", 0.95),
-    (r"(?i)\bmember id[ \t]*:", "HEALTH_PLAN", 0.95),
-)
-# Clinical indicators (kind, pattern, weight).
+    (("patient", "pt", "patient name", "name", "full name", "physician", "doctor", "dr", "attending physician", "ordering physician",
+      "primary care", "referring", "referring physician", "radiologist", "read by", "interpreted by", "dictated by", "transcribed by",
+      "signed by", "electronically signed", "spouse", "wife", "husband", "next of kin", "guardian", "power of attorney",
+      "emergency contact", "contact name", "mother", "father", "parent", "subscriber", "insured", "policyholder", "policy holder",
+      "beneficiary", "nurse", "rn", "lpn", "caregiver", "witness", "notarized by"), "NAME", 0.95),
+    (("file#", "file number", "mrn", "medical record", "medical record number", "medical record#", "chart#", "chart number", "account#",
+      "account number", "patient id", "patient number", "accession#?", "accession number", "case#", "case number", "encounter#?",
+      "encounter number", "visit#", "visit number", "admission#", "unit number", "study id", "specimen#?", "lab#", "req#", "requisition",
+      "order#", "order number", "claim#", "claim number", "invoice#", "authorization#?", "reference#", "control#"), "MRN", 0.95),
+    (("dob", "date of birth", "birth date", "birthdate", "date", "service date", "exam date", "study date", "procedure date",
+      "admission date", "discharge date", "visit date", "order date", "report date", "signed date", "effective date",
+      "expiration date", "onset date", "date of service", "dos", "date of death", "surgery date", "specimen date", "collection date",
+      "received date", "reported date", "appointment date", "scheduled date"), "DATE", 0.90),
+    (("address", "home address", "mailing address", "street address", "residential address", "billing address", "shipping address",
+      "work address", "employer address", "facility address", "location", "city", "state", "zip", "zip code", "postal code", "county",
+      "country"), "ADDRESS", 0.90),
+    (("phone", "phone number", "telephone", "tel", "cell", "mobile", "cell phone", "mobile phone", "home phone", "work phone",
+      "office phone", "pager", "fax", "fax number", "contact number", "callback number", "emergency phone"), "PHONE", 0.90),
+    (("ssn", "ssn number", "ssn#", "social security", "social security number", "social security#", "ss#", "ss number"), "SSN", 0.98),
+    (("email", "e-mail", "email address", "electronic mail"), "EMAIL", 0.90),
+    (("insurance id", "member id", "member number", "group number", "group#", "policy number", "policy#", "subscriber id", "plan id",
+      "plan number", "certificate number", "rx bin", "rx pcn", "rx group", "bin", "pcn"), "MRN", 0.90),
+    (("insurance company", "insurance carrier", "health plan", "payer", "carrier", "employer"), "ORGANIZATION", 0.85),
+    (("age", "sex", "gender", "race", "ethnicity", "marital status", "occupation"), "DEMOGRAPHIC", 0.80),
+)
+# Clinical indicators (kind, patterns, weight of a match).
 CLINICAL = (
-    ("label", r"(?i)\b(?:patient|pt|mrn|dob)\b", 1.0),
-    ("diagnosis", r"(?i)\b(?:diagnosis|diagnosed|hypertension|diabetes|cancer)\b", 0.8),
-    ("procedure", r"(?i)\b(?:surgery|procedure|biopsy|transplant)\b", 0.7),
-    ("medication", r"(?i)\b(?:medication|prescribed|mg|dose)\b", 0.7),
-    ("visit", r"(?i)\b(?:admitted|admission|discharged?|hospital|clinic)\b", 0.8),
-    ("laboratory", r"(?i)\b(?:labs?|hemoglobin|glucose|creatinine)\b", 0.6),
-    ("role", r"(?i)\b(?:physician|nurse|surgeon|attending|doctor)\b", 0.5),
-    ("relation", r"(?i)\b(?:wife|husband|mother|father|son|daughter)\b", 0.5),
-)
+    ("label", (
+        r"(?i)\b(?:patient|pt|subject|individual|client|resident|member)\s*(?:name)?[:\s]", r"(?i)\b(?:name|full\s+name)\s*[:\s]", r"(?i)\bMRN\s*[:#]",
+        r"(?i)\b(?:DOB|date\s+of\s+birth)\s*[:\s]", r"(?i)\b(?:admitted|discharged|seen|evaluated|examined|treated)\b"), 1.0),
+    ("setting", (
+        r"(?i)\b(?:hospital|clinic|emergency\s+room|ER|ICU|ward|unit|floor)\b", r"(?i)\b(?:admission|discharge|transfer|consult)\b",
+        r"(?i)\b(?:inpatient|outpatient|ambulatory)\b", r"(?i)\b(?:surgery|procedure|operation|exam|examination)\b",
+        r"(?i)\b(?:diagnosis|prognosis|treatment|therapy)\b"), 0.9),
+    ("action", (
+        r"(?i)\b(?:presented|presents|presenting)\s+(?:with|to)\b", r"(?i)\b(?:complains|complained|reports|reported|states|stated)\b",
+        r"(?i)\b(?:denies|denied|endorses|endorsed)\b", r"(?i)\b(?:prescribed|ordered|administered|given)\b",
+        r"(?i)\b(?:vital\s+signs|blood\s+pressure|temperature|pulse|respirations)\b", r"(?i)\b(?:symptoms?|signs?|findings?)\b"), 0.8),
+    ("time", (
+        r"(?i)\b(?:onset|started|began|developed|occurred)\s+(?:on|at|around)?\b", r"(?i)\b(?:since|for\s+the\s+past|over\s+the\s+past|within\s+the\s+last)\b",
+        r"(?i)\b(?:follow[- ]?up|return\s+visit|next\s+appointment)\b", r"(?i)\b(?:pre[- ]?op|post[- ]?op|day\s+\d+|POD\s*#?\d+)\b"), 0.75),
+    ("relation", (
+        r"(?i)\b(?:spouse|wife|husband|partner)\b", r"(?i)\b(?:mother|father|parent|guardian)\b",
+        r"(?i)\b(?:son|daughter|child|children|sibling|brother|sister)\b", r"(?i)\b(?:caregiver|emergency\s+contact|next\s+of\s+kin|NOK)\b"), 0.85),
+    ("person", (
+        r"(?i)\b\d+[- ]?(?:year|yr|y\.?o\.?)[- ]?old\b", r"(?i)\b(?:male|female|man|woman|boy|girl)\b",
+        r"(?i)\b(?:caucasian|african[- ]?american|hispanic|asian|latino|latina)\b"), 0.6),
+    ("place", (
+        r"(?i)\b(?:resides?|lives?|living)\s+(?:in|at|near)\b", r"(?i)\b(?:transferred\s+from|referred\s+from|came\s+from)\b",
+        r"(?i)\b(?:home\s+address|mailing\s+address)\b"), 0.65),
+    ("heading", (
+        r"(?im)^(?:Patient|Subject|Client)\s*(?:Information|Demographics)?[:\s]*$", r"(?im)^(?:Emergency\s+)?Contact[:\s]*$",
+        r"(?im)^(?:Family|Social)\s+History[:\s]*$"), 0.5),
+)
 INDEPENDENT = ("SSN", "MRN", "EMAIL", "PHONE", "FAX", "CREDIT_CARD", "ACCOUNT", "IP", "URL", "PASSPORT")
-# Cross-type rules (first type, second type, kind, strength).
+# Cross-type rules (first type, second type, kind, strength, what must stand near one of the two or None).
 PAIR_RULES = (
-    ("DATE", "AGE", "EXCLUSIVE", 0.8), ("PHONE", "FAX", "EXCLUSIVE", 0.7), ("ZIPCODE", "MRN", "EXCLUSIVE", 0.8), ("PHONE", "MRN", "EXCLUSIVE", 0.7),
-    ("ADDRESS", "NAME", "EXCLUSIVE", 0.6), ("NAME", "DATE", "SUPPORTIVE", 0.5), ("NAME", "MRN", "SUPPORTIVE", 0.6), ("ADDRESS", "ZIPCODE", "SUPPORTIVE", 0.7),
-    ("NAME", "PHONE", "SUPPORTIVE", 0.4), ("NAME", "ADDRESS", "SUPPORTIVE", 0.5), ("MRN", "DATE", "SUPPORTIVE", 0.4),
+    ("SSN", "PHONE", "EXCLUSIVE", 0.95, None), ("DATE", "AGE", "EXCLUSIVE", 0.90, None), ("MRN", "ZIPCODE", "EXCLUSIVE", 0.80, None),
+    ("PHONE", "FAX", "EXCLUSIVE", 0.70, None), ("DATE", "MRN", "EXCLUSIVE", 0.75, None),
+    ("NAME", "ADDRESS", "EXCLUSIVE", 0.70, r"(?i)\b(street|st|ave|avenue|road|rd|drive|dr|lane|ln|blvd|way)\b"),
+    ("ACCOUNT", "CREDIT_CARD", "EXCLUSIVE", 0.85, None), ("IP", "PHONE", "EXCLUSIVE", 0.90, None),
+    ("NAME", "CUSTOM", "EXCLUSIVE", 0.85, r"(?i)\b(mg|mcg|tablet|daily|prn|prescribed)\b"), ("SSN", "MRN", "EXCLUSIVE", 0.85, None),
+    ("NAME", "DATE", "SUPPORTIVE", 0.30, r"(?i)\b(dob|date of birth|born|birthday)\b"),
+    ("NAME", "MRN", "SUPPORTIVE", 0.35, r"(?i)\b(patient|mrn|medical record|chart)\b"), ("ADDRESS", "ZIPCODE", "SUPPORTIVE", 0.40, None),
+    ("PHONE", "NAME", "SUPPORTIVE", 0.25, r"(?i)\b(contact|call|phone|reach)\b"), ("EMAIL", "NAME", "SUPPORTIVE", 0.30, None),
+    ("SSN", "NAME", "SUPPORTIVE", 0.40, None),
 )
 NEAR, PAIR_TIMES = 200, 2
 HIGH_PRECISION = ("SSN", "EMAIL", "PHONE", "MRN", "CREDIT_CARD", "IP", "URL")
@@ -96,28 +136,36 @@ def context_modifiers(windowed: DataFrame, rules=CONTEXT_RULES) -> DataFrame:
     return windowed.withColumn("confidence", F.when(short & (c > 0.02), clamp(c * 0.7)).otherwise(c))
 
 
+def label_pattern(labels: tuple[str, ...]) -> str:
+    return r"(?i)\b(?:" + "|".join(x.replace("#?", r"(?:\s*[#])?") if "#?" in x else x.replace("#", r"\s*#") for x in labels).replace(" ", r"\s+") + r")\s*:"
+
+
 def field_contexts(docs: DataFrame, labels=FIELD_LABELS) -> DataFrame:
-    """(doc_id, label_start, value_start, value_end, expected, sure): the rest of the line after each label, or the next line where nothing follows."""
+    """(doc_id, label_start, value_start, value_end, expected, sure, rank): what follows each label, up to the end of its line or to capitals
+    before a colon; the next line where nothing follows; no row for an empty value. ``rank`` is the label's group in the list."""
     from veilframe.functions.match import matches
 
-    def labelled(p: str, expected: str, sure: float) -> Column:
-        return F.transform(matches("text", p), lambda m: F.struct(m["start"].alias("label_start"), m["end"].alias("label_end"), F.lit(expected).alias("expected"), F.lit(sure).alias("sure")))
+    def labelled(rank: int, names: tuple[str, ...], expected: str, sure: float) -> Column:
+        return F.transform(matches("text", label_pattern(names)), lambda m: F.struct(m["start"].alias("label_start"), m["end"].alias("label_end"), F.lit(expected).alias("expected"), F.lit(sure).alias("sure"), F.lit(rank).alias("rank")))
 
-    found = F.concat(*[labelled(*x) for x in labels])
+    found = F.concat(*[labelled(i, *x) for i, x in enumerate(labels)])
     rows = docs.select("doc_id", "text", F.explode(found).alias("f")).select("doc_id", "text", "f.*")
     tail = F.substr(F.col("text"), F.col("label_end") + 1)
-    lead = F.length(F.regexp_extract(tail, r"^([ \t]*\n?[ \t]*)", 1))
+    lead = F.length(F.regexp_extract(tail, r"^([ \t\x0B\f\r]*\n?[ \t]*)", 1))
     rest = F.substr(tail, lead + 1)
-    value = F.regexp_extract(rest, r"^([^\n]*)", 1)
-    return rows.select("doc_id", "label_start", (F.col("label_end") + lead).alias("value_start"), (F.col("label_end") + lead + F.length(value)).alias("value_end"), "expected", "sure").where("value_end > value_start")
+    # runs of capitals are taken whole, so that each character is looked at once
+    value = F.substring_index(F.regexp_extract(rest, r"^((?:[^A-Z\n]++|[A-Z][A-Z \t\n\x0B\f\r]*+(?!:))*+)", 1), "\n", 1)
+    value = F.rtrim(value, F.lit(" \t\x0b\f\r"))
+    start = F.col("label_end") + lead
+    return rows.select("doc_id", "label_start", start.alias("value_start"), (start + F.length(value)).alias("value_end"), "expected", "sure", "rank").where("value_end > value_start")
 
 
 def field_boost(spans: DataFrame, contexts: DataFrame) -> DataFrame:
-    """The context over a span that begins last before it decides: its type raises the confidence by 1.15 and the priority to 90,
-    another lowers it by 0.8. A context reaches to the end of its line, or to the next label in it."""
-    c = contexts.select(F.col("doc_id").alias("_d"), "label_start", "value_start", "value_end", "expected")
+    """Of the contexts over a span the first in the list of labels decides: its type raises the confidence by 1.15 and the priority to 90,
+    another lowers it by 0.8."""
+    c = contexts.select(F.col("doc_id").alias("_d"), "value_start", "value_end", "expected", "rank")
     key = ["doc_id", "start", "end", "type", "pattern"]
-    met = spans.join(c, (F.col("doc_id") == F.col("_d")) & (F.col("start") < F.col("value_end")) & (F.col("value_start") < F.col("end"))).groupBy(*key).agg(F.max_by("expected", F.struct("label_start", "expected")).alias("expected"))
+    met = spans.join(c, (F.col("doc_id") == F.col("_d")) & (F.col("start") < F.col("value_end")) & (F.col("value_start") < F.col("end"))).groupBy(*key).agg(F.min_by("expected", "rank").alias("expected"))
     joined = spans.join(met, key, "left")
     same = F.col("expected") == F.col("type")
     return joined.withColumn("confidence", F.when(F.col("expected").isNull(), F.col("confidence")).when(same, clamp(F.col("confidence") * 1.15)).otherwise(F.col("confidence") * 0.8)).withColumn("priority", F.when(same, F.greatest("priority", F.lit(90))).otherwise(F.col("priority"))).drop("expected")
@@ -125,11 +173,18 @@ def field_boost(spans: DataFrame, contexts: DataFrame) -> DataFrame:
 
 def clinical_strength(text: Column) -> tuple[Column, Column]:
     """(sum of weights, STRONG / MODERATE / WEAK / NONE)."""
-    counts = [(F.regexp_count(text, F.lit(p.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"))), w) for _, p, w in CLINICAL]
-    total = reduce(lambda a, b: a + b, (n * w for n, w in counts))
-    kinds = reduce(lambda a, b: a + b, ((n > 0).cast("int") for n, _ in counts))
-    name = F.when((total >= 1.5) | ((total >= 0.8) & (kinds >= 2)), "STRONG").when((total >= 0.7) | (kinds >= 2), "MODERATE").when(total > 0, "WEAK").otherwise("NONE")
-    return F.round(total, 6), name
+    from veilframe.functions.match import bound, java
+
+    def count(p: str) -> Column:
+        return F.regexp_count(text, F.lit(java(p).replace("(?im)", "(?imd)")))
+
+    def judged(kinds: Column) -> Column:
+        total, n = F.aggregate(kinds, F.lit(0.0), lambda a, x: a + x), F.size(F.filter(kinds, lambda x: x > 0))
+        name = F.when((total >= 1.5) | ((total >= 0.8) & (n >= 2)), "STRONG").when((total >= 0.7) | (n >= 2), "MODERATE").when(total > 0, "WEAK").otherwise("NONE")
+        return F.struct(F.round(total, 6).alias("weight"), name.alias("strength"))
+
+    out = bound(F.array(*(reduce(lambda a, b: a + b, map(count, patterns)) * F.lit(w) for _, patterns, w in CLINICAL)), judged)
+    return out["weight"], out["strength"]
 
 
 def clinical_boost(spans: DataFrame, docs: DataFrame, reach: int = 150) -> DataFrame:
@@ -161,15 +216,21 @@ def weighted(spans: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def pair_rules(spark, rules=PAIR_RULES) -> DataFrame:
-    return spark.createDataFrame([*rules], "a_type string, b_type string, kind string, strength double")
+    """The rules, with ``hint`` for the place of their pattern among those of ``hints``."""
+    patterns = hints(rules)
+    return spark.createDataFrame([(a, b, k, x, patterns.index(h) if h else None) for a, b, k, x, h in rules], "a_type string, b_type string, kind string, strength double, hint int")
+
 
+def hints(rules=PAIR_RULES) -> list[str]:
+    return [r[4] for r in rules if r[4]]
 
-def nearby_pairs(spans: DataFrame, near: int = NEAR) -> DataFrame:
+
+def nearby_pairs(spans: DataFrame, near: int = NEAR, more: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of spans of one document with at most ``near`` characters between them, the first being the smaller by (start, end, type, pattern).
 
     Documents are cut into cells of ``near`` and a reach is rounded up to whole cells, so a long document's spans meet only those around them.
     """
-    key = ["start", "end", "text", "type", "confidence", "pattern"]
+    key = ["start", "end", "text", "type", "confidence", "pattern", *more]
     a = spans.select("doc_id", *[F.col(k).alias(f"a_{k}") for k in key])
     b = spans.select(F.col("doc_id").alias("_doc"), *[F.col(k).alias(f"b_{k}") for k in key])
     a = a.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("a_start") / near) - 1, F.floor((F.col("a_end") + near) / near))))
@@ -179,24 +240,33 @@ def nearby_pairs(spans: DataFrame, near: int = NEAR) -> DataFrame:
     return a.join(b, (F.col("doc_id") == F.col("_doc")) & (F.col("_cell") == F.col("_cell_b"))).where((order("a") < order("b")) & (gap <= near)).drop("_doc", "_cell", "_cell_b").withColumn("gap", gap)
 
 
-def cross_type(spans: DataFrame) -> DataFrame:
-    """Exclusive neighbours lower the less sure of two spans by strength * .25 (both at a tie), supportive ones raise both by strength * .10;
-    each pair speaks ``PAIR_TIMES``. Equal texts of a document: the most frequent type gains .10, others lose .125. Summed, then clamped."""
-    rules = pair_rules(spans.sparkSession)
-    pairs = nearby_pairs(spans)
-    kinds = rules.select(F.least("a_type", "b_type").alias("_low"), F.greatest("a_type", "b_type").alias("_high"), "kind", "strength")
-    met = pairs.join(F.broadcast(kinds), (F.least("a_type", "b_type") == F.col("_low")) & (F.greatest("a_type", "b_type") == F.col("_high")))
+def cross_type(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """Exclusive neighbours lower the less sure of two spans by strength * .25, supportive ones raise both by strength * .10; each pair speaks
+    ``PAIR_TIMES``, at a tie of exclusive ones once for either side. A rule with a pattern needs it within 100 characters of one of the two.
+    Equal texts of a document, if a type has two of them: the most frequent type (the first of equals) gains .10, others lose .125. Summed,
+    then clamped."""
+    from veilframe.functions.match import java
+
+    joined = with_text(spans, docs)
+    at = F.greatest(F.lit(0), F.col("start") - 100)
+    near = F.concat(F.substr(F.col("body"), at + 1, F.col("start") - at), F.lit(" "), F.substr(F.col("body"), F.col("end") + 1, F.lit(100)))
+    hinted = joined.withColumn("hints", F.array(*(F.regexp_like(near, F.lit(java(h))) for h in hints()))).drop("body")
+    kinds = pair_rules(spans.sparkSession).select(F.least("a_type", "b_type").alias("_low"), F.greatest("a_type", "b_type").alias("_high"), "kind", "strength", "hint")
+    met = nearby_pairs(hinted, more=("hints",)).join(F.broadcast(kinds), (F.least("a_type", "b_type") == F.col("_low")) & (F.greatest("a_type", "b_type") == F.col("_high")))
+    met = met.where(F.col("hint").isNull() | F.get("a_hints", F.col("hint")) | F.get("b_hints", F.col("hint")))
     down = F.lit(-0.25 * PAIR_TIMES) * F.col("strength")
     up = F.lit(0.10 * PAIR_TIMES) * F.col("strength")
-    ex = F.col("kind") == "EXCLUSIVE"
-    da = F.when(ex, F.when(F.col("a_confidence") <= F.col("b_confidence"), down).otherwise(0.0)).otherwise(up)
-    db = F.when(ex, F.when(F.col("b_confidence") <= F.col("a_confidence"), down).otherwise(0.0)).otherwise(up)
+
+    def moves(own: str, other: str) -> Column:
+        lower = F.when(F.col(own) < F.col(other), down).when(F.col(own) == F.col(other), down / PAIR_TIMES).otherwise(0.0)
+        return F.when(F.col("kind") == "EXCLUSIVE", lower).otherwise(up)
+
     side = lambda x, d: met.select("doc_id", F.col(f"{x}_start").alias("start"), F.col(f"{x}_end").alias("end"), F.col(f"{x}_type").alias("type"), F.col(f"{x}_pattern").alias("pattern"), d.alias("delta"))
-    moved = side("a", da).unionByName(side("b", db))
-    same = spans.withColumn("norm", F.lower(F.trim("text")))
-    counts = same.groupBy("doc_id", "norm", "type").agg(F.count(F.lit(1)).alias("n"))
-    most = counts.groupBy("doc_id", "norm").agg(F.max_by("type", F.struct(F.col("n"), F.col("type"))).alias("most"), F.sum("n").alias("all"))
-    consistent = same.join(most.where("all >= 2"), ["doc_id", "norm"]).select("doc_id", "start", "end", "type", "pattern", F.when(F.col("type") == F.col("most"), 0.10).otherwise(-0.125).alias("delta"))
+    moved = side("a", moves("a_confidence", "b_confidence")).unionByName(side("b", moves("b_confidence", "a_confidence")))
+    same = spans.withColumn("norm", F.regexp_replace(F.lower(F.trim("text")), r"\s+", " "))
+    counts = same.groupBy("doc_id", "norm", "type").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"))
+    most = counts.groupBy("doc_id", "norm").agg(F.max_by("type", F.struct(F.col("n"), -F.col("first"), F.col("type"))).alias("most"), F.max("n").alias("n"))
+    consistent = same.join(most.where("n >= 2"), ["doc_id", "norm"]).select("doc_id", "start", "end", "type", "pattern", F.when(F.col("type") == F.col("most"), 0.10).otherwise(-0.125).alias("delta"))
     key = ["doc_id", "start", "end", "type", "pattern"]
     delta = moved.unionByName(consistent).groupBy(*key).agg(F.sum("delta").alias("delta"))
     return spans.join(delta, key, "left").withColumn("confidence", F.round(clamp(F.col("confidence") + F.coalesce("delta", F.lit(0.0))), 6)).drop("delta")

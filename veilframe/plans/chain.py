@@ -26,7 +26,7 @@ def scored(docs: DataFrame, detectors: Iterable[Detector] = DEFAULTS) -> DataFra
     s = score.all_caps_filter(score.whitelist_filter(s), docs)
     s = score.context_modifiers(score.window_tokens(s, docs)).drop("window")
     s = materialized(score.weighted(s, docs), "chain-weighted")
-    return materialized(score.clinical_boost(score.cross_type(s), docs), "chain-scored")
+    return materialized(score.clinical_boost(score.cross_type(s, docs), docs), "chain-scored")
 
 
 def _gathered(spans: DataFrame) -> DataFrame:

@@ -125,20 +125,21 @@ def context_modifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fields_sql() -> str:
     parts = []
-    for p, expected, sure in score.FIELD_LABELS:
-        r = text_of(p)
-        parts.append(f"""SELECT doc_id, text, '{expected}' AS expected, {sure}::DOUBLE AS sure, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::BIGINT AS label_start, length(m[i]) AS n
+    for rank, (names, expected, sure) in enumerate(score.FIELD_LABELS):
+        r = text_of(score.label_pattern(names))
+        parts.append(f"""SELECT doc_id, text, '{expected}' AS expected, {sure}::DOUBLE AS sure, {rank} AS rank, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::BIGINT AS label_start, length(m[i]) AS n
  FROM (SELECT doc_id, text, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, text, regexp_extract_all(text, {r}) AS m, string_split_regex(text, {r}) AS g FROM clin WHERE regexp_matches(text, {r})))""")
-    return f"""fields AS (SELECT doc_id, label_start, label_start + n + lead AS value_start, label_start + n + lead + length(value) AS value_end, expected, sure FROM (
- SELECT *, regexp_extract(substr(tail, lead + 1), '^([^\\n]*)', 1) AS value FROM (SELECT *, length(regexp_extract(tail, '^([ \\t]*\\n?[ \\t]*)', 1)) AS lead FROM (SELECT *, substr(text, label_start + n + 1) AS tail FROM ({' UNION ALL '.join(parts)})))) WHERE length(value) > 0)"""
+    blank = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
+    return f"""fields AS (SELECT doc_id, label_start, label_start + n + lead AS value_start, label_start + n + lead + length(value) AS value_end, expected, sure, rank FROM (
+ SELECT *, rtrim(regexp_extract(substr(tail, lead + 1), '^([^\\n]*?)(?:\\n|[A-Z][A-Z \\t\\n\\x0B\\f\\r]*:|$)', 1), {blank}) AS value FROM (SELECT *, length(regexp_extract(tail, '^([ \\t\\x0B\\f\\r]*\\n?[ \\t]*)', 1)) AS lead FROM (SELECT *, substr(text, label_start + n + 1) AS tail FROM ({' UNION ALL '.join(parts)})))) WHERE length(value) > 0)"""
 
 
 @query(f"WITH {CLIN}, {_fields_sql()} SELECT doc_id, label_start, value_start, value_end, expected, sure FROM fields")
 def field_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.field_contexts(clinical(spark, sf_dir))
+    return score.field_contexts(clinical(spark, sf_dir)).drop("rank")
 
 
-@query(SPANS + f""", {_fields_sql()}, met AS (SELECT s.doc_id, s.start, s."end", s.type, s.pattern, max_by(f.expected, (f.label_start, f.expected)) AS expected FROM spans s JOIN fields f ON s.doc_id = f.doc_id AND s.start < f.value_end AND f.value_start < s."end" GROUP BY ALL)
+@query(SPANS + f""", {_fields_sql()}, met AS (SELECT s.doc_id, s.start, s."end", s.type, s.pattern, min_by(f.expected, f.rank) AS expected FROM spans s JOIN fields f ON s.doc_id = f.doc_id AND s.start < f.value_end AND f.value_start < s."end" GROUP BY ALL)
 SELECT s.doc_id, s.start, s."end", s.type, s.pattern, round(CASE WHEN m.expected IS NULL THEN confidence WHEN m.expected = s.type THEN least(1.0, confidence * 1.15::DOUBLE) ELSE confidence * 0.8::DOUBLE END, 6) AS confidence, (CASE WHEN m.expected = s.type THEN greatest(priority, 90) ELSE priority END)::INTEGER AS priority
 FROM spans s LEFT JOIN met m ON s.doc_id = m.doc_id AND s.start = m.start AND s."end" = m."end" AND s.type = m.type AND s.pattern = m.pattern""")
 def field_context_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +148,7 @@ def field_context_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _strength_sql(text: str) -> tuple[str, str]:
-    counts = [(f"len(regexp_extract_all({text}, {text_of(p)}))", w) for _, p, w in score.CLINICAL]
+    counts = [("(" + " + ".join(f"len(regexp_extract_all({text}, {text_of(p)}))" for p in patterns) + ")", w) for _, patterns, w in score.CLINICAL]
     total = "(" + " + ".join(f"{n} * {w}::DOUBLE" for n, w in counts) + ")"
     kinds = "(" + " + ".join(f"({n} > 0)::INT" for n, _ in counts) + ")"
     return total, f"CASE WHEN {total} >= 1.5 OR ({total} >= 0.8 AND {kinds} >= 2) THEN 'STRONG' WHEN {total} >= 0.7 OR {kinds} >= 2 THEN 'MODERATE' WHEN {total} > 0 THEN 'WEAK' ELSE 'NONE' END"
@@ -185,18 +186,23 @@ def weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.weighted(s, docs).select("doc_id", "start", "end", "type", "pattern", F.round("confidence", 6).alias("confidence"))
 
 
-_RULES = "rules(a_type, b_type, kind, strength) AS (VALUES " + ", ".join(f"('{min(a, b)}', '{max(a, b)}', '{k}', {s}::DOUBLE)" for a, b, k, s in score.PAIR_RULES) + ")"
+_RULES = "rules(a_type, b_type, kind, strength, hint) AS (VALUES " + ", ".join(f"('{min(a, b)}', '{max(a, b)}', '{k}', {x}::DOUBLE, {score.hints().index(h) + 1 if h else 'NULL::INT'})" for a, b, k, x, h in score.PAIR_RULES) + ")"
+_HINTED = f"""hinted AS (SELECT *, [{", ".join(f"regexp_matches(near, {text_of(h)})" for h in score.hints())}] AS hints
+ FROM (SELECT *, concat(substr(body, greatest(0, start - 100) + 1, start - greatest(0, start - 100)), ' ', substr(body, "end" + 1, 100)) AS near FROM ({_BODY})))"""
+_HINTED_PAIRS = _PAIRS.replace("FROM spans a JOIN spans b", "FROM hinted a JOIN hinted b").replace("SELECT a.doc_id", "SELECT a.hints AS a_hints, b.hints AS b_hints, a.doc_id")
+_DOWN = "CASE WHEN kind = 'SUPPORTIVE' THEN 0.2 * strength WHEN {0} < {1} THEN -0.5 * strength WHEN {0} = {1} THEN -0.25 * strength ELSE 0 END"
 
 
-@query(SPANS + f""", {_PAIRS}, {_RULES}, met AS (SELECT p.*, r.kind, r.strength FROM pairs p JOIN rules r ON least(p.a_type, p.b_type) = r.a_type AND greatest(p.a_type, p.b_type) = r.b_type),
-moved AS (SELECT doc_id, a_start AS start, a_end AS "end", a_type AS type, a_pattern AS pattern, CASE WHEN kind = 'EXCLUSIVE' THEN CASE WHEN a_confidence <= b_confidence THEN -0.5 * strength ELSE 0 END ELSE 0.2 * strength END AS delta FROM met
- UNION ALL SELECT doc_id, b_start, b_end, b_type, b_pattern, CASE WHEN kind = 'EXCLUSIVE' THEN CASE WHEN b_confidence <= a_confidence THEN -0.5 * strength ELSE 0 END ELSE 0.2 * strength END FROM met),
-counts AS (SELECT doc_id, lower(trim(text)) AS norm, type, count(*) AS n FROM spans GROUP BY ALL), most AS (SELECT doc_id, norm, max_by(type, (n, type)) AS most FROM counts GROUP BY ALL HAVING sum(n) >= 2),
-allof AS (SELECT * FROM moved UNION ALL SELECT s.doc_id, s.start, s."end", s.type, s.pattern, CASE WHEN s.type = m.most THEN 0.10 ELSE -0.125 END FROM spans s JOIN most m ON s.doc_id = m.doc_id AND lower(trim(s.text)) = m.norm),
+@query(SPANS + f""", {_HINTED}, {_HINTED_PAIRS}, {_RULES}, met AS (SELECT p.*, r.kind, r.strength FROM pairs p JOIN rules r ON least(p.a_type, p.b_type) = r.a_type AND greatest(p.a_type, p.b_type) = r.b_type WHERE r.hint IS NULL OR p.a_hints[r.hint] OR p.b_hints[r.hint]),
+moved AS (SELECT doc_id, a_start AS start, a_end AS "end", a_type AS type, a_pattern AS pattern, {_DOWN.format('a_confidence', 'b_confidence')} AS delta FROM met UNION ALL SELECT doc_id, b_start, b_end, b_type, b_pattern, {_DOWN.format('b_confidence', 'a_confidence')} FROM met),
+normed AS (SELECT *, regexp_replace(lower(trim(text)), '\\s+', ' ', 'g') AS norm FROM spans),
+counts AS (SELECT doc_id, norm, type, count(*) AS n, min(start) AS first FROM normed GROUP BY ALL), most AS (SELECT doc_id, norm, max_by(type, (n, -first, type)) AS most FROM counts GROUP BY ALL HAVING max(n) >= 2),
+allof AS (SELECT * FROM moved UNION ALL SELECT s.doc_id, s.start, s."end", s.type, s.pattern, CASE WHEN s.type = m.most THEN 0.10 ELSE -0.125 END FROM normed s JOIN most m USING (doc_id, norm)),
 total AS (SELECT doc_id, start, "end", type, pattern, sum(delta) AS delta FROM allof GROUP BY ALL)
 SELECT s.doc_id, s.start, s."end", s.type, s.pattern, round(greatest(0.0, least(1.0, s.confidence + coalesce(t.delta, 0))), 6)::DOUBLE AS confidence FROM spans s LEFT JOIN total t ON s.doc_id = t.doc_id AND s.start = t.start AND s."end" = t."end" AND s.type = t.type AND s.pattern = t.pattern""")
 def cross_type_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.cross_type(core(spark, sf_dir)[1]).select("doc_id", "start", "end", "type", "pattern", "confidence")
+    docs, s = core(spark, sf_dir)
+    return score.cross_type(s, docs).select("doc_id", "start", "end", "type", "pattern", "confidence")
 
 
 @query(SPANS + """, g AS (SELECT doc_id, start, "end", max_by(type, (confidence, priority, type, pattern)) AS best, max(confidence) AS confidence, list_sort(list_distinct(list(type))) AS types FROM spans GROUP BY doc_id, start, "end")
