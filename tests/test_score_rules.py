@@ -1,4 +1,9 @@
-from veilframe.operators import score
+import math
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from veilframe.operators import measure, score
 
 SPANS = "doc_id long, start long, end long, text string, type string, confidence double, priority int, pattern string"
 
@@ -42,5 +47,31 @@ def test_fields_end_at_the_next_label(spark):
 
 def test_clinical_strength(spark):
     rows = [("nothing", 0.0, "NONE"), ("a boy", 0.6, "WEAK"), ("the hospital", 0.9, "MODERATE"), ("a boy in the ICU", 1.5, "STRONG"), ("Family History:\nb", 0.5, "WEAK"), ("MRN# 5", 1.0, "MODERATE"), ("", 0.0, "NONE")]
-    w, s = score.clinical_strength(spark.createDataFrame(rows, "t string, w double, s string").t)
-    assert all((r.w, r.s) == (r.got_w, r.got_s) for r in spark.createDataFrame(rows, "t string, w double, s string").select("t", "w", "s", w.alias("got_w"), s.alias("got_s")).collect())
+    w, s = score.clinical_strength(F.col("t"))
+    got = spark.createDataFrame(rows, "t string, w double, s string").select("t", w.alias("w"), s.alias("s")).collect()
+    assert [tuple(r) for r in got] == rows
+
+
+def test_titles_and_short_names(spark):
+    text = "seen by Mr. Lee, then " + "x " * 40 + "Poe" + " y" * 40
+    got = {r.text: round(r.confidence, 6) for r in score.context_modifiers(score.window_tokens(*spans_of(spark, text, ("Lee", "NAME", 0.5), ("Poe", "NAME", 0.5)))).collect()}
+    assert got == {"Lee": 0.7, "Poe": 0.5}
+    assert score.context_modifiers(score.window_tokens(*spans_of(spark, "Poe", ("Poe", "NAME", 0.5)))).first().confidence == 0.35
+
+
+def test_calibrators(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.uniform(0, 1, 400), 2)
+    y = (rng.uniform(0, 1, 400) < x**2).astype(int)
+    df = spark.createDataFrame([*zip(x.tolist(), y.tolist()), (None, 1), (0.5, None)], "confidence double, label int")
+    a = b = 0.0
+    for _ in range(100):
+        e = [1 / (1 + math.exp(-(a * p + b))) - t for p, t in zip(x, y)]
+        a, b = a - 0.01 * sum(i * p for i, p in zip(e, x)) / 400, b - 0.01 * sum(e) / 400
+    r = measure.platt(df).first()
+    assert (r.n, r.a, r.b) == (400, round(a, 6), round(b, 6))
+    got = df.limit(1).select(measure.calibrated(F.lit(0.5), "platt", a=a, b=b).alias("p"), measure.calibrated(F.lit(0.8), "temperature", temperature=1.0).alias("t"), measure.calibrated(F.lit(0.5), "beta", a=1.0, b=2.0, c=0.1).alias("b")).first()
+    assert all(abs(p - q) < 1e-9 for p, q in zip(got, (1 / (1 + math.exp(-(a / 2 + b))), 0.8, 0.35)))
+    few = df.limit(19)
+    assert measure.platt(few).count() == measure.beta(few).count() == measure.temperature(few).count() == 0
+    assert measure.temperature(df).count() == 1 and measure.beta(df).first().b > 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,6 +118,78 @@ def isotonic_model(points: DataFrame):
     return IsotonicRegression(weightCol="weight").fit(VectorAssembler(inputCols=["confidence"], outputCol="features").transform(rows))
 
 
+def isotonic(points: DataFrame) -> DataFrame:
+    """(confidence, calibrated) at each confidence seen."""
+    from pyspark.ml.feature import VectorAssembler
+
+    seen = VectorAssembler(inputCols=["confidence"], outputCol="features").transform(points.select("confidence").distinct())
+    return isotonic_model(points).transform(seen).select("confidence", F.round("prediction", 6).alias("calibrated"))
+
+
+#: A calibrator is fitted from so many points on.
+LEAST_POINTS = 20
+
+
+def _counted(points: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Confidences to six digits, their positives and their points. Points are counted by Spark, so what reaches the driver has at most
+    1,000,001 rows whatever the input; confidences outside 0 to 1 are moved to its ends, null ones take no part."""
+    c = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))), 6)
+    rows = points.where("confidence is not null and label is not null and not isnan(confidence)").groupBy(c.alias("x")).agg(F.sum((F.col("label") == 1).cast("double")).alias("pos"), F.count(F.lit(1)).cast("double").alias("n")).orderBy("x").collect()
+    return tuple(np.array([r[k] for r in rows], float) for k in ("x", "pos", "n"))
+
+
+def _fitted(points: DataFrame, names: tuple[str, ...], values: tuple[float, ...] | None, n: float) -> DataFrame:
+    rows = [(int(n), *(round(float(v), 6) for v in values))] if n >= LEAST_POINTS else []
+    return points.sparkSession.createDataFrame(rows, "n long, " + ", ".join(f"{x} double" for x in names))
+
+
+def platt(points: DataFrame, rounds: int = 100, rate: float = 0.01) -> DataFrame:
+    """One row (n, a, b) of sigmoid(a * confidence + b) by gradient descent from zero; none for fewer than ``LEAST_POINTS``."""
+    x, pos, n = _counted(points)
+    a = b = 0.0
+    for _ in range(rounds if n.sum() >= LEAST_POINTS else 0):
+        e = n / (1 + np.exp(-(a * x + b))) - pos
+        a, b = a - rate * (e * x).sum() / n.sum(), b - rate * e.sum() / n.sum()
+    return _fitted(points, ("a", "b"), (a, b), n.sum())
+
+
+def beta(points: DataFrame, rounds: int = 100, rate: float = 0.01) -> DataFrame:
+    """One row (n, a, b, c) of a * confidence ** b + c by gradient descent on squared error; a and b stay in .1 to 10, c within .5 of 0."""
+    x, pos, n = _counted(points)
+    x = np.clip(x, 0.001, 0.999)
+    a, b, c = 1.0, 1.0, 0.0
+    for _ in range(rounds if n.sum() >= LEAST_POINTS else 0):
+        power = x**b
+        e = n * np.clip(a * power + c, 0.001, 0.999) - pos
+        step = rate * np.array([(e * power).sum(), (e * a * power * np.log(x)).sum(), e.sum()]) / n.sum()
+        a, b, c = np.clip([a - step[0], b - step[1], c - step[2]], [0.1, 0.1, -0.5], [10, 10, 0.5])
+    return _fitted(points, ("a", "b", "c"), (a, b, c), n.sum())
+
+
+def temperature(points: DataFrame) -> DataFrame:
+    """One row (n, temperature): of .1 to 5 by .1 the one of least log loss, the smallest at a tie; it divides the log-odds."""
+    x, pos, n = _counted(points)
+    odds = np.log(np.clip(x, 0.001, 0.999) / (1 - np.clip(x, 0.001, 0.999)))
+    t = np.arange(1, 51) / 10
+    p = np.clip(1 / (1 + np.exp(-odds[None] / t[:, None])), 0.001, 0.999)
+    loss = np.round((-pos * np.log(p) - (n - pos) * np.log(1 - p)).sum(1), 9)
+    return _fitted(points, ("temperature",), (t[loss.argmin()],), n.sum())
+
+
+def calibrated(confidence: Column, method: str, **fit: float) -> Column:
+    """A confidence by a fitted calibrator: platt (a, b), beta (a, b, c) or temperature (temperature)."""
+    s = F.greatest(F.lit(0.001), F.least(F.lit(0.999), confidence))
+    if method == "platt":
+        out = 1 / (1 + F.exp(-(fit["a"] * confidence + fit["b"])))
+    elif method == "beta":
+        out = fit["a"] * F.pow(s, F.lit(fit["b"])) + fit["c"]
+    elif method == "temperature":
+        out = 1 / (1 + F.exp(-F.ln(s / (1 - s)) / fit["temperature"]))
+    else:
+        raise ValueError(f"unknown calibrator {method!r}")
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), out))
+
+
 # ---- drift -----------------------------------------------------------------------------------------------------------
 
 def windows(events: DataFrame, width: str = "1 hour") -> DataFrame:

@@ -102,7 +102,8 @@ def same_text_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BODY = 'SELECT s.*, c.text AS body FROM spans s JOIN clin c USING (doc_id)'
 _WINDOW = f"""win AS (SELECT doc_id, start, "end", text, type, confidence, pattern,
- list_transform(list_concat(list_reverse(list_reverse(regexp_extract_all(substr(body, 1, start), '\\w+'))[1:5]), regexp_extract_all(substr(body, "end" + 1), '\\w+')[1:5]), lambda x: lower(x)) AS w FROM ({_BODY}))"""
+ list_transform(list_concat(list_reverse(list_reverse(regexp_extract_all(substr(body, 1, start), '\\w+'))[1:5]), regexp_extract_all(substr(body, "end" + 1), '\\w+')[1:5]), lambda x: lower(x)) AS w,
+ regexp_matches(substr(body, greatest(0, start - 50) + 1, start - greatest(0, start - 50)), {text_of(score.TITLE)}) AS titled, regexp_matches(substr(body, greatest(0, start - 50) + 1, "end" + 50 - greatest(0, start - 50)), {text_of(score.ALONE)}) AS alone FROM ({_BODY}))"""
 
 
 @query(SPANS + f""", {_WINDOW} SELECT doc_id, start, "end", type, pattern, array_to_string(w, ' ') AS "window" FROM win""")
@@ -112,9 +113,10 @@ def span_window_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _modifier_sql() -> str:
-    whens = " ".join(f"WHEN type = '{t}' AND list_has_any(w, [{', '.join(text_of(x) for x in f)}]) AND confidence < 0.98 THEN least(1.0, confidence * {m}::DOUBLE)" for t, f, m in score.CONTEXT_RULES)
-    c = f"(CASE {whens} ELSE confidence END)"
-    return f"round(CASE WHEN type = 'NAME' AND length(text) < 4 THEN {c} * 0.7::DOUBLE ELSE {c} END, 6)"
+    t = f"(CASE WHEN type = 'NAME' AND titled AND confidence < 0.98 THEN least(1.0, confidence * {score.TITLE_FACTOR}::DOUBLE) ELSE confidence END)"
+    whens = " ".join(f"WHEN type = '{k}' AND list_has_any(w, [{', '.join(text_of(x) for x in f)}]) AND {t} < 0.98 THEN least(1.0, {t} * {m}::DOUBLE)" for k, f, m in score.CONTEXT_RULES)
+    c = f"(CASE {whens} ELSE {t} END)"
+    return f"round(CASE WHEN type = 'NAME' AND alone AND {c} > 0.02 THEN {c} * {score.ALONE_FACTOR}::DOUBLE ELSE {c} END, 6)"
 
 
 @query(SPANS + f', {_WINDOW} SELECT doc_id, start, "end", type, pattern, {_modifier_sql()} AS confidence FROM win')
@@ -585,6 +587,38 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.roc_auc(points(spark, sf_dir))
 
 
+_COUNTED = f"g AS (SELECT round(confidence, 6)::DOUBLE AS x, count(*) FILTER (label = 1) AS pos, count(*)::DOUBLE AS n FROM ({_POINTS}) GROUP BY 1), whole AS (SELECT sum(n) AS whole FROM g)"
+
+
+@query(f"""WITH RECURSIVE {_COUNTED}, fit(i, a, b) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+ SELECT i + 1, a - 0.01 * sum((n / (1 + exp(-(a * x + b))) - pos) * x) / any_value(whole), b - 0.01 * sum(n / (1 + exp(-(a * x + b))) - pos) / any_value(whole) FROM fit, g, whole WHERE i < 100 GROUP BY i, a, b)
+SELECT whole::BIGINT AS n, round(a, 6) AS a, round(b, 6) AS b FROM fit, whole WHERE i = 100 AND whole >= 20""")
+def calibration_platt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.platt(points(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_COUNTED}, h AS (SELECT greatest(0.001, least(0.999, x)) AS x, pos, n FROM g), fit(i, a, b, c) AS (SELECT 0, 1.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE UNION ALL
+ SELECT i + 1, greatest(0.1, least(10.0, a - 0.01 * sum(e * x ** b) / any_value(whole))), greatest(0.1, least(10.0, b - 0.01 * sum(e * a * x ** b * ln(x)) / any_value(whole))), greatest(-0.5, least(0.5, c - 0.01 * sum(e) / any_value(whole)))
+ FROM (SELECT *, n * greatest(0.001, least(0.999, a * x ** b + c)) - pos AS e FROM fit, h, whole WHERE i < 100) GROUP BY i, a, b, c)
+SELECT whole::BIGINT AS n, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c FROM fit, whole WHERE i = 100 AND whole >= 20""")
+def calibration_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.beta(points(spark, sf_dir))
+
+
+@query(f"""WITH {_COUNTED}, l AS (SELECT ln(greatest(0.001, least(0.999, x)) / (1 - greatest(0.001, least(0.999, x)))) AS l, pos, n FROM g), t AS (SELECT (k / 10.0)::DOUBLE AS t FROM range(1, 51) r(k)),
+p AS (SELECT t, greatest(0.001, least(0.999, 1 / (1 + exp(-l / t)))) AS p, pos, n FROM l, t), loss AS (SELECT t, round(sum(-pos * ln(p) - (n - pos) * ln(1 - p)), 9) AS loss FROM p GROUP BY t)
+SELECT whole::BIGINT AS n, t AS temperature FROM loss, whole WHERE whole >= 20 ORDER BY loss, t LIMIT 1""")
+def calibration_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.temperature(points(spark, sf_dir))
+
+
+@query(f"""WITH {_COUNTED}, r AS (SELECT x, row_number() OVER (ORDER BY x) AS k, sum(pos) OVER (ORDER BY x) AS p, sum(n) OVER (ORDER BY x) AS s, pos, n FROM g),
+m AS (SELECT i.k AS i, j.k AS j, (j.p - i.p + i.pos) / (j.s - i.s + i.n) AS mean FROM r i JOIN r j ON i.k <= j.k), least_of AS (SELECT k.k, m.i, min(m.mean) AS low FROM r k JOIN m ON m.i <= k.k AND k.k <= m.j GROUP BY ALL)
+SELECT r.x AS confidence, round(max(low), 6) AS calibrated FROM least_of JOIN r USING (k) GROUP BY r.x""")
+def calibration_isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.isotonic(points(spark, sf_dir).select(F.round("confidence", 6).alias("confidence"), "label"))
+
+
 @query("""WITH g AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS b, count(*) FILTER (quality = 0 AND toxic = 1) AS c FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL) SELECT b, c, CASE WHEN b + c > 0 THEN round((abs(b - c) - 1) ** 2 / (b + c), 6) ELSE 0.0 END AS chi2 FROM g""")
 def eval_mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.mcnemar(table(spark, sf_dir, "labels", "quality", "toxic").where("quality is not null and toxic is not null").select((F.col("quality") == 1).alias("a_right"), (F.col("toxic") == 1).alias("b_right")))
