@@ -3,7 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from veilframe.operators import measure, score
+from veilframe.operators import measure, postfilter, score
 
 SPANS = "doc_id long, start long, end long, text string, type string, confidence double, priority int, pattern string"
 
@@ -75,3 +75,17 @@ def test_calibrators(spark):
     few = df.limit(19)
     assert measure.platt(few).count() == measure.beta(few).count() == measure.temperature(few).count() == 0
     assert measure.temperature(df).count() == 1 and measure.beta(df).first().b > 1
+
+
+def test_what_else_a_span_may_be(spark):
+    text = "90 mg daily of Xanor, a drug. " + "z " * 60 + "signed by Lee"
+    got = {(r.text, r.alternative): (r.winner, r.sure) for r in score.disambiguated(*spans_of(spark, text, ("Xanor", "NAME", 0.5), ("Lee", "NAME", 0.5), ("90", "DATE", 0.5))).collect()}
+    assert got[("Xanor", "MEDICATION")] == ("MEDICATION", 0.95) and got[("Xanor", "DIAGNOSIS")] == ("NAME", 0.5)
+    assert got[("Lee", "MEDICATION")] == got[("Lee", "DIAGNOSIS")] == ("NAME", 0.8)
+    assert got[("90", "MEASUREMENT")] == ("MEASUREMENT", 0.9) and got[("90", "AGE")] == ("DATE", 0.5)
+
+
+def test_post_filter_rules(spark):
+    names = {"Ann Lee\nDOB": "line_break", "Ann Lee\r\nRoom: 5": "line_break", "Ann Lee\nMiller": None, "Jones Clinic": "medical_suffix", "Jones clinic": None, "MEDICAL RECORD": "heading", "Ann Lee\nsome more words than that: b": None}
+    df = spark.createDataFrame([(k, "NAME", 0.9) for k in names], "text string, type string, confidence double")
+    assert {r.text: r.why for r in df.select("text", postfilter.removed_by(F.lit(0.5)).alias("why")).collect()} == names

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.functions.match import java
 from veilframe.operators.score import GEOGRAPHIC, MEDICAL, STRUCTURE
 
 # Factors of the minimum confidence, all clamped to [.3, .99] after multiplication.
@@ -27,7 +28,14 @@ INVALID_SUFFIXES = (
     " use", " boulder", " boston", " denver", " colorado", " name", " illness", " complaint", " appearance", " notice", " rights", " responsibilities", " treatment", " directive", " rhinitis", " medications", " count", " panel",
     " mellitus", " lisinopril", " aspirin", " atorvastatin", " metoprolol", " metformin", " information", " identifiers", " characteristics", "-up", " hipaa",
 )
-FACILITY_SUFFIXES = (" hospital", " clinic", " center", " syndrome", " disease", " department")
+# How what is no name ends, as written.
+MEDICAL_SUFFIXES = (
+    "Disorder", "Mellitus", "Disease", "Syndrome", "Infection", "Condition", "Health", "Hospital", "Clinic", "Center", "Partners", "Group", "Medical", "Medicine", "System", "Systems", "Pressure", "Rate", "Signs", "Phone", "Address",
+    "Email", "Portal", "History", "Examination", "Studies", "Management", "Planning",
+)
+# Labels that a name over a line break may have caught.
+BREAK_LABEL = r"(?i)^(?:dx|dob|mrn|age|phone|fax|email|address|street|zip|zipcode|npi|dea|ssn|patient|provider)\b"
+HEADINGS = ("medical record", "discharge summary", "progress note")
 FIELD_LABELS = ("date of birth", "phone number", "medical record", "member id", "account number")
 
 
@@ -74,18 +82,20 @@ def removed_by(threshold: Column, text: Column | None = None) -> Column:
     words = F.split(low, "[^a-z]+")
     among = lambda xs: F.arrays_overlap(words, F.array(*map(F.lit, xs)))
     starts = lambda xs: F.greatest(*[t.startswith(x) for x in xs])
-    ends = lambda xs: F.greatest(*[low.endswith(x) for x in xs])
+    ends = lambda c, xs: F.greatest(*[c.endswith(x) for x in xs])
+    after = F.trim(F.regexp_replace(F.regexp_extract(t, r"(?s)\A.*?\r?\n(.*)\z", 1), r"\r?\n", " "), F.lit(" \t\f"))
+    label = F.regexp_like(after, F.lit(java(BREAK_LABEL))) | (F.length(after) <= 24) & F.contains(after, F.lit(":"))
     return (
         F.when(F.col("confidence") < threshold, "threshold")
         .when(F.col("type").isin("DEVICE", "PHONE") & F.regexp_like(low, F.lit("call button|room:|bed:")), "device_phone")
-        .when(name & F.upper(t).isin("MEDICAL RECORD", "DISCHARGE SUMMARY", "PROGRESS NOTE"), "heading")
+        .when(name & F.regexp_like(t, F.lit(r"^[A-Z\s]+\z")) & F.trim(low).isin(*HEADINGS), "heading")
         .when(name & among(STRUCTURE), "structure")
         .when(name & (F.length(t) < 5) & ~F.contains(t, F.lit(",")) & (F.col("confidence") < 0.9), "short")
         .when(name & starts(INVALID_PREFIXES), "prefix")
-        .when(name & ends(INVALID_SUFFIXES), "suffix")
-        .when(name & F.regexp_like(t, F.lit(r"\n[A-Z][A-Za-z ]*:")), "line_break")
+        .when(name & ends(low, INVALID_SUFFIXES), "suffix")
+        .when(name & label, "line_break")
         .when(name & low.isin(*MEDICAL), "medical")
-        .when(name & ends(FACILITY_SUFFIXES), "facility")
+        .when(name & ends(t, MEDICAL_SUFFIXES), "medical_suffix")
         .when(name & among(GEOGRAPHIC), "geographic")
         .when(name & low.isin(*FIELD_LABELS), "label")
     )

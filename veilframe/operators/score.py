@@ -81,6 +81,18 @@ CLINICAL = (
         r"(?im)^(?:Patient|Subject|Client)\s*(?:Information|Demographics)?[:\s]*$", r"(?im)^(?:Emergency\s+)?Contact[:\s]*$",
         r"(?im)^(?:Family|Social)\s+History[:\s]*$"), 0.5),
 )
+# What speaks for a type in the text around, each pattern once; and the types that another may be, with the weight of a pattern.
+INDICATORS = {
+    "DATE": (r"(?i)\b(born|dob|date of birth|admission|discharge|visit|appointment)\b", r"(?i)\b(on|dated|as of|effective|expires?)\b",
+             r"(?i)\b(january|february|march|april|may|june|july|august|september|october|november|december)\b"),
+    "AGE": (r"(?i)\b(year[- ]?old|yo|y\.?o\.?|aged?)\b", r"(?i)\b(patient is|she is|he is|who is)\s+\d"),
+    "MEASUREMENT": (r"(?i)\b(mg|ml|mcg|units?|mmol|mmhg|bpm)\b", r"(?i)\b(level|value|result|reading|score)\b", r"(?i)\d+\s*[\/x×]\s*\d+"),
+    "NAME": (r"(?i)\b(patient|mr\.?|mrs\.?|ms\.?|dr\.?|name|signed|by)\b", r"(?i)\b(contact|guardian|spouse|mother|father|son|daughter)\b"),
+    "MEDICATION": (r"(?i)\b(mg|mcg|tablet|capsule|prescribed|taking|dose|daily|prn)\b", r"(?i)\b(medication|drug|rx|prescription)\b"),
+    "DIAGNOSIS": (r"(?i)\b(diagnosis|diagnosed|condition|disease|syndrome|disorder)\b", r"(?i)\b(icd|code|assessment)\b"),
+}
+OWN_WEIGHT = 0.3
+ALTERNATIVES = (("DATE", "AGE", 0.4), ("DATE", "MEASUREMENT", 0.4), ("NAME", "MEDICATION", 0.35), ("NAME", "DIAGNOSIS", 0.35))
 INDEPENDENT = ("SSN", "MRN", "EMAIL", "PHONE", "FAX", "CREDIT_CARD", "ACCOUNT", "IP", "URL", "PASSPORT")
 # Cross-type rules (first type, second type, kind, strength, what must stand near one of the two or None).
 PAIR_RULES = (
@@ -292,6 +304,24 @@ def same_place(spans: DataFrame) -> DataFrame:
     return g.select("doc_id", "start", "end", "s.*", F.filter("types", lambda t: t != F.col("s.type")).alias("ambiguous_with"))
 
 
+def disambiguated(spans: DataFrame, docs: DataFrame, reach: int = 100) -> DataFrame:
+    """For each span and each other type it may be (``ALTERNATIVES``): the winner by the indicators within ``reach``, and how surely: .5 and the
+    winner's weights, .95 at most; at a tie the span's own type with .5. Spans of types without alternatives have no row."""
+    from veilframe.functions.match import java
+
+    found = {t: reduce(lambda a, b: a + b, (F.regexp_like(F.col("_near"), F.lit(java(p))).cast("int") for p in INDICATORS[t])) for t in INDICATORS}
+    near = with_text(spans, docs).withColumn("_near", around(reach)).drop("body").where(F.col("type").isin(*{a for a, *_ in ALTERNATIVES}))
+    near = near.select("*", *(n.alias(f"_{t}") for t, n in found.items())).drop("_near")
+
+    def judged(own: str, other: str, weight: float) -> Column:
+        a, b = F.col(f"_{own}") * F.lit(OWN_WEIGHT), F.col(f"_{other}") * F.lit(weight)
+        sure = F.round(F.when(a == b, 0.5).otherwise(F.least(F.lit(0.95), 0.5 + F.greatest(a, b))), 6)
+        return F.when(F.col("type") == own, F.struct(F.lit(other).alias("alternative"), F.when(b > a, other).otherwise(own).alias("winner"), sure.alias("sure")))
+
+    votes = F.filter(F.array(*(judged(*x) for x in ALTERNATIVES)), lambda v: v.isNotNull())
+    return near.withColumn("_vote", F.explode(votes)).select(*spans.columns, "_vote.*")
+
+
 def whitelist_filter(spans: DataFrame) -> DataFrame:
     """Drops spans of open types that are, or hold, a known medical or structural word; labelled names of .95 and closed types stay."""
     closed = F.col("type").isin(*HIGH_PRECISION, "FAX", "DATE", "ACCOUNT", "LICENSE", "PASSPORT", "HEALTH_PLAN", "ZIPCODE")

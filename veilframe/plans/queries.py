@@ -213,6 +213,19 @@ def same_place_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.same_place(core(spark, sf_dir)[1]).select("doc_id", "start", "end", "type", "confidence", F.concat_ws(",", "ambiguous_with").alias("ambiguous_with"))
 
 
+def _votes_sql() -> str:
+    found = {t: "(" + " + ".join(f"regexp_matches(near, {text_of(p)})::INT" for p in ps) + ")" for t, ps in score.INDICATORS.items()}
+    rows = (f"SELECT *, '{own}' AS own, '{other}' AS alternative, {found[own]} * {score.OWN_WEIGHT}::DOUBLE AS a, {found[other]} * {weight}::DOUBLE AS b FROM about WHERE type = '{own}'" for own, other, weight in score.ALTERNATIVES)
+    return " UNION ALL ".join(rows)
+
+
+@query(SPANS + f""", about AS (SELECT *, {_NEAR.format(n=100)} AS near FROM ({_BODY})), votes AS ({_votes_sql()})
+SELECT doc_id, start, "end", type, pattern, alternative, CASE WHEN b > a THEN alternative ELSE own END AS winner, round(CASE WHEN a = b THEN 0.5 ELSE least(0.95::DOUBLE, 0.5 + greatest(a, b)) END, 6)::DOUBLE AS sure FROM votes""")
+def type_disambiguation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, s = core(spark, sf_dir)
+    return score.disambiguated(s, docs).select("doc_id", "start", "end", "type", "pattern", "alternative", "winner", "sure")
+
+
 _CLOSED = (*score.HIGH_PRECISION, "FAX", "DATE", "ACCOUNT", "LICENSE", "PASSPORT", "HEALTH_PLAN", "ZIPCODE")
 
 
@@ -279,10 +292,11 @@ def _ends(xs: tuple) -> str:
     return "(" + " OR ".join(f"ends_with(lower(text), {text_of(x)})" for x in xs) + ")"
 
 
+_AFTER = "trim(regexp_replace(regexp_extract(text, '(?s)\\A.*?\\r?\\n(.*)\\z', 1), '\\r?\\n', ' ', 'g'), ' ' || chr(9) || chr(12))"
 _REMOVED = f"""CASE WHEN confidence < {_MIN} THEN 'threshold' WHEN type IN ('DEVICE', 'PHONE') AND regexp_matches(lower(text), 'call button|room:|bed:') THEN 'device_phone'
- WHEN type = 'NAME' THEN CASE WHEN upper(text) IN ('MEDICAL RECORD', 'DISCHARGE SUMMARY', 'PROGRESS NOTE') THEN 'heading' WHEN {_any(_W, score.STRUCTURE)} THEN 'structure' WHEN length(text) < 5 AND NOT contains(text, ',') AND confidence < 0.9 THEN 'short'
- WHEN {' OR '.join(f"starts_with(text, '{x}')" for x in postfilter.INVALID_PREFIXES)} THEN 'prefix' WHEN {_ends(postfilter.INVALID_SUFFIXES)} THEN 'suffix' WHEN regexp_matches(text, '\\n[A-Z][A-Za-z ]*:') THEN 'line_break' WHEN lower(text) IN {score.MEDICAL} THEN 'medical'
- WHEN {_ends(postfilter.FACILITY_SUFFIXES)} THEN 'facility' WHEN {_any(_W, score.GEOGRAPHIC)} THEN 'geographic' WHEN lower(text) IN {postfilter.FIELD_LABELS} THEN 'label' END END"""
+ WHEN type = 'NAME' THEN CASE WHEN regexp_matches(text, '^[A-Z\\s]+\\z') AND trim(lower(text)) IN {postfilter.HEADINGS} THEN 'heading' WHEN {_any(_W, score.STRUCTURE)} THEN 'structure' WHEN length(text) < 5 AND NOT contains(text, ',') AND confidence < 0.9 THEN 'short'
+ WHEN {' OR '.join(f"starts_with(text, '{x}')" for x in postfilter.INVALID_PREFIXES)} THEN 'prefix' WHEN {_ends(postfilter.INVALID_SUFFIXES)} THEN 'suffix' WHEN regexp_matches({_AFTER}, {text_of(postfilter.BREAK_LABEL)}) OR (length({_AFTER}) <= 24 AND contains({_AFTER}, ':')) THEN 'line_break' WHEN lower(text) IN {score.MEDICAL} THEN 'medical'
+ WHEN {' OR '.join(f"ends_with(text, '{x}')" for x in postfilter.MEDICAL_SUFFIXES)} THEN 'medical_suffix' WHEN {_any(_W, score.GEOGRAPHIC)} THEN 'geographic' WHEN lower(text) IN {postfilter.FIELD_LABELS} THEN 'label' END END"""
 
 
 @query(SPANS + f', {_DOCS} SELECT doc_id, start, "end", type, pattern, {_REMOVED} AS removed_by FROM spans JOIN d USING (doc_id)')
