@@ -89,3 +89,9 @@ def test_post_filter_rules(spark):
     names = {"Ann Lee\nDOB": "line_break", "Ann Lee\r\nRoom: 5": "line_break", "Ann Lee\nMiller": None, "Jones Clinic": "medical_suffix", "Jones clinic": None, "MEDICAL RECORD": "heading", "Ann Lee\nsome more words than that: b": None}
     df = spark.createDataFrame([(k, "NAME", 0.9) for k in names], "text string, type string, confidence double")
     assert {r.text: r.why for r in df.select("text", postfilter.removed_by(F.lit(0.5)).alias("why")).collect()} == names
+
+
+def test_whitelist_knows_persons(spark):
+    found = {"Dr. Hospital": True, "Dr. Recording": False, "Hospital": False, "Ann Lee": True, "surgery 5": False}
+    rows = [(1, 0, 1, t, "NAME", 0.5, 1, "p") for t in found] + [(1, 0, 1, "surgery 6", "DEVICE", 0.5, 1, "p"), (1, 0, 1, "hospital day 5", "DATE", 0.5, 1, "p")]
+    assert {r.text for r in score.whitelist_filter(spark.createDataFrame(rows, SPANS)).collect()} == {t for t, kept in found.items() if kept} | {"surgery 6"}

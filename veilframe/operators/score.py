@@ -109,6 +109,10 @@ PAIR_RULES = (
 NEAR, PAIR_TIMES = 200, 2
 HIGH_PRECISION = ("SSN", "EMAIL", "PHONE", "MRN", "CREDIT_CARD", "IP", "URL")
 HEADINGS = ("MEDICAL RECORD", "PATIENT INFORMATION", "DISCHARGE SUMMARY", "PROGRESS NOTE", "HISTORY", "ASSESSMENT", "PLAN")
+# Types that need no whitelist, and what makes a text a person's.
+CLOSED = ("SSN", "PHONE", "EMAIL", "IP", "URL", "FAX", "MRN", "ACCOUNT", "LICENSE", "CREDIT_CARD", "HEALTH_PLAN", "DEVICE", "BIOMETRIC")
+PERSON_TITLE = r"(?i)^(?:Dr\.?|Mr\.?|Mrs\.?|Ms\.?|Miss|Prof\.?|Rev\.?)\s+"
+PERSON_SUFFIX = r"(?i)\s+(?:Jr\.?|Sr\.?|II|III|IV|V|MD|DO|PhD|RN|NP)\z"
 STRUCTURE = ("record", "section", "summary", "report", "history", "assessment", "plan", "note")
 MEDICAL = ("hypertension", "diabetes", "medication", "surgery", "hospital", "cancer")
 GEOGRAPHIC = ("street", "avenue", "county", "city", "springfield")
@@ -323,11 +327,17 @@ def disambiguated(spans: DataFrame, docs: DataFrame, reach: int = 100) -> DataFr
 
 
 def whitelist_filter(spans: DataFrame) -> DataFrame:
-    """Drops spans of open types that are, or hold, a known medical or structural word; labelled names of .95 and closed types stay."""
-    closed = F.col("type").isin(*HIGH_PRECISION, "FAX", "DATE", "ACCOUNT", "LICENSE", "PASSPORT", "HEALTH_PLAN", "ZIPCODE")
+    """Drops spans of open types that are, or hold, a known medical or structural word. Closed types and labelled names of .95 stay; with a
+    person's title or suffix only a word of structure, also within another, drops a span."""
+    from veilframe.functions.match import java
+
+    t = F.trim("text")
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 2)
     known = F.arrays_overlap(words, F.array(*map(F.lit, STRUCTURE + MEDICAL)))
-    return spans.where(closed | (F.col("pattern").contains("Labeled name field") & (F.col("confidence") >= 0.95)) | ~F.coalesce(known, F.lit(False)))
+    person = F.regexp_like(t, F.lit(java(PERSON_TITLE))) | F.regexp_like(t, F.lit(java(PERSON_SUFFIX)))
+    structure = reduce(lambda a, b: a | b, (F.contains(F.lower(t), F.lit(w)) for w in STRUCTURE))
+    dropped = F.when(person, structure).otherwise(F.coalesce(known, F.lit(False)))
+    return spans.where(F.col("type").isin(*CLOSED) | (F.col("pattern").contains("Labeled name field") & (F.col("confidence") >= 0.95)) | ~dropped)
 
 
 def all_caps_filter(spans: DataFrame, docs: DataFrame) -> DataFrame:

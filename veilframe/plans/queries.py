@@ -226,10 +226,12 @@ def type_disambiguation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.disambiguated(s, docs).select("doc_id", "start", "end", "type", "pattern", "alternative", "winner", "sure")
 
 
-_CLOSED = (*score.HIGH_PRECISION, "FAX", "DATE", "ACCOUNT", "LICENSE", "PASSPORT", "HEALTH_PLAN", "ZIPCODE")
+_PERSON = f"(regexp_matches(trim(text), {text_of(score.PERSON_TITLE)}) OR regexp_matches(trim(text), {text_of(score.PERSON_SUFFIX)}))"
+_STRUCTURE = "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in score.STRUCTURE) + ")"
 
 
-@query(SPANS + f""" SELECT doc_id, start, "end", type, pattern, text FROM spans WHERE type IN {_CLOSED} OR (contains(pattern, 'Labeled name field') AND confidence >= 0.95) OR NOT {_any(f"list_filter({_W}, lambda w: length(w) > 2)", score.STRUCTURE + score.MEDICAL)}""")
+@query(SPANS + f""" SELECT doc_id, start, "end", type, pattern, text FROM spans WHERE type IN {score.CLOSED} OR (contains(pattern, 'Labeled name field') AND confidence >= 0.95)
+ OR NOT CASE WHEN {_PERSON} THEN {_STRUCTURE} ELSE {_any(f"list_filter({_W}, lambda w: length(w) > 2)", score.STRUCTURE + score.MEDICAL)} END""")
 def whitelist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.whitelist_filter(core(spark, sf_dir)[1]).select("doc_id", "start", "end", "type", "pattern", "text")
 
