@@ -95,3 +95,11 @@ def test_whitelist_knows_persons(spark):
     found = {"Dr. Hospital": True, "Dr. Recording": False, "Hospital": False, "Ann Lee": True, "surgery 5": False}
     rows = [(1, 0, 1, t, "NAME", 0.5, 1, "p") for t in found] + [(1, 0, 1, "surgery 6", "DEVICE", 0.5, 1, "p"), (1, 0, 1, "hospital day 5", "DATE", 0.5, 1, "p")]
     assert {r.text for r in score.whitelist_filter(spark.createDataFrame(rows, SPANS)).collect()} == {t for t, kept in found.items() if kept} | {"surgery 6"}
+
+
+def test_post_filter_tables(spark):
+    names = {"FINDINGS": "heading", "CHIEF  COMPLAINT": "suffix", "CHIEF  COMPLAINANT": None, "LAB RESULTS": "heading", "Ann Bank": "structure", "Ann Banks": None, "Ann-Bank Lee": None, "Vital Signs": "structure", "heart rate": "structure", "domestic partner": "medical",
+             "Ann Texas": "geographic", "Texas-Lee Ann": None, "nurse manager": "label", "spouse name": "suffix", "": "short", "Ann Lee": None}
+    df = spark.createDataFrame([(k, "NAME", 0.7) for k in names], "text string, type string, confidence double")
+    assert {r.text: r.why for r in df.select("text", postfilter.removed_by(F.lit(0.5)).alias("why")).collect()} == names
+    assert not df.select("text", F.lit("DATE").alias("type"), "confidence").where(postfilter.removed_by(F.lit(0.5)).isNotNull()).count()

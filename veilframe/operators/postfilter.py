@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.match import java
-from veilframe.operators.score import GEOGRAPHIC, MEDICAL, STRUCTURE
+from veilframe.operators.words import FIELD_LABELS, MEDICAL_PHRASES, PLACES, SECTION_HEADINGS, SINGLE_WORD_HEADINGS, STRUCTURE_WORDS
 
 # Factors of the minimum confidence, all clamped to [.3, .99] after multiplication.
 BASE_THRESHOLD = 0.60
@@ -35,8 +35,12 @@ MEDICAL_SUFFIXES = (
 )
 # Labels that a name over a line break may have caught.
 BREAK_LABEL = r"(?i)^(?:dx|dob|mrn|age|phone|fax|email|address|street|zip|zipcode|npi|dea|ssn|patient|provider)\b"
-HEADINGS = ("medical record", "discharge summary", "progress note")
-FIELD_LABELS = ("date of birth", "phone number", "medical record", "member id", "account number")
+#: The last is this engine's own: a word of structure stands in it, so it goes either way.
+HEADINGS = (*SECTION_HEADINGS, *SINGLE_WORD_HEADINGS, "MEDICAL RECORD")
+
+
+#: What parts the words of a name, alike for every engine.
+WHITE = r"[ \t\n\f\r]+"
 
 
 def mapped(c: Column, table: dict, default: float) -> Column:
@@ -79,8 +83,8 @@ def removed_by(threshold: Column, text: Column | None = None) -> Column:
     """The first strategy that drops a span, null if none: columns text, type, confidence, body, end."""
     t = text if text is not None else F.col("text")
     low, name = F.lower(t), F.col("type") == "NAME"
-    words = F.split(low, "[^a-z]+")
-    among = lambda xs: F.arrays_overlap(words, F.array(*map(F.lit, xs)))
+    words = F.split(low, WHITE)
+    among = lambda xs: F.exists(words, lambda w: w.isin(*(x.lower() for x in xs)))
     starts = lambda xs: F.greatest(*[t.startswith(x) for x in xs])
     ends = lambda c, xs: F.greatest(*[c.endswith(x) for x in xs])
     after = F.trim(F.regexp_replace(F.regexp_extract(t, r"(?s)\A.*?\r?\n(.*)\z", 1), r"\r?\n", " "), F.lit(" \t\f"))
@@ -88,14 +92,14 @@ def removed_by(threshold: Column, text: Column | None = None) -> Column:
     return (
         F.when(F.col("confidence") < threshold, "threshold")
         .when(F.col("type").isin("DEVICE", "PHONE") & F.regexp_like(low, F.lit("call button|room:|bed:")), "device_phone")
-        .when(name & F.regexp_like(t, F.lit(r"^[A-Z\s]+\z")) & F.trim(low).isin(*HEADINGS), "heading")
-        .when(name & among(STRUCTURE), "structure")
+        .when(name & F.regexp_like(t, F.lit(r"^[A-Z\s]+\z")) & F.trim(t, F.lit(" \t\n\f\r")).isin(*HEADINGS), "heading")
+        .when(name & among(STRUCTURE_WORDS), "structure")
         .when(name & (F.length(t) < 5) & ~F.contains(t, F.lit(",")) & (F.col("confidence") < 0.9), "short")
         .when(name & starts(INVALID_PREFIXES), "prefix")
         .when(name & ends(low, INVALID_SUFFIXES), "suffix")
         .when(name & label, "line_break")
-        .when(name & low.isin(*MEDICAL), "medical")
+        .when(name & low.isin(*MEDICAL_PHRASES), "medical")
         .when(name & ends(t, MEDICAL_SUFFIXES), "medical_suffix")
-        .when(name & among(GEOGRAPHIC), "geographic")
+        .when(name & among(PLACES), "geographic")
         .when(name & low.isin(*FIELD_LABELS), "label")
     )

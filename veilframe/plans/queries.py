@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.registry import BY_NAME, DEFAULTS, DETECTORS
 from veilframe.operators import governance as gov
-from veilframe.operators import lookup, measure, normalize, postfilter, score
+from veilframe.operators import lookup, measure, normalize, postfilter, score, words
 from veilframe.operators.apply import TOKEN, redact, restore, tokenize
 from veilframe.operators.detect import detect, exploded
 from veilframe.operators.resolve import FIELD_WORDS, resolve
@@ -295,10 +295,14 @@ def _ends(xs: tuple) -> str:
 
 
 _AFTER = "trim(regexp_replace(regexp_extract(text, '(?s)\\A.*?\\r?\\n(.*)\\z', 1), '\\r?\\n', ' ', 'g'), ' ' || chr(9) || chr(12))"
+def _holds(xs: tuple) -> str:
+    return _any(f"string_split_regex(lower(text), {text_of(postfilter.WHITE)})", tuple(x.lower() for x in xs))
+
+
 _REMOVED = f"""CASE WHEN confidence < {_MIN} THEN 'threshold' WHEN type IN ('DEVICE', 'PHONE') AND regexp_matches(lower(text), 'call button|room:|bed:') THEN 'device_phone'
- WHEN type = 'NAME' THEN CASE WHEN regexp_matches(text, '^[A-Z\\s]+\\z') AND trim(lower(text)) IN {postfilter.HEADINGS} THEN 'heading' WHEN {_any(_W, score.STRUCTURE)} THEN 'structure' WHEN length(text) < 5 AND NOT contains(text, ',') AND confidence < 0.9 THEN 'short'
- WHEN {' OR '.join(f"starts_with(text, '{x}')" for x in postfilter.INVALID_PREFIXES)} THEN 'prefix' WHEN {_ends(postfilter.INVALID_SUFFIXES)} THEN 'suffix' WHEN regexp_matches({_AFTER}, {text_of(postfilter.BREAK_LABEL)}) OR (length({_AFTER}) <= 24 AND contains({_AFTER}, ':')) THEN 'line_break' WHEN lower(text) IN {score.MEDICAL} THEN 'medical'
- WHEN {' OR '.join(f"ends_with(text, '{x}')" for x in postfilter.MEDICAL_SUFFIXES)} THEN 'medical_suffix' WHEN {_any(_W, score.GEOGRAPHIC)} THEN 'geographic' WHEN lower(text) IN {postfilter.FIELD_LABELS} THEN 'label' END END"""
+ WHEN type = 'NAME' THEN CASE WHEN regexp_matches(text, '^[A-Z\\s]+\\z') AND trim(text, ' ' || chr(9) || chr(10) || chr(12) || chr(13)) IN {postfilter.HEADINGS} THEN 'heading' WHEN {_holds(words.STRUCTURE_WORDS)} THEN 'structure' WHEN length(text) < 5 AND NOT contains(text, ',') AND confidence < 0.9 THEN 'short'
+ WHEN {' OR '.join(f"starts_with(text, '{x}')" for x in postfilter.INVALID_PREFIXES)} THEN 'prefix' WHEN {_ends(postfilter.INVALID_SUFFIXES)} THEN 'suffix' WHEN regexp_matches({_AFTER}, {text_of(postfilter.BREAK_LABEL)}) OR (length({_AFTER}) <= 24 AND contains({_AFTER}, ':')) THEN 'line_break' WHEN lower(text) IN {words.MEDICAL_PHRASES} THEN 'medical'
+ WHEN {' OR '.join(f"ends_with(text, '{x}')" for x in postfilter.MEDICAL_SUFFIXES)} THEN 'medical_suffix' WHEN {_holds(words.PLACES)} THEN 'geographic' WHEN lower(text) IN {words.FIELD_LABELS} THEN 'label' END END"""
 
 
 @query(SPANS + f', {_DOCS} SELECT doc_id, start, "end", type, pattern, {_REMOVED} AS removed_by FROM spans JOIN d USING (doc_id)')
