@@ -103,3 +103,13 @@ def test_post_filter_tables(spark):
     df = spark.createDataFrame([(k, "NAME", 0.7) for k in names], "text string, type string, confidence double")
     assert {r.text: r.why for r in df.select("text", postfilter.removed_by(F.lit(0.5)).alias("why")).collect()} == names
     assert not df.select("text", F.lit("DATE").alias("type"), "confidence").where(postfilter.removed_by(F.lit(0.5)).isNotNull()).count()
+
+
+def test_whitelist_tables(spark):
+    names = {"Oscar Lee": False, "Mount Sinai Ann": False, "Lee Appendectomy": False, "Renal, Ann": False, "Lee Renal": False, "Ann or Lee": True, "Or": False, "Wilson": True, "Wilson disease": False, "Wilsons disease": True,
+             "Parkinson'": True, "Boston Ann": False, "Ann, Dallas": False, "Senior Nurse": False, "Senior Lee": False, "Ann Wells": True, "Mr. Wells score": True, "Dr. Discharge Plan": False, "St. Mary": False, "St Xmary": True, "": True}
+    rows = [(1, 0, 1, t, "NAME", 0.5, 1, "p") for t in names] + [(1, 0, 1, "Boston 5", "CUSTOM", 0.5, 1, "p"), (1, 0, 1, None, "NAME", 0.5, 1, "p"), (1, 0, 1, "Oscar", "MRN", 0.5, 1, "p"), (1, 0, 1, "Xanor 5", "CUSTOM", 0.5, 1, "p")]
+    spans = spark.createDataFrame(rows, SPANS)
+    assert {r.text for r in score.whitelist_filter(spans).collect()} == {t for t, kept in names.items() if kept} | {"Boston 5", None, "Oscar", "Xanor 5"}
+    more = score.whitelist_filter(spans, conditions=("wells",), medications=("xanor", "wilson disease"))
+    assert {r.text for r in more.collect()} == {t for t, kept in names.items() if kept} - {"Ann Wells"} | {"Boston 5", None, "Oscar"}

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.operators import words
+
 # Default context rules (type, words, factor).
 CONTEXT_RULES = (
     ("SSN", ("ssn", "social", "security"), 1.2),
@@ -141,10 +143,10 @@ def window_tokens(spans: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame:
     first = rf"^\W*((?:\w+\W+){{0,{n - 1}}}\w+)"
     before = F.reverse(F.regexp_extract(F.reverse(F.substr(F.col("body"), F.lit(1), F.col("start").cast("int"))), first, 1))
     after = F.regexp_extract(F.substr(F.col("body"), F.col("end") + 1), first, 1)
-    words = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"\w+"), F.lit(0)), F.lower)
+    tokens = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"\w+"), F.lit(0)), F.lower)
     at = F.greatest(F.lit(0), F.col("start") - 50)
     titled = F.regexp_like(F.substr(F.col("body"), at + 1, F.col("start") - at), F.lit(java(TITLE)))
-    return with_text(spans, docs).withColumns({"window": F.concat(words(before), words(after)), "after_title": titled, "alone": F.regexp_like(around(50), F.lit(ALONE))}).drop("body")
+    return with_text(spans, docs).withColumns({"window": F.concat(tokens(before), tokens(after)), "after_title": titled, "alone": F.regexp_like(around(50), F.lit(ALONE))}).drop("body")
 
 
 def context_modifiers(windowed: DataFrame, rules=CONTEXT_RULES) -> DataFrame:
@@ -326,17 +328,42 @@ def disambiguated(spans: DataFrame, docs: DataFrame, reach: int = 100) -> DataFr
     return near.withColumn("_vote", F.explode(votes)).select(*spans.columns, "_vote.*")
 
 
-def whitelist_filter(spans: DataFrame) -> DataFrame:
-    """Drops spans of open types that are, or hold, a known medical or structural word. Closed types and labelled names of .95 stay; with a
-    person's title or suffix only a word of structure, also within another, drops a span."""
+#: What parts the words of a text, alike for every engine: at white space, and at commas too.
+WHITE, WHITE_COMMA = r"[ \t\n\f\r]+", r"[, \t\n\f\r]+"
+#: Of these no text may hold one, of these not be one, and of these not have one as a word.
+PARTS = (*words.LABEL_PARTS, *words.INSURERS, *words.HOSPITALS, *words.STRUCTURE_PARTS)
+WHOLE = (*words.PROCEDURES, *words.ANATOMY, *words.ACRONYMS)
+BESIDE = r"\b(?:" + "|".join(words.EPONYM_BESIDE) + r")\b|'s?[ \t\n\f\r]*\z"
+
+
+def one_of(parts: tuple[str, ...]) -> str:
+    """A pattern for any of the literals (letters, digits, dots and signs without a meaning in patterns)."""
+    return "|".join(p.replace(".", r"\.") for p in parts)
+
+
+def whitelist_filter(spans: DataFrame, conditions: tuple[str, ...] = (), medications: tuple[str, ...] = ()) -> DataFrame:
+    """Drops spans of open types that are, or hold, what the whitelist knows: labels, insurers, hospitals and structure also within a word,
+    procedures, anatomy and acronyms as a whole or a word of more than two letters, eponyms beside what they name, and for names places and
+    words no name is made of. ``conditions`` and ``medications`` are tables of the caller's, in small letters. Closed types and labelled names
+    of .95 stay; with a person's title or suffix only structure, also within another word, drops a span. Null texts stay."""
     from veilframe.functions.match import java
 
     t = F.trim("text")
-    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 2)
-    known = F.arrays_overlap(words, F.array(*map(F.lit, STRUCTURE + MEDICAL)))
+    low, name = F.lower(t), F.col("type") == "NAME"
+    spaced = F.split(low, WHITE)
+    single = F.filter(F.split(low, WHITE_COMMA), lambda w: F.length(w) > 2)
+    has = lambda ws, xs: F.exists(ws, lambda w: w.isin(*xs))
+    own = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 2)
+    known = F.arrays_overlap(own, F.array(*map(F.lit, STRUCTURE + MEDICAL)))
+    whole = (*WHOLE, *conditions, *medications)
+    listed = (
+        F.regexp_like(low, F.lit(one_of(PARTS))) | low.isin(*whole) | has(single, whole) | has(spaced, (*words.PROCEDURES, *conditions))
+        | has(spaced, words.EPONYMS) & F.regexp_like(low, F.lit(java(BESIDE)))
+        | name & (has(spaced, words.PLACE_WORDS) | has(single, (*words.PLACE_WORDS, *words.NEVER_NAMES)) | F.forall(spaced, lambda w: w.isin(*words.NEVER_NAMES)))
+    )
     person = F.regexp_like(t, F.lit(java(PERSON_TITLE))) | F.regexp_like(t, F.lit(java(PERSON_SUFFIX)))
-    structure = reduce(lambda a, b: a | b, (F.contains(F.lower(t), F.lit(w)) for w in STRUCTURE))
-    dropped = F.when(person, structure).otherwise(F.coalesce(known, F.lit(False)))
+    structure = reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in STRUCTURE)) | F.regexp_like(low, F.lit(one_of(words.STRUCTURE_PARTS)))
+    dropped = F.coalesce(F.when(person, structure).otherwise(known | listed), F.lit(False))
     return spans.where(F.col("type").isin(*CLOSED) | (F.col("pattern").contains("Labeled name field") & (F.col("confidence") >= 0.95)) | ~dropped)
 
 

@@ -227,11 +227,16 @@ def type_disambiguation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PERSON = f"(regexp_matches(trim(text), {text_of(score.PERSON_TITLE)}) OR regexp_matches(trim(text), {text_of(score.PERSON_SUFFIX)}))"
-_STRUCTURE = "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in score.STRUCTURE) + ")"
+_LOW = "lower(trim(text))"
+_STRUCTURE = "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in score.STRUCTURE) + f" OR regexp_matches({_LOW}, {text_of(score.one_of(words.STRUCTURE_PARTS))}))"
+_SPACED, _SINGLE = f"string_split_regex({_LOW}, {text_of(score.WHITE)})", f"list_filter(string_split_regex({_LOW}, {text_of(score.WHITE_COMMA)}), lambda w: length(w) > 2)"
+_LISTED = f"""({_any(f"list_filter({_W}, lambda w: length(w) > 2)", score.STRUCTURE + score.MEDICAL)} OR regexp_matches({_LOW}, {text_of(score.one_of(score.PARTS))}) OR {_LOW} IN {score.WHOLE} OR {_any(_SINGLE, score.WHOLE)} OR {_any(_SPACED, words.PROCEDURES)}
+ OR ({_any(_SPACED, words.EPONYMS)} AND regexp_matches({_LOW}, {text_of(score.BESIDE)}))
+ OR (type = 'NAME' AND ({_any(_SPACED, words.PLACE_WORDS)} OR {_any(_SINGLE, words.PLACE_WORDS + words.NEVER_NAMES)} OR list_has_all([{', '.join(map(text_of, words.NEVER_NAMES))}], {_SPACED}))))"""
 
 
 @query(SPANS + f""" SELECT doc_id, start, "end", type, pattern, text FROM spans WHERE type IN {score.CLOSED} OR (contains(pattern, 'Labeled name field') AND confidence >= 0.95)
- OR NOT CASE WHEN {_PERSON} THEN {_STRUCTURE} ELSE {_any(f"list_filter({_W}, lambda w: length(w) > 2)", score.STRUCTURE + score.MEDICAL)} END""")
+ OR NOT CASE WHEN {_PERSON} THEN {_STRUCTURE} ELSE {_LISTED} END""")
 def whitelist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.whitelist_filter(core(spark, sf_dir)[1]).select("doc_id", "start", "end", "type", "pattern", "text")
 
