@@ -1,7 +1,7 @@
 """The detectors, as rows: a pattern, the group that is the value, a confidence, and a test of the value.
 
 Tests are SQL over ``v`` that Spark and DuckDB both read. A gate names literals of which one must stand in a text that the
-pattern can match (see ``operators.detect.opens``); it only saves the search. A detector's gate holds for all its patterns.
+pattern can match (see ``operators.detect.opens``); it only saves the search, and ``¦`` in it means ``|``. A detector's gate holds for all its patterns.
 """
 
 from __future__ import annotations
@@ -112,11 +112,10 @@ DETECTORS: tuple[Detector, ...] = (
         P("dashed_prefix", r"\b(?:MR|PT|HN|EMR|EHR)-\d{4,10}\b", 0.88, gate="MR-|PT-|HN-|EHR-"),
         P("plain", r"(?i)\b(?:mrn?|medical[ \t]+record|chart|record|patient|case|accession)[ \t]*[:#]?[ \t]*#?[ \t]*([a-z0-9][a-z0-9-]{4,14})\b", 0.90, 1, _HAS_DIGIT, gate="~mr|record|chart|patient|case|accession"), P("file", r"(?i)\bfile[ \t]*[:#]?[ \t]*#?[ \t]*(\d{4,14})\b", 0.90, 1, gate="~file & #0000"),
         P("underscored", r"(?i)\b(?:patient|pat|pt|mrn|mr|rec|chart|case|acc)_[a-z0-9_]{4,20}\b", 0.90, 0, _HAS_DIGIT, gate="_"), P("hash", r"(?:^|[ \t\r\n:;,(\[])#(\d{6,12})\b", 0.90, 1, gate="##000000"),
-        P("short_label", rf"(?i)\b(?:{_SHORT}|chart|case|{_MISREAD})[: \t]+\d{{5,14}}\b", 0.90, gate="#:00000| 00000|\t00000"), P("misread", rf"(?i)\b(?:{_MISREAD_MED})[: \t]+[a-z0-9]{{5,14}}\b", 0.90, 0, _HAS_DIGIT, gate=f"~{_MISREAD_MED}"),
-        P("yeared", rf"(?i)\b(?:{_SHORT})[: \t-]?{_YEAR}-?\d{{5,10}}\b", 0.90, gate="#000000000|0000-00000"), P("yeared_spaced", rf"(?i)\brec[: \t]+{_YEAR}[- \t]+\d{{4,10}}\b", 0.90, gate="~rec & #0000- |0000 |0000-|0000\t"),
-        P("piped", r"(?i)(?:mrn|med|record|patient|id|#)[: \t#]*(\d{2,6}\|\d{2,6})\b", 0.90, 1, gate="~mrn|med|record|patient|id|#"), P("split", rf"(?i)\b(?:{_SHORT})[: \t]*\d{{1,3}}[ \t|]+\d{{3,10}}\b", 0.90, gate=f"~{_SHORT} & #000"),
-        P("split_labelled", r"(?i)(?:medical[ \t]+record|mrn|record[ \t]*#)[: \t#]*(\d{2,4}[ \t]+\d{3,6}[a-z0-9]*)\b", 0.90, 1, gate="~record|mrn & #00 000|00  000|00\t| \t|  "),
-        P("signs", rf"(?i)\b(?:{_SHORT}|me0|adc)[: \t]+[a-z0-9!@#$%^&*()_+=-]{{5,20}}\b", 0.90, 0, _HAS_DIGIT, gate=f"~{_SHORT}|me0|adc"),
+        P("short_label", rf"(?i)\b(?:{_SHORT})(?:[: \t-]*{_YEAR}(?:-?\d{{5,10}}|[- \t]+\d{{4,10}})|[: \t]*\d{{1,3}}[ \t|]+\d{{3,10}}|[: \t]+[a-z0-9!@#$%^&*()_+=-]{{5,20}})\b", 0.90, 0, _HAS_DIGIT, gate=f"~{_SHORT}"),
+        P("misread", rf"(?i)\b(?:(?:chart|case|{_MISREAD})[: \t]+\d{{5,14}}|(?:me0|adc)[: \t]+[a-z0-9!@#$%^&*()_+=-]{{5,20}}|(?:{_MISREAD_MED})[: \t]+[a-z0-9]{{5,14}})\b", 0.90, 0, _HAS_DIGIT, gate=f"~chart|case|{_MISREAD}|me0|adc|{_MISREAD_MED}"),
+        P("piped", r"(?i)(?:mrn|med|record|patient|id|#)[: \t#]*(\d{2,6}\|\d{2,6})\b", 0.90, 1, gate="#00¦00"),
+        P("split_labelled", r"(?i)(?:medical[ \t]+record|mrn|record[ \t]*#)[: \t#]*(\d{2,4}[ \t]+\d{3,6}[a-z0-9]*)\b", 0.90, 1, gate="~record|mrn & #00 0|00  |00 \t|00\t"),
     ), "#0"),
     Detector("health_plan", "HEALTH_PLAN", (
         P("labelled", r"(?i)\b(?:medicare|medicaid|member|policy|group|plan|subscriber|insurance)[ \t]*(?:id|number|no\.?|#)[ \t]*[:#]?[ \t]*([a-z0-9-]{5,20})\b", 0.85, 1, _HAS_DIGIT, gate="~medica|member|policy|group|plan|subscriber|insurance"),

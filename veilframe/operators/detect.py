@@ -23,7 +23,7 @@ def opens(gate: str, view: str = "v") -> str:
     parts = []
     for part in filter(None, gate.split(" & ")):
         where = {"~": "low", "#": "shape"}.get(part[0], "text")
-        parts.append("(" + " OR ".join(f"contains({view}.{where}, {quoted(x)})" for x in part[where != "text" :].split("|")) + ")")
+        parts.append("(" + " OR ".join(f"contains({view}.{where}, {quoted(x.replace('¦', '|'))})" for x in part[where != "text" :].split("|")) + ")")
     return " AND ".join(parts) or "true"
 
 
