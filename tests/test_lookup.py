@@ -62,3 +62,32 @@ def test_short_boundaries_match_the_same():
         for p in d.patterns:
             full, short = (re.compile(r, re.ASCII) for r in (p.regex.replace(r"\b", BOUNDARY), java(p.regex)))
             assert all([m.span() for m in full.finditer(t)] == [m.span() for m in short.finditer(t)] for t in texts), p.name
+
+
+def test_sql_of_codes_and_readings_equals_spark(spark, tmp_path):
+    """The queries' SQL on words that the small table does not hold."""
+    import duckdb
+
+    import __spark_entry__
+
+    words = ["Tymczak", "Pfister", "Honeyman", "Ashcraft", "Robert", "Rupert", "Jackson", "van Dyk", "Bwlh", "O'Hara", "Lloyd", "HWB", "Lee", "a", "Boggiloosz", "s5s5s5s5s5", "17", "Abbab"]
+    from pyspark.sql import functions as F
+
+    from veilframe.operators.normalize import soundex
+
+    known = {"Tymczak": "T520", "Robert": "R163", "Rupert": "R163", "O'Hara": "O600", "van Dyk": "V532", "s5s5s5s5s5": "S000", "17": "0000", "Abbab": "A100", "": "0000", None: None}
+    assert {r.w: r.c for r in spark.createDataFrame([(w,) for w in known], "w string").select("w", soundex(F.col("w")).alias("c")).collect()} == known
+    spark.createDataFrame([(w,) for w in words], "n_name string").coalesce(1).write.parquet(f"{tmp_path}/nation.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW nation AS SELECT * FROM '{tmp_path}/nation.parquet/*.parquet'")
+    for name in ("soundex_match", "ocr_variants"):
+        df = __spark_entry__.queries()[name](spark, str(tmp_path))
+        got, want = sorted(map(tuple, df.collect())), sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall())
+        assert got == want and len(got) > 8
+    con.execute("CREATE OR REPLACE VIEW documents AS SELECT unnest(['a', 'b', 'c', NULL, 'a']) AS text")
+    import hashlib
+
+    level = sorted(hashlib.sha256(x.encode()).hexdigest() for x in "abca")
+    while len(level) > 1:
+        level = [hashlib.sha256(bytes.fromhex(level[i]) + bytes.fromhex(level[min(i + 1, len(level) - 1)])).hexdigest() for i in range(0, len(level), 2)]
+    assert con.execute(__spark_entry__.oracle_sql()["merkle_root"]).fetchall() == [(level[0],)]

@@ -26,6 +26,20 @@ def digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
+# The letters that a sound code names, and their digits; other letters part nothing.
+SOUND_FROM = "BFPVCGJKQSXZDTLMNRAEIOUHWY"
+SOUND_TO = "111122222222334556"
+
+
+def soundex(text: Column) -> Column:
+    """First letter and three digits. Only A-Z count; letters without a digit, vowels too, do not part equal digits, unlike in Spark's own
+    function. 0000 without letters, null for null."""
+    letters = F.regexp_replace(F.upper(text), "[^A-Z]", "")
+    runs = F.regexp_replace(F.translate(letters, SOUND_FROM, SOUND_TO), r"(.)\1+", "$1")
+    rest = F.when(F.regexp_like(letters, F.lit("^[AEIOUHWY]")), runs).otherwise(F.substr(runs, F.lit(2)))
+    return F.concat(F.rpad(F.substr(letters, F.lit(1), F.lit(1)), 1, "0"), F.rpad(F.substr(rest, F.lit(1), F.lit(3)), 3, "0"))
+
+
 def visible(text: Column) -> Column:
     """Invisible characters removed, look-alikes replaced."""
     return F.translate(F.translate(text, INVISIBLE, ""), "".join(HOMOGLYPHS), "".join(HOMOGLYPHS.values()))

@@ -434,7 +434,8 @@ def audit_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gov.manifest(d, "text", "r").select("doc_id", "original_sha256", "redacted_sha256")
 
 
-@query()
+@query("""WITH RECURSIVE m(l) AS (SELECT list_sort(list(sha256(text))) FROM documents WHERE text IS NOT NULL
+ UNION ALL SELECT list_transform(range(1, len(l) + 1, 2), lambda i: sha256(unhex(l[i]) || unhex(coalesce(l[i + 1], l[i])))) FROM m WHERE len(l) > 1) SELECT l[1] AS root FROM m WHERE len(l) = 1""")
 def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gov.merkle_root(table(spark, sf_dir, "documents", "text").where("text is not null").select(F.sha2("text", 256).alias("h")), "h")
 
@@ -546,10 +547,15 @@ def jaro_winkler_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer", "c_custkey", "c_name").select("c_custkey", F.round(normalize.jaro_winkler("c_name", F.lit("Customer#000000042")), 6).alias("jw"))
 
 
-@query()
+_CODED = "regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '0123012-02245501262301-202'), '[0-]', '', 'g')"
+
+
+@query(f"""WITH w AS (SELECT n_name, regexp_replace(upper(n_name), '[^A-Z]', '', 'g') AS w FROM nation), c AS (SELECT n_name, w, {_CODED.format('w')} AS c, length({_CODED.format('w[1:1]')}) AS own FROM w),
+k AS (SELECT n_name, concat(rpad(w[1:1], 1, '0'), rpad(array_to_string(list_transform(list_filter(range(1 + own, length(c) + 1), lambda i: i = 1 OR c[i:i] <> c[i - 1:i - 1]), lambda i: c[i:i]), '')[1:3], 3, '0')) AS code FROM c)
+SELECT code, string_agg(n_name, ',' ORDER BY n_name) AS names FROM k GROUP BY code""")
 def soundex_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation", "n_name")
-    return n.groupBy(F.soundex("n_name").alias("code")).agg(F.array_sort(F.collect_list("n_name")).alias("names"))
+    return n.groupBy(normalize.soundex(F.col("n_name")).alias("code")).agg(F.concat_ws(",", F.array_sort(F.collect_list("n_name"))).alias("names"))
 
 
 # ---- evaluation, calibration -----------------------------------------------------------------------------------------
@@ -741,7 +747,12 @@ def phonetic_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.phonetic_lookup(t, n)
 
 
-@query()
+_READ_AS = "CASE c " + " ".join(f"WHEN '{k}' THEN [{', '.join(map(text_of, v))}]" for k, v in lookup.READINGS.items()) + " ELSE [c] END"
+
+
+@query(f"""WITH RECURSIVE g(n_name, k, held) AS (SELECT n_name, 0, [''] FROM nation WHERE n_name IS NOT NULL
+ UNION ALL SELECT n_name, k + 1, flatten(list_transform(held, lambda h: list_transform(options, lambda o: h || o)))[1:100] FROM (SELECT *, {_READ_AS} AS options FROM (SELECT *, lower(n_name)[k + 1:k + 1] AS c FROM g WHERE k < length(n_name))))
+SELECT n_name, unnest(held) AS variant FROM g WHERE k = length(n_name)""")
 def ocr_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation", "n_name").select("n_name", F.explode(lookup.ocr_variants(F.col("n_name"))).alias("variant"))
 
