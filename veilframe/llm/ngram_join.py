@@ -13,7 +13,8 @@ others. The fragments are passed twice:
 
 N-grams that ``HOT`` documents or more share make no pairs; they are kept with each of their documents, as its hot list. A
 fragment knows which of its n-grams these are. The most frequent, at most ``HOT_LIST`` by a count of what each task saw
-more than once, are known before and skip the fragments, so that none fills a task; which ones does not change the result.
+more than once of a sample of ``SAMPLE`` documents, are known before and skip the fragments, so that none fills a task; which
+ones does not change the result. All documents are read once besides, and their rows pass through the fragments with them.
 So a pair has two parts: the sum over the fragments, and the overlap of two hot lists, which is taken only where it could
 decide. A pair without any fragment in common can be linked only if 75 % of either set are hot; such documents go another
 way (``hot_links``), which links them into the same components without making all their pairs.
@@ -30,6 +31,7 @@ repeated rows each give a row of the same component; an empty table gives no row
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,11 +42,15 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.components import connected_components
 from veilframe.llm.tables import partitions, table, written
-from veilframe.llm.text import RunHasher, words
+from veilframe.llm.text import RunHasher, distinct, words
 
 HOT, HOT_LIST, LOCAL, CHUNK, BLOCK = 24, 65_536, 2, 1_000_000, 2048
 #: N-grams in a fragment, the least number of fragments that count pairs, and the pairs that one holds at once.
 FRAGMENT, COUNTING, PAIRS = 4_000_000, 4, 4_000_000
+#: Documents that the survey reads, and its tasks. It only foresees which n-grams are frequent and how many there are.
+SAMPLE, SURVEYORS = 20_000, 8
+#: Columns of a matrix that counts overlaps.
+SLAB = 4096
 
 
 def node_of(grams: np.ndarray) -> int:
@@ -53,7 +59,7 @@ def node_of(grams: np.ndarray) -> int:
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """kind 0: row, doc_id, node, n of every document. kind 1: an n-gram (as node) that n documents of one chunk share."""
+    """kind 0: how many n-grams (n) the documents of a batch have. kind 1: an n-gram (as node) that n documents of one chunk share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, size, seen = RunHasher(), [], 0, set()
@@ -61,28 +67,34 @@ def survey(docs: DataFrame) -> DataFrame:
         def shared() -> pa.RecordBatch:
             grams, n = np.unique(np.concatenate(held), return_counts=True)
             use = n >= LOCAL
-            m = int(use.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(grams[use].view(np.int64)), pa.array(n[use].astype(np.int64))], ["kind", "row", "doc_id", "node", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(int(use.sum()), np.int32)), pa.array(grams[use].view(np.int64)), pa.array(n[use].astype(np.int64))], ["kind", "node", "n"])
 
         for b in batches:
-            nodes, sizes = [], []
+            total = 0
             for t in b.column("t").to_pylist():
                 found = words(t)
+                if not found:
+                    continue
                 grams = hasher.shingles(found)
-                nodes.append(node_of(grams) if found else None)
-                sizes.append(len(grams))
-                if found and nodes[-1] not in seen:
-                    seen.add(nodes[-1])
+                total += len(grams)
+                if (node := node_of(grams)) not in seen:
+                    seen.add(node)
                     held.append(grams)
                     size += len(grams)
                     if size >= 2 * CHUNK:
                         yield shared()
                         held, size, seen = [], 0, set()
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int32)), b.column("row"), b.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())], ["kind", "row", "doc_id", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.nulls(1, pa.int64()), pa.array([total], pa.int64())], ["kind", "node", "n"])
         if held:
             yield shared()
 
-    return written(docs.mapInArrow(run, "kind int, row long, doc_id long, node long, n long"), "ngram-survey")
+    return written(docs.select("t").mapInArrow(run, "kind int, node long, n long"), "ngram-survey")
+
+
+def surveyed_share(docs: DataFrame, n_rows: int, most: int) -> tuple[DataFrame, float]:
+    """``survey`` of some ``most`` of the documents, and their share of all."""
+    share = min(1.0, most / max(1, n_rows))
+    return survey(docs.select("t").sample(share, 20240229).repartition(SURVEYORS) if share < 1 else docs), share
 
 
 def hot_grams(surveyed: DataFrame, hot: int = HOT, most: int = HOT_LIST) -> np.ndarray:
@@ -99,42 +111,83 @@ def hot_grams(surveyed: DataFrame, hot: int = HOT, most: int = HOT_LIST) -> np.n
     return np.array([n for _, n in rows], np.int64).view(np.uint64)
 
 
-#: Before the codes of a document in a blob: its node and size, how many codes follow, and of these how many are hot (or, where
-#: pairs are counted, how many more it has elsewhere).
-_HEAD = np.dtype([("node", "<i8"), ("n", "<u4"), ("k", "<u4"), ("h", "<u4")])
+#: What a blob says of each of its documents: its node and size, how many codes follow, and of these how many are hot (or, where
+#: pairs are counted, how many more it has elsewhere). Each stands for all documents together, so that small numbers and zeros
+#: take next to nothing once compressed: with many fragments there is one such head for nearly every n-gram.
+_HEAD = {"node": "<i8", "n": "<u4", "k": "<u4", "h": "<u4"}
+
+
+def stable_order(key: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """The order that sorts ``key`` (none below 0), equal ones as in ``order``: by digits of 16 bits, which numpy sorts by radix."""
+    most, shift = int(key.max(initial=0)), 0
+    while most >> shift:
+        digit = (key >> shift).astype(np.uint16)
+        order = np.argsort(digit, kind="stable") if order is None else order[np.argsort(digit[order], kind="stable")]
+        shift += 16
+    return np.arange(len(key)) if order is None else order
+
+
+def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values, where one of each stands, and for each entry the number of its value."""
+    order = np.argsort(key)
+    now = key[order]
+    new = np.concatenate([[True], now[1:] != now[:-1]]) if len(key) else np.zeros(0, bool)
+    number = np.empty(len(key), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return now[new], order[new], number
+
+
+def blobs_of(head: dict[str, np.ndarray], head_cut: np.ndarray, codes: bytes = b"", code_cut: np.ndarray | None = None) -> list[bytes]:
+    """The blobs of heads and codes that are cut so."""
+    columns = [(head[c].astype(kind).tobytes(), np.dtype(kind).itemsize) for c, kind in _HEAD.items()]
+    cuts = head_cut.tolist()
+    tails = [0] * len(cuts) if code_cut is None else code_cut.tolist()
+    return [b"".join([(y - x).to_bytes(4, "little"), *[c[x * w : y * w] for c, w in columns], codes[p:q]]) for x, y, p, q in zip(cuts, cuts[1:], tails, tails[1:])]
 
 
 def packed(target: np.ndarray, doc: np.ndarray, code: np.ndarray, node: np.ndarray, n: np.ndarray, last: np.ndarray | None = None, whole: np.ndarray | None = None, width: int = 8) -> tuple[np.ndarray, list[bytes]]:
-    """Targets, and a blob for each: heads of its documents, then ``width`` bytes of each code. ``last`` marks the codes that
-    stand last in their document and are counted in its head; ``whole`` has the codes of each document over all targets."""
+    """Targets, and a blob for each: heads of its documents, then ``width`` bytes of each code. The codes of a document come
+    ascending. ``last`` marks those that stand last in their document and are counted in its head; ``whole`` has the codes of
+    each document over all targets."""
     last = np.zeros(len(doc), bool) if last is None else last
-    order = np.lexsort((code, last, doc, target))
+    order = None if not len(last) or last.all() or not last.any() else np.argsort(last, kind="stable")
+    if order is not None or (doc[1:] < doc[:-1]).any():
+        order = stable_order(doc, order)
+    order = stable_order(target, order)
     target, doc, code, last = target[order], doc[order], code[order], last[order]
     start = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (target[1:] != target[:-1])])) if len(doc) else np.zeros(0, np.int64)
-    head = np.zeros(len(start), _HEAD)
-    head["node"], head["n"], head["k"] = node[doc[start]], n[doc[start]], np.diff(np.append(start, len(doc)))
-    head["h"] = np.add.reduceat(last, start, dtype=np.int64) if whole is None else whole[doc[start]] - head["k"]
+    k = np.diff(np.append(start, len(doc)))
+    h = np.add.reduceat(last, start, dtype=np.int64) if whole is None else whole[doc[start]] - k
+    head = {"node": node[doc[start]], "n": n[doc[start]], "k": k, "h": h}
     raw = np.ascontiguousarray(code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
     at = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]])) if len(target) else np.zeros(0, np.int64)
     cut, head_cut = np.append(at, len(target)), np.append(np.searchsorted(start, at), len(start))
-    blobs = []
-    for i in range(len(at)):
-        h = head[head_cut[i] : head_cut[i + 1]]
-        blobs.append(len(h).to_bytes(4, "little") + h.tobytes() + raw[cut[i] : cut[i + 1]].tobytes())
-    return target[at], blobs
+    return target[at], blobs_of(head, head_cut, raw.tobytes(), cut * width)
+
+
+def sizes_only(target: np.ndarray, node: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Targets, and for each a blob of the nodes and sizes of its documents, without codes."""
+    order = stable_order(target)
+    target, node, n = target[order], node[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
+    none = np.zeros(len(node), np.int64)
+    return target[at], blobs_of({"node": node, "n": n, "k": none, "h": none}, np.append(at, len(target)))
 
 
-def unpacked(blobs: list[bytes], width: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpacked(blobs: list[bytes], width: int = 8) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """The heads of all blobs, the blob of each, and the codes."""
-    heads = [np.frombuffer(blob, _HEAD, int.from_bytes(blob[:4], "little"), 4) for blob in blobs]
-    head = np.concatenate(heads)
+    sizes = [int.from_bytes(blob[:4], "little") for blob in blobs]
+    head, skip = {}, 0
+    for c, kind in _HEAD.items():
+        head[c] = np.concatenate([np.frombuffer(blob, kind, m, 4 + skip * m) for blob, m in zip(blobs, sizes)])
+        skip += np.dtype(kind).itemsize
     code = np.zeros((int(head["k"].sum()), 8), np.uint8)
     at = 0
-    for blob, h in zip(blobs, heads):
-        low = np.frombuffer(blob, np.uint8, offset=4 + h.nbytes).reshape(-1, width)
+    for blob, m in zip(blobs, sizes):
+        low = np.frombuffer(blob, np.uint8, offset=4 + skip * m).reshape(-1, width)
         code[at : at + len(low), :width] = low
         at += len(low)
-    return head, np.repeat(np.arange(len(heads), dtype=np.int32), [len(h) for h in heads]), code.view("<u8").ravel()
+    return head, np.repeat(np.arange(len(blobs), dtype=np.int32), sizes), code.view("<u8").ravel()
 
 
 def grouped(key: str, blob: str, each) -> object:
@@ -166,7 +219,8 @@ def partition_keys(spark: SparkSession, n: int) -> list[int]:
 
 
 def fragmented(docs: DataFrame, hot, keys: list[int]) -> DataFrame:
-    """(fragment, blob) of the documents' n-grams by range of the order, and (fragment, hot_blob) of their hot lists, dealt over the fragments."""
+    """(fragment, blob) of the documents' n-grams by range of the order, (fragment, hot_blob) of their sizes and hot lists, dealt
+    over the fragments, and (fragment, rows) of the rows with their nodes. A fragment is not told the sizes."""
 
     n_fragments = len(keys)
     number = np.array(keys, np.int64)
@@ -174,7 +228,7 @@ def fragmented(docs: DataFrame, hot, keys: list[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = RunHasher()
         by_hash = np.sort(hot.value)
-        rank = np.argsort(hot.value, kind="stable").astype(np.uint64)
+        rank = np.argsort(hot.value, kind="stable").astype(np.uint64) + np.uint64(1 << 62)  # after all codes of fragments, which are rarer
         seen: set[int] = set()
         nodes: list[int] = []
         grams: list[np.ndarray] = []
@@ -189,20 +243,28 @@ def fragmented(docs: DataFrame, hot, keys: list[int]) -> DataFrame:
                 is_hot = by_hash[at] == flat
             cold = ~is_hot
             fragment = ((flat[cold] >> np.uint64(32)) * np.uint64(n_fragments) >> np.uint64(32)).astype(np.int64)
-            to, blobs = packed(fragment, doc[cold], flat[cold], node, n, width=6)
-            hot_to, hot_blobs = packed(np.mod(node, n_fragments)[doc[is_hot]], doc[is_hot], rank[at[is_hot]] if is_hot.any() else flat[:0], node, n, last=np.ones(int(is_hot.sum()), bool))
+            to, blobs = packed(fragment, doc[cold], flat[cold], node, np.zeros_like(n), width=6)
+            bucket = np.mod(node, n_fragments)
+            size_to, size_blobs = sizes_only(bucket, node, n)
+            ranks, of = rank[at[is_hot]] if is_hot.any() else flat[:0], doc[is_hot]
+            by_rank = np.lexsort((ranks, of))
+            hot_to, hot_blobs = packed(bucket[of], of, ranks[by_rank], node, n, last=np.ones(len(of), bool))
             nodes.clear()
             grams.clear()
-            kinds = (pa.array(number[np.concatenate([to, hot_to])]), pa.array([*blobs, *[None] * len(hot_blobs)], pa.binary()), pa.array([*[None] * len(blobs), *hot_blobs], pa.binary()))
-            return pa.RecordBatch.from_arrays([*kinds], ["fragment", "blob", "hot_blob"])
+            more = [*size_blobs, *hot_blobs]
+            kinds = (pa.array(number[np.concatenate([to, size_to, hot_to])]), pa.array([*blobs, *[None] * len(more)], pa.binary()), pa.array([*[None] * len(blobs), *more], pa.binary()))
+            return pa.RecordBatch.from_arrays([*kinds, pa.nulls(len(blobs) + len(more), pa.binary())], ["fragment", "blob", "hot_blob", "rows"])
 
         for b in batches:
-            for t in b.column("t").to_pylist():
+            of_rows, n_rows = np.zeros(b.num_rows, np.int64), np.full(b.num_rows, -1, np.int64)
+            for i, t in enumerate(b.column("t").to_pylist()):
                 found = words(t)
                 if not found:
                     continue
                 g = hasher.shingles(found)
-                if (node := node_of(g)) in seen:
+                node = of_rows[i] = node_of(g)
+                n_rows[i] = len(g)
+                if node in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
@@ -213,10 +275,30 @@ def fragmented(docs: DataFrame, hot, keys: list[int]) -> DataFrame:
                 if size >= CHUNK:
                     yield out()
                     size = 0
+            if b.num_rows:
+                doc_id = b.column("doc_id")
+                sent = rows_blob(b.column("row").to_numpy(), doc_id.fill_null(0).to_numpy(), doc_id.is_null().to_numpy(False), of_rows, n_rows)
+                yield pa.RecordBatch.from_arrays([pa.array([keys[zlib.crc32(sent) % n_fragments]], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([sent], pa.binary())], ["fragment", "blob", "hot_blob", "rows"])
         if grams:
             yield out()
 
-    return docs.select("t").mapInArrow(run, "fragment long, blob binary, hot_blob binary")
+    return docs.select("row", "doc_id", "t").mapInArrow(run, "fragment long, blob binary, hot_blob binary, rows binary")
+
+
+def rows_blob(row: np.ndarray, doc_id: np.ndarray, no_id: np.ndarray, node: np.ndarray, n: np.ndarray) -> bytes:
+    """Rows with their nodes and sizes; size -1 means no words."""
+    return np.stack([row, doc_id, no_id, node, n]).astype("<i8").tobytes()
+
+
+def rows_of(blob: bytes) -> pa.RecordBatch:
+    row, doc_id, no_id, node, n = np.frombuffer(blob, "<i8").reshape(5, -1)
+    m = len(row)
+    lists = [pa.nulls(m, pa.list_(pa.int64()))] * 2
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(row), pa.array(doc_id, mask=no_id > 0), pa.array(node, mask=n < 0), pa.array(np.maximum(n, 0)), *lists], LINKABLE)
+
+
+#: kind 0: a row with its node and size. kind 1: a document that others may be linked with, and its shared n-grams.
+LINKABLE = ["kind", "row", "doc_id", "node", "n", "codes", "hot"]
 
 
 def linked(overlap, a, b):
@@ -227,9 +309,9 @@ def linked(overlap, a, b):
 def shared_grams(number: int, blobs: list[bytes], buckets: int) -> tuple[np.ndarray, list[bytes]]:
     """Of a fragment's n-grams those that two documents or more have, packed for the buckets of the documents; hot ones last."""
     head, sent, gram = unpacked(blobs, 6)
-    nodes, first, doc = np.unique(head["node"], return_index=True, return_inverse=True)
-    kept = np.repeat(sent == sent[first][doc], head["k"])  # of copies that several tasks sent, the first
-    gram, doc = gram[kept], np.repeat(doc.astype(np.int32), head["k"])[kept]
+    nodes, first, doc = numbered(head["node"])
+    kept = np.repeat(sent == sent[first][doc], head["k"])  # of copies that several tasks sent, one
+    gram, doc = gram[kept], np.repeat(doc, head["k"])[kept]
     n = head["n"][first]
     del head, sent, kept
     order = np.argsort(gram)
@@ -243,12 +325,12 @@ def shared_grams(number: int, blobs: list[bytes], buckets: int) -> tuple[np.ndar
 
 
 def shared_parts(pieces: DataFrame, keys: list[int]) -> DataFrame:
-    """(bucket, blob): what each fragment knows of the documents of each bucket; as many buckets as fragments."""
+    """(bucket, blob): what each fragment knows of the documents of each bucket; as many buckets as fragments. (bucket, rows) pass."""
     number = {key: f for f, key in enumerate(keys)}
     named = np.array(keys, np.int64)
 
     def rows(to: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(named[to]), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+        return pa.RecordBatch.from_arrays([pa.array(named[to]), pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.binary())], ["bucket", "blob", "rows"])
 
     def each(key: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         yield rows(*shared_grams(number[key], blobs, len(keys)))
@@ -258,9 +340,9 @@ def shared_parts(pieces: DataFrame, keys: list[int]) -> DataFrame:
 
         def passed() -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if b.column("hot_blob").null_count < b.num_rows:
-                    use = b.filter(b.column("hot_blob").is_valid())
-                    hot.append(pa.RecordBatch.from_arrays([use.column("fragment"), use.column("hot_blob")], ["bucket", "blob"]))
+                if b.column("blob").null_count:
+                    use = b.filter(b.column("blob").is_null())
+                    hot.append(pa.RecordBatch.from_arrays([use.column("fragment"), use.column("hot_blob"), use.column("rows")], ["bucket", "blob", "rows"]))
                 yield b
 
         for out in grouped("fragment", "blob", each)(passed()):
@@ -269,15 +351,18 @@ def shared_parts(pieces: DataFrame, keys: list[int]) -> DataFrame:
             yield out
         yield from hot
 
-    return pieces.repartition(len(keys), "fragment").sortWithinPartitions("fragment").mapInArrow(run, "bucket long, blob binary")
+    return pieces.repartition(len(keys), "fragment").sortWithinPartitions("fragment").mapInArrow(run, "bucket long, blob binary, rows binary")
 
 
 def linkable(parts: DataFrame, keys: list[int]) -> DataFrame:
-    """(node, n, codes, hot) of the documents of which others share 75 % or more: their shared n-grams below and from ``HOT``."""
+    """``LINKABLE``: all rows; (node, n, codes, hot) of the documents of which others share 75 % or more: their shared n-grams
+    below and from ``HOT``."""
 
     def each(_: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         head, _, code = unpacked(blobs)
-        nodes, first, doc = np.unique(head["node"], return_index=True, return_inverse=True)
+        nodes, _, doc = numbered(head["node"])
+        n = np.zeros(len(nodes), np.int64)
+        np.maximum.at(n, doc, head["n"].astype(np.int64))  # fragments say 0
         start = np.cumsum(head["k"], dtype=np.int64)
         hot = np.arange(len(code)) >= np.repeat(start - head["h"], head["k"])
         doc = np.repeat(doc, head["k"])
@@ -285,17 +370,31 @@ def linkable(parts: DataFrame, keys: list[int]) -> DataFrame:
         code, hot, doc = code[order], hot[order], doc[order]
         own = np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])]) if len(code) else np.zeros(0, bool)  # copies send their hot lists again
         code, hot, doc = code[own], hot[own], doc[own]
-        n = head["n"][first].astype(np.int64)
         use = 4 * np.bincount(doc, minlength=len(nodes)) >= 3 * n
         code, hot, doc = code[use[doc]], hot[use[doc]], doc[use[doc]]
-        out = [pa.array(nodes[use]), pa.array(n[use])]
+        m = int(use.sum())
+        out = [pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(nodes[use]), pa.array(n[use])]
         for part in (~hot, hot):
             cut = np.concatenate([[0], np.cumsum(np.bincount(doc[part], minlength=len(nodes))[use])])
             out.append(pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(code[part].view(np.int64))))
-        yield pa.RecordBatch.from_arrays(out, ["node", "n", "codes", "hot"])
+        yield pa.RecordBatch.from_arrays(out, LINKABLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: list[bytes] = []
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sent.extend(b.column("rows").drop_null().to_pylist())
+                yield b
+
+        for out in grouped("bucket", "blob", each)(passed()):
+            yield from map(rows_of, sent)
+            sent.clear()
+            yield out
+        yield from map(rows_of, sent)
 
     rows = parts.repartition(len(keys), "bucket").sortWithinPartitions("bucket")
-    return written(rows.mapInArrow(grouped("bucket", "blob", each), "node long, n long, codes array<long>, hot array<long>"), "ngram-linkable")
+    return written(rows.mapInArrow(run, "kind int, row long, doc_id long, node long, n long, codes array<long>, hot array<long>"), "ngram-linkable")
 
 
 def cut_again(docs: DataFrame, keys: list[int]) -> DataFrame:
@@ -366,6 +465,29 @@ def overlaps_with(flat: np.ndarray, offsets: np.ndarray, own: np.ndarray, mark:
     return got
 
 
+def overlaps_between(left: pa.ListArray, right: pa.ListArray) -> Iterator[np.ndarray]:
+    """For each list of ``left`` how many entries it shares with each of ``right``; none is empty. Near copies have few different
+    entries, and slabs of a matrix product count them; where most entries are rare, list by list."""
+    lengths = [x.value_lengths().to_numpy().astype(np.int64) for x in (left, right)]
+    x, y = (x.flatten().to_numpy() for x in (left, right))
+    width, both = len(seen := distinct(np.concatenate([x, y]))), (np.searchsorted(seen, x), np.searchsorted(seen, y))
+    if width > 16 * max(256, len(y) // max(1, len(right))):
+        offsets, mark = np.concatenate([[0], np.cumsum(lengths[1])]), np.zeros(width, np.int32)
+        for own in np.split(both[0], np.cumsum(lengths[0])[:-1]):
+            yield overlaps_with(both[1], offsets, own, mark)
+        return
+    row = [np.repeat(np.arange(len(n)), n) for n in lengths]
+    total = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, width, SLAB):
+        slabs = []
+        for k, codes, n in zip(row, both, lengths):
+            use = (codes >= lo) & (codes < lo + SLAB)
+            slabs.append(np.zeros((len(n), min(SLAB, width - lo)), np.float32))
+            slabs[-1][k[use], codes[use] - lo] = 1
+        total += slabs[0] @ slabs[1].T
+    yield from total.astype(np.int64)
+
+
 def renumbered(lists: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
     """The same lists over 0, 1, ... and how many numbers those take."""
     seen, flat = np.unique(np.concatenate(lists), return_inverse=True)
@@ -453,15 +575,12 @@ def hot_links(hot_docs: DataFrame, block: int = BLOCK) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for left, right in zip(b.column("rest"), b.column("docs")):
-                own, others = left.as_py(), right.as_py()
-                lists, width = renumbered([np.asarray(d["codes"], np.int64) for d in [*own, *others]])
-                mark = np.zeros(width, np.int32)
-                flat, offsets = np.concatenate(lists[len(own) :]), np.concatenate([[0], np.cumsum([len(x) for x in lists[len(own) :]])])
-                n, comp = (np.array([d[c] for d in others], np.int64) for c in ("n", "component"))
+                (_, n, codes, comp), (_, other_n, other_codes, other_comp) = left.values.flatten(), right.values.flatten()
+                comp, other_comp = comp.to_numpy(), other_comp.to_numpy()
                 out = set()
-                for d, codes in zip(own, lists):
-                    hit = linked(overlaps_with(flat, offsets, codes, mark), n, d["n"]) & (comp != d["component"])
-                    out |= {(d["component"], int(c)) for c in np.unique(comp[hit])}
+                for d, shared in enumerate(overlaps_between(codes, other_codes)):
+                    hit = linked(shared, other_n.to_numpy(), n[d].as_py()) & (other_comp != comp[d])
+                    out |= {(int(comp[d]), int(c)) for c in np.unique(other_comp[hit])}
                 yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["a", "b"])
 
     late = rest_blocks.join(all_blocks, "class").select("rest", "docs").mapInArrow(compare, "a long, b long").distinct()
@@ -492,17 +611,18 @@ def jaccard_components(docs: DataFrame, row: str | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     raw = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"))
-    surveyed = survey(raw)
+    surveyed, share = surveyed_share(raw, docs.count(), SAMPLE)
     hot = hot_grams(surveyed)
-    keys = fragment_keys(spark, surveyed.where("kind = 0").agg(F.sum("n")).first()[0] or 0, partitions(spark))
-    kept = linkable(shared_parts(fragmented(raw, spark.sparkContext.broadcast(hot), keys), keys), keys)
+    keys = fragment_keys(spark, int((surveyed.where("kind = 0").agg(F.sum("n")).first()[0] or 0) / share), partitions(spark))
+    passed = linkable(shared_parts(fragmented(raw, spark.sparkContext.broadcast(hot), keys), keys), keys)
+    kept = passed.where("kind = 1").select("node", "n", "codes", "hot")
     sizes = kept.agg(F.sum(F.size("codes")).alias("cold"), F.sum((4 * F.size("hot") >= 3 * F.col("n")).cast("long")).alias("mostly")).first()
     lists = kept.where(F.size("hot") > 0).select("node", "n", F.col("hot").alias("codes"))
     edges = pair_links(counted(kept, fragment_keys(spark, sizes.cold or 0, COUNTING)), lists)
     if sizes.mostly:
         edges = edges.unionByName(hot_links(written(lists.where(4 * F.size("codes") >= 3 * F.col("n")), "ngram-mostly-hot")))
     component = connected_components(edges)
-    rows = surveyed.where("kind = 0").select("row", "doc_id", "node", F.col("n").alias("n_shingles"))
+    rows = passed.where("kind = 0").select("row", "doc_id", "node", F.col("n").alias("n_shingles"))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = written(nodes.join(component, "node", "left"), "ngram-named")
     together = named.where("component is not null")
