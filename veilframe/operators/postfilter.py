@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.functions.match import java
+from veilframe.functions.match import bound, java
 from veilframe.operators.words import FIELD_LABELS, MEDICAL_PHRASES, PLACES, SECTION_HEADINGS, SINGLE_WORD_HEADINGS, STRUCTURE_WORDS
 
 # Factors of the minimum confidence, all clamped to [.3, .99] after multiplication.
@@ -50,22 +53,37 @@ def mapped(c: Column, table: dict, default: float) -> Column:
     return out
 
 
+def literals(pattern: str) -> list[str]:
+    """For each alternative of a pattern of plain words the letters that it surely begins with."""
+    return [re.match(r"[^?*+(\[.\\]*", re.sub(r".[?*].*", "", x))[0] for x in pattern.removeprefix("(?i)").split("|")]
+
+
 def document_type(text: Column) -> Column:
-    """The first type whose title pattern the text has, else general."""
-    out = F.lit("general")
-    for name, p, _ in reversed(DOCUMENT_TYPES):
-        out = F.when(F.regexp_like(text, F.lit(p)), name).otherwise(out)
-    return out
+    """The first type whose title pattern the text has, else general. Only lines with their words are searched."""
+
+    def first(own: Column) -> Column:
+        out = F.lit("general")
+        for name, p, _ in reversed(DOCUMENT_TYPES):
+            out = F.when(F.regexp_like(own, F.lit(p)), name).otherwise(out)
+        return out
+
+    return bound(held(text, [p for _, p, _ in DOCUMENT_TYPES]), first)
+
+
+def held(text: Column, patterns: list[str]) -> Column:
+    """The lines of a text in which words of the patterns stand; none of them takes a line break."""
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda line: bound(F.lower(line), lambda low: reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for p in patterns for x in literals(p))))), "\n")
 
 
 def specialty(text: Column) -> Column:
     """The specialty with the highest weighted count of its words, at least 2; ties to the earlier."""
-    scores = [(F.regexp_count(text, F.lit(p)) * w, name) for name, p, w in SPECIALTIES]
-    best = F.greatest(*[s for s, _ in scores])
-    out = F.lit("general")
-    for s, name in reversed(scores):
-        out = F.when(s == best, name).otherwise(out)
-    return F.when(best >= 2, out).otherwise("general")
+
+    def judged(scores: Column) -> Column:
+        best = F.array_max(scores)
+        return F.when(best >= 2, F.get(F.array(*[F.lit(name) for name, _, _ in SPECIALTIES]), F.array_position(scores, best).cast("int") - 1)).otherwise("general")
+
+    counts = lambda own: bound(F.array(*[F.regexp_count(own, F.lit(p)) * w for _, p, w in SPECIALTIES]), judged)
+    return F.coalesce(bound(held(text, [p for _, p, _ in SPECIALTIES]), counts), F.lit("general"))
 
 
 def minimum(doc_type: Column, strength: Column, type_: Column) -> Column:
