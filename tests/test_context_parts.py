@@ -34,3 +34,24 @@ def test_types_and_strength_of_a_long_text_cost_little(spark):
     began = time.time()
     assert run(df) == short and short.t == "discharge_summary" and short.s == "cardiology" and short.c.strength == "STRONG"
     assert time.time() - began < 6
+
+
+def test_labels_are_those_of_the_whole_text(spark):
+    random.seed(7)
+    bits = ["Patient:", "pt\n:", "patient name :", "DOB:", "medical\nrecord # :", "file #:", "e-mail:", "Smith", "x", ",", ".\n", "\n", "lab#:", "order  number:", "age:", "3", "sx:", "REQ:", "a.b", ":"]
+    texts = ["".join(x + random.choice(["", " ", "\n"]) for x in random.choices(bits, k=random.randint(1, 14))) + " end" for _ in range(800)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.label_start, r["rank"]) for r in score.field_contexts(df).collect()}
+    want = {(i, m.start(), k) for i, t in enumerate(texts) for k, (names, _, _) in enumerate(score.FIELD_LABELS) for m in re.finditer(score.label_pattern(names), t, re.ASCII)}
+    assert got <= want and {x[2] for x in got} >= {0, 1, 2, 6, 9}
+    empty = {x for x in want - got}  # labels without a value have no row
+    assert all(re.match(r"[ \t\x0b\f\r]*\n?\s*($|[A-Z]|\n)", texts[i][re.compile(score.label_pattern(score.FIELD_LABELS[k][0]), re.ASCII).match(texts[i], s).end() :]) for i, s, k in empty)
+
+
+def test_labels_in_a_long_text_cost_little(spark):
+    head = "Patient: SMITH, JOHN\nDOB: 1/1/1950"
+    df = spark.createDataFrame([(1, head + ".\nThe onder ined ther shion of anand, patient and name of an order. Ander ith than date" * 60_000)], "doc_id long, text string").cache()
+    df.count()
+    score.field_contexts(df.where("doc_id = 2")).collect()
+    began = time.time()
+    assert len(score.field_contexts(df).collect()) == 2 and time.time() - began < 12
